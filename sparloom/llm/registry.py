@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_QUERIES = {"op1_decontamination": "decontaminate", "op5_simhash": "simhash", "op7_packing": "packing"}
+_QUERIES = {"op1_decontamination": "decontaminate", "op4_toxicity": "toxicity", "op5_simhash": "simhash", "op7_packing": "packing", "op9_secrets": "secrets", "op10_language": "language"}
 
 
 def queries() -> dict:

@@ -155,14 +155,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of docs of each component: that of the smallest id (of equal ids or none: of one text among them).
+    """One document of each component: the rows that have its smallest id.
 
-    Which rows stay is decided on ids and fingerprints alone; texts move only in the final semi-join.
+    Rows of one id are one document and stay together; so do rows without id that
+    have no component with an id. Which ids go is decided on ids and fingerprints
+    alone; texts move only when the ids that go are too many to broadcast.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
-    return kept
+    # an id that is the smallest of its component for one of its rows stays
+    gone = found.groupBy(id_col).agg(F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("stays")).where("not stays").select(F.col(id_col).alias("_gone"))
+    gone = stage(gone)
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
 
 
 def hex64(fp: str = "fp") -> F.Column:
