@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_QUERIES = {"op1_decontamination": "decontaminate", "op2_mpeg_audio": "mpeg", "op4_toxicity": "toxicity", "op5_simhash": "simhash", "op6_html_text": "html", "op7_packing": "packing", "op9_secrets": "secrets", "op10_language": "language"}
+_QUERIES = {"op1_decontamination": "decontaminate", "op2_mpeg_audio": "mpeg", "op4_toxicity": "toxicity", "op5_simhash": "simhash", "op6_html_text": "html", "op7_packing": "packing", "op8_quality": "quality", "op9_secrets": "secrets", "op10_language": "language"}
 
 
 def queries() -> dict:
