@@ -1,0 +1,92 @@
+"""Analytics of optimisation trials. log: (run, trial, strategy, before, after, cost, tokens, accepted, error)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+
+def strategy_contributions(log: DataFrame) -> DataFrame:
+    gain = F.col("after") - F.col("before")
+    return log.groupBy("strategy").agg(F.count("*").alias("trials"), F.count_if(gain > 0).alias("wins"), F.round(F.coalesce(F.sum(F.when(gain > 0, gain)), F.lit(0.0)), 4).alias("gain"), F.round(F.avg("cost"), 4).alias("mean_cost"))
+
+
+def run_summary(log: DataFrame) -> DataFrame:
+    return log.groupBy("run").agg(F.count("*").alias("trials"), F.count_if("accepted").alias("accepted"), F.round(F.sum("cost"), 4).alias("cost"), F.sum("tokens").alias("tokens"), F.max("after").alias("best"), F.greatest(F.lit(0.0), F.max(F.col("after") - F.col("before"))).alias("best_improvement"))
+
+
+def dominant_error(log: DataFrame, chars: int = 120) -> DataFrame:
+    """(run, error, n, sample): each run's most frequent error and its first message."""
+    counts = log.where(F.col("error").isNotNull()).groupBy("run", "error").agg(F.count("*").alias("n"), F.substring(F.min_by("message", "trial"), 1, chars).alias("sample"))
+    return counts.withColumn("_r", F.row_number().over(W.partitionBy("run").orderBy(F.desc("n"), "error"))).where("_r = 1").drop("_r")
+
+
+def best_so_far(log: DataFrame) -> DataFrame:
+    """A trial improves when it beats every earlier one of its run."""
+    earlier = F.max("after").over(W.partitionBy("run").orderBy("trial").rowsBetween(W.unboundedPreceding, -1))
+    return log.select("run", "trial", "after", F.coalesce(F.col("after") > earlier, F.lit(True)).alias("improves"))
+
+
+def patience_stop(log: DataFrame, patience: int) -> DataFrame:
+    """(run, stopped_at): the trial at which `patience` trials in a row haven't improved."""
+    flagged = best_so_far(log).withColumn("_island", F.sum(F.col("improves").cast("int")).over(W.partitionBy("run").orderBy("trial")))
+    misses = flagged.withColumn("_k", F.sum((~F.col("improves")).cast("int")).over(W.partitionBy("run", "_island").orderBy("trial")))
+    return misses.where(F.col("_k") >= patience).groupBy("run").agg(F.min("trial").alias("stopped_at"))
+
+
+def budget_stop(log: DataFrame, cap: float) -> DataFrame:
+    """(run, stopped_at): the first trial at which the cost so far reaches the cap."""
+    spent = F.sum("cost").over(W.partitionBy("run").orderBy("trial"))
+    return log.withColumn("_spent", spent).where(F.col("_spent") >= cap).groupBy("run").agg(F.min("trial").alias("stopped_at"))
+
+
+def stop_after_errors(log: DataFrame, n: int) -> DataFrame:
+    seen = F.count("error").over(W.partitionBy("run").orderBy("trial"))
+    return log.withColumn("_n", seen).where(F.col("_n") >= n).groupBy("run").agg(F.min("trial").alias("stopped_at"))
+
+
+def mutation_chain(log: DataFrame) -> DataFrame:
+    w = W.partitionBy("run").orderBy("trial")
+    return log.select("run", "trial", (F.row_number().over(w) - 1).alias("card"), F.lag("trial").over(w).alias("parent"))
+
+
+def pareto_frontier(rows: DataFrame, metric: str, cost: str) -> DataFrame:
+    """Rows that none beats on metric without costing more: the best metric of each cost against the best of all cheaper ones. Equal rows all stay.
+
+    The window runs over distinct costs in ranges: bounds of whole ranges first, so no task sees all rows.
+    """
+    best = rows.where(F.col(metric).isNotNull() & F.col(cost).isNotNull()).groupBy(F.col(cost).alias("_cost")).agg(F.max(metric).alias("_metric"))
+    parted = best.repartitionByRange("_cost").withColumn("_part", F.spark_partition_id())
+    tops = parted.groupBy("_part").agg(F.max("_metric").alias("_top"))
+    tops = tops.withColumn("_before", F.max("_top").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).select("_part", "_before")
+    within = F.max("_metric").over(W.partitionBy("_part").orderBy("_cost").rowsBetween(W.unboundedPreceding, -1))
+    cheaper = parted.withColumn("_within", within).join(tops, "_part").withColumn("_cheaper", F.greatest("_within", "_before"))
+    front = cheaper.where(F.col("_cheaper").isNull() | (F.col("_metric") > F.col("_cheaper"))).select("_cost", "_metric")
+    return rows.join(front, (F.col(cost) == F.col("_cost")) & (F.col(metric) == F.col("_metric"))).drop("_cost", "_metric")
+
+
+def select_model(scores: DataFrame, least: float) -> DataFrame:
+    """(task, model): the cheapest model that scores `least` or more, else the best one; ties in list order `ord`."""
+    ok = F.col("score") >= least
+    order = [F.desc(ok), F.when(ok, F.col("cost")), F.when(~ok, -F.col("score")), "ord"]
+    return scores.withColumn("_r", F.row_number().over(W.partitionBy("task").orderBy(*order))).where("_r = 1").select("task", "model", "score", "cost")
+
+
+def promote_best_mean(log: DataFrame, done: DataFrame) -> DataFrame:
+    """(strategy, mean): means of strategies not yet in `done`, the best of each run."""
+    means = log.groupBy("run", "strategy").agg(F.round(F.avg("after"), 4).alias("mean"))
+    rest = means.join(done, ["run", "strategy"], "left_anti")
+    return rest.withColumn("_r", F.row_number().over(W.partitionBy("run").orderBy(F.desc("mean"), "strategy"))).where("_r = 1").drop("_r")
+
+
+def tpe_density(log: DataFrame, gamma: float = 0.25, prior: float = 1.0) -> DataFrame:
+    """(strategy, good, bad): Laplace-smoothed shares of each strategy among the best gamma of the trials and the rest, by run."""
+    n = F.count("*").over(W.partitionBy("run"))
+    rank = F.row_number().over(W.partitionBy("run").orderBy(F.desc("after"), "trial"))
+    split = log.withColumn("_good", rank <= F.least(F.ceil(n * gamma), n - 1))
+    kinds = log.select("strategy").distinct().count()
+    sizes = split.groupBy("run").agg(F.count_if("_good").alias("_g"), F.count_if(~F.col("_good")).alias("_b"))
+    counts = split.groupBy("run", "strategy").agg(F.count_if("_good").alias("_cg"), F.count_if(~F.col("_good")).alias("_cb"))
+    share = lambda c, n: F.round((F.col(c) + prior) / (F.col(n) + kinds * prior), 6)
+    return counts.join(sizes, "run").select("run", "strategy", share("_cg", "_g").alias("good"), share("_cb", "_b").alias("bad"))
