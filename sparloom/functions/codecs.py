@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def xml_field(c: Column, name: str) -> Column:
@@ -38,7 +39,7 @@ def coerce_list(c: Column) -> Column:
     return F.filter(F.transform(by, lambda x: F.regexp_replace(F.trim(x), r"^[-*]\s+|^[\"']|[\"']$", "")), lambda x: x != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def close_truncated_json(texts: pd.Series) -> pd.Series:
     """JSON cut off somewhere, with its open string, arrays and objects closed; null if that doesn't parse."""
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def quote_hash(quote: Column) -> Column:
@@ -62,7 +63,7 @@ def _longest_common(a: str, b: str) -> int:
     return lo
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fuzzy_char(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Longest common substring of source and quote over the quote's length."""
     for source, quote in batches:

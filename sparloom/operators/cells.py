@@ -49,4 +49,4 @@ def merge_hits(cells: DataFrame, hits: DataFrame, citations: int = 5, confidence
 
 def promote_retries(candidates: DataFrame, confidence: float = 0.7) -> DataFrame:
     """(doc, col, value, confidence, n): the first chunk's value of each refused cell and how many distinct ones there were."""
-    return candidates.groupBy("doc", "col").agg(F.min_by("value", "chunk").alias("value"), F.lit(confidence).alias("confidence"), F.count_distinct("value").alias("n"))
+    return candidates.groupBy("doc", "col").agg(F.min_by("value", F.struct("chunk", "value")).alias("value"), F.lit(confidence).alias("confidence"), F.count_distinct("value").alias("n"))

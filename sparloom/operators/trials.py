@@ -47,8 +47,9 @@ def stop_after_errors(log: DataFrame, n: int) -> DataFrame:
 
 
 def mutation_chain(log: DataFrame) -> DataFrame:
+    """(run, trial, card, parent): the trial's place in its run and the trial before it, -1 for the first."""
     w = W.partitionBy("run").orderBy("trial")
-    return log.select("run", "trial", (F.row_number().over(w) - 1).alias("card"), F.lag("trial").over(w).alias("parent"))
+    return log.select("run", "trial", (F.row_number().over(w) - 1).alias("card"), F.coalesce(F.lag("trial").over(w), F.lit(-1)).alias("parent"))
 
 
 def pareto_frontier(rows: DataFrame, metric: str, cost: str) -> DataFrame:
