@@ -111,13 +111,10 @@ def _row_key(id_col: str, text_col: str) -> Column:
 
 def postings(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(trigram, row): the inverted index of the given trigrams over lower-cased texts; row is a hash of id and text."""
-    first: dict[str, list[str]] = {}
-    for t in sorted(trigrams):
-        first.setdefault(t[0], []).append(t[1:])
-    quote = lambda s: "".join("\\" + c if not c.isalnum() else c for c in s)
-    pattern = "(?=(" + "|".join(f"{quote(c)}(?:{'|'.join(map(quote, rest))})" for c, rest in first.items()) + "))"
-    found = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(pattern), 1))
-    return docs.select(_row_key(id_col, text_col).alias("row"), found.alias("found")).select(F.explode("found").alias("trigram"), "row").distinct()
+    # one plain search for each trigram is several times faster than one regex with an alternative for each
+    low = docs.select(_row_key(id_col, text_col).alias("row"), F.lower(text_col).alias("low"))
+    found = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in sorted(trigrams)]))
+    return low.select("row", F.explode(found).alias("trigram")).select("trigram", "row").distinct()
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
