@@ -62,15 +62,15 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margins(rows[slots >= 0], slots[slots >= 0], len(texts)), -30, 30)))
 
 
-def _train(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, n_slots: int, factors: int = 8, epochs: int = 40, batch: int = 256, rate: float = 0.1, decay: float = 1e-4) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log loss by AdaGrad over mini-batches; rows is ascending."""
+def _train(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, n_slots: int, factors: int = 8, steps: int = 3000, batch: int = 256, rate: float = 0.1, decay: float = 1e-4) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log loss by AdaGrad over about `steps` mini-batches, 5 to 200 times all rows; rows is ascending."""
     rng = np.random.default_rng(7)
     n = len(labels)
     share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     bias, w, v = float(np.log(share / (1 - share))), np.zeros(n_slots), rng.normal(0, 0.01, (n_slots, factors))
     gb, gw, gv = 1e-2, np.full(n_slots, 1e-2), np.full((n_slots, factors), 1e-2)
     first = np.searchsorted(rows, np.arange(n + 1))
-    for _ in range(max(epochs, min(200, 40 * 2000 // n))):
+    for _ in range(min(200, max(5, steps * batch // n))):
         order = rng.permutation(n)
         for lo in range(0, n, batch):
             some = np.sort(order[lo : lo + batch])
