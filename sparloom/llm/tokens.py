@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import cached_property
 
 import numpy as np
 
@@ -20,7 +21,7 @@ from .words import _powers, mix
 _PLAIN = re.compile("[^ -~\t\n\r¡-¬®-±´-¶¸º»¿-įĲ-ɏ]")
 _SPACE, _LETTER, _DIGIT, _SIGN = range(4)
 #: Pieces that a worker remembers, some 40 bytes each; beyond, it forgets them all and starts anew.
-PIECES_KEPT = 1_500_000
+PIECES_KEPT = 500_000
 _BASE = 0xA0761D6478BD642F
 
 
@@ -34,20 +35,28 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        # The same model for pieces that are cut and normalised already, a space between.
+        self.path = path
+        # The model for pieces that are cut and normalised already, a space between.
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model.normalizer = normalizers.Sequence([])
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.whole.get_vocab()
+        vocabulary = self.model.get_vocab()
         self.dtype = np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.kinds = _classes()
         self._forget()
 
+    @cached_property
+    def whole(self):
+        """The tokenizer as it is in the file; many workers never need it."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
+
     def _forget(self) -> None:
         self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.firsts, self.ids = np.zeros(1, np.int64), np.zeros(0, self.dtype)

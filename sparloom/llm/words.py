@@ -10,7 +10,7 @@ import numpy as np
 
 #: Odd multipliers, so that they have inverses modulo 2**64.
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_SEGMENT = 1 << 21
+_SEGMENT = 1 << 19
 _MASK = (1 << 64) - 1
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -22,7 +22,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n at least."""
     have = _tables.get(base)
     if have is None or len(have[0]) < n:
-        n = max(n, _SEGMENT + (1 << 16))
+        n = max(n, _SEGMENT + (1 << 14))
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             x = np.full(n, b, np.uint64)
