@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ._common import as_text, column, out_batch, slices
+from ._common import as_text, column, out_batch, slices, stage
 
 #: Ranks of a profile.
 SIZE = 300
@@ -118,6 +118,7 @@ def identify(docs: DataFrame, known: DataFrame, text_col: str = "text", out: str
     `und` with score 0 for null texts, texts without letters, or when no profile is known. Ties: the first language by name.
     """
     spark = docs.sparkSession
+    known = stage(known)  # counted once, read more than once
     langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     carry = [c for c in docs.columns if c not in (out, score)]
     docs = docs.select(*carry)
