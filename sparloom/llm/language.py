@@ -69,7 +69,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         text = k >> n * bits
         code = np.zeros(len(k), np.int64)
         for x in chars:
-            code = (code << 21) | x
+            code = (code << 21) | np.where(x == 0, 32, x)  # a space, so that codes of different lengths differ
         whole = chars[-1] != 0 if n == 1 else (np.maximum.reduce(chars) != 0)
         if n == 3:  # "a", pad, pad is the bigram "a", pad
             whole &= (chars[1] != 0)
