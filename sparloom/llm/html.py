@@ -15,7 +15,7 @@ from ._common import as_text, out_batch, slices
 # Element names by what the HTML standard says of them.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-_HIDDEN = frozenset("head script style template noscript iframe noembed noframes object svg math canvas audio video datalist".split())
+_HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object svg math canvas audio video datalist".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
 _SPACED = frozenset("blockquote dl h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
 _CLOSES_P = _BLOCK - {"html", "body", "dd", "dt", "li", "legend", "option", "optgroup"} | {"dd", "dt", "li"}
