@@ -108,3 +108,15 @@ def find_all(c: Column, pattern: str) -> Column:
 def percent_value(c: Column) -> Column:
     """A percentage as a fraction."""
     return F.transform(find_all(c, PERCENT), lambda x: x.cast("double") / 100)
+
+
+def decode_envelope(c: Column, payload: str) -> Column:
+    """Two steps: the envelope (kind, payload) first, then the payload by its own schema."""
+    outer = F.from_json(c, "kind string, payload string")
+    return F.struct(outer["kind"].alias("kind"), F.from_json(outer["payload"], payload).alias("payload"))
+
+
+def shorten(c: Column, threshold: int, prefix: int = 64, digits: int = 16) -> Column:
+    """Texts over the threshold as a prefix, their length and a digest."""
+    tail = F.concat(F.lit(" ... [TRUNCATED "), F.length(c).cast("string"), F.lit(" chars; sha256="), F.substring(F.sha2(c, 256), 1, digits), F.lit("]"))
+    return F.when(F.length(c) <= threshold, c).otherwise(F.concat(F.substring(c, 1, prefix), tail))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -50,3 +52,22 @@ def merge_hits(cells: DataFrame, hits: DataFrame, citations: int = 5, confidence
 def promote_retries(candidates: DataFrame, confidence: float = 0.7) -> DataFrame:
     """(doc, col, value, confidence, n): the first chunk's value of each refused cell and how many distinct ones there were."""
     return candidates.groupBy("doc", "col").agg(F.min_by("value", F.struct("chunk", "value")).alias("value"), F.lit(confidence).alias("confidence"), F.count_distinct("value").alias("n"))
+
+
+def merge_list_hits(cells: DataFrame, hits: DataFrame, canonical: Callable[[Column], Column] = lambda c: F.lower(F.trim(c))) -> DataFrame:
+    """(doc, col, status, values, added): list cells with the rule-based hits (doc, col, pos, key) that they lack, in order of appearance.
+
+    A refused cell with a hit becomes extracted. Repeated hits are reduced to one before they are gathered.
+    """
+    first = hits.withColumn("_c", canonical(F.col("key"))).groupBy("doc", "col", "_c").agg(F.min(F.struct("pos", "key")).alias("_hit"))
+    found = first.groupBy("doc", "col").agg(F.array_sort(F.collect_list("_hit")).alias("_hits"))
+    own = F.when(F.col("status") == "extracted", F.col("values")).otherwise(F.array().cast("array<string>"))
+    known = F.transform(own, canonical)
+    new = F.filter(F.transform(F.coalesce("_hits", F.array().cast("array<struct<pos:bigint,key:string>>")), lambda h: h["key"]), lambda k: ~F.array_contains(known, canonical(k)))
+    out = cells.join(found, ["doc", "col"], "left").withColumn("_new", new)
+    return out.select("doc", "col", F.when(F.size("_new") > 0, "extracted").otherwise(F.col("status")).alias("status"), F.concat(own, "_new").alias("values"), F.size("_new").alias("added"))
+
+
+def valid_at(start: Column, end: Column, instant: Column) -> Column:
+    """Whether a claim holds at an instant: from its start on, before its end if it has one."""
+    return (start <= instant) & (end.isNull() | (instant < end))

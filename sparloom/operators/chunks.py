@@ -124,3 +124,25 @@ def refine_fold(leaves: DataFrame, start: Column, step: Callable[[Column, Column
     """(doc, value): a left fold over the leaves in order."""
     values = F.array_sort(F.collect_list(F.struct("pos", "value")))
     return leaves.groupBy("doc").agg(values.alias("v")).select("doc", F.aggregate("v", start, lambda a, s: step(a, s["value"])).alias("value"))
+
+
+def tag_passages(passages: DataFrame) -> DataFrame:
+    """(doc, context): the passages (doc, pos, uri, text) in order, each under a header with its uri."""
+    parts = F.array_sort(F.collect_list(F.struct("pos", "uri", "text")))
+    block = lambda s: F.concat(F.lit("=== SOURCE: "), s["uri"], F.lit(" ===\n\n"), s["text"])
+    return passages.groupBy("doc").agg(F.array_join(F.transform(parts, block), "\n\n").alias("context"))
+
+
+def passage_uri(doc_id: Column, text: Column, explicit: Column, block_ref: Column, char_start: Column) -> Column:
+    """An explicit uri, else an id that has a fragment already, else the id with its block, its offset or a hash of its text; a block of the whole document doesn't tell passages apart."""
+    return (
+        F.when(F.coalesce(explicit, F.lit("")) != "", explicit).when(F.contains(doc_id, F.lit("#")), doc_id)
+        .when((F.coalesce(block_ref, F.lit("")) != "") & (block_ref != "#/body/0"), F.concat(doc_id, block_ref))
+        .when(char_start.isNotNull(), F.concat(doc_id, F.lit("#c"), char_start.cast("string"))).otherwise(F.concat(doc_id, F.lit("#h"), F.substring(F.sha2(text, 256), 1, 8)))
+    )
+
+
+def rerank(hits: DataFrame, k: int) -> DataFrame:
+    """(query, uri, score): the k best hits (query, pos, uri, score) by score within 0 and 1; a failed score (null) counts as 0, ties keep their order."""
+    clamped = hits.withColumn("score", F.least(F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
+    return clamped.withColumn("_r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "pos"))).where(F.col("_r") <= k).select("query", "uri", "score")

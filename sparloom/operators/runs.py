@@ -86,3 +86,14 @@ def calibration(results: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.round(F.when(n_answerable > 0, verified / n_answerable).otherwise(0.0), 4).alias("precision_answerable"), F.round(F.when(n_other > 0, refused / n_other).otherwise(0.0), 4).alias("refusal_recall"),
         F.round(F.coalesce(F.avg(F.when(F.col("outcome") == "answer", F.col("confidence"))), F.lit(0.0)), 4).alias("mean_confidence"), F.round(F.avg("latency"), 4).alias("mean_latency"), F.count_if(F.col("outcome") == "error").alias("errors"),
     )
+
+
+def resume_counts(items: DataFrame, log: DataFrame) -> DataFrame:
+    """(n_items, n_skipped, n_pending): what a resumed run would do."""
+    done = log.select("custom_id").distinct().withColumn("_done", F.lit(True))
+    return items.join(done, "custom_id", "left").agg(F.count("*").alias("n_items"), F.count("_done").alias("n_skipped"), F.count_if(F.col("_done").isNull()).alias("n_pending"))
+
+
+def list_batches(batches: DataFrame, most: int = 50) -> DataFrame:
+    """The newest batches (batch, created_at, ...)."""
+    return batches.orderBy(F.desc("created_at"), "batch").limit(most)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -91,3 +91,28 @@ def tpe_density(log: DataFrame, gamma: float = 0.25, prior: float = 1.0) -> Data
     counts = split.groupBy("run", "strategy").agg(F.count_if("_good").alias("_cg"), F.count_if(~F.col("_good")).alias("_cb"))
     share = lambda c, n: F.round((F.col(c) + prior) / (F.col(n) + kinds * prior), 6)
     return counts.join(sizes, "run").select("run", "strategy", share("_cg", "_g").alias("good"), share("_cb", "_b").alias("bad"))
+
+
+def promote_top_n(candidates: DataFrame, n: int) -> DataFrame:
+    """(run, candidate, full, accepted): of the n candidates with the best minibatch scores, the one of the best full score; accepted above the baseline.
+
+    candidates: (run, candidate, mini, full, baseline); ties go to the earlier candidate.
+    """
+    rank = F.row_number().over(W.partitionBy("run").orderBy(F.desc("mini"), "candidate"))
+    promoted = candidates.withColumn("_r", rank).where(F.col("_r") <= n)
+    best = promoted.groupBy("run").agg(F.max_by(F.struct("candidate", "full", "baseline"), F.struct("full", -F.col("_r"))).alias("b"))
+    return best.select("run", "b.candidate", "b.full", (F.col("b.full") > F.col("b.baseline")).alias("accepted"))
+
+
+def first_demos(log: DataFrame, least: float, most: int) -> DataFrame:
+    """(run, trial): each run's first `most` trials without error that score `least` or more."""
+    good = log.where((F.col("after") >= least) & F.col("error").isNull())
+    return good.withColumn("_r", F.row_number().over(W.partitionBy("run").orderBy("trial"))).where(F.col("_r") <= most).select("run", "trial")
+
+
+def grid(spark: SparkSession, choices: dict[str, list]) -> DataFrame:
+    """One row for each combination of the choices."""
+    rows = spark.range(1)
+    for name, values in choices.items():
+        rows = rows.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return rows.drop("id")

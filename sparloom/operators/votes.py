@@ -53,3 +53,9 @@ def histogram(picks: DataFrame) -> DataFrame:
 
 #: Aggregators by name.
 AGGREGATORS = {"vote": vote, "majority": majority, "union": union, "intersection": intersection, "weighted": weighted, "max_score": max_score}
+
+
+def ensemble(results: DataFrame) -> DataFrame:
+    """(doc, value, votes, members): the value that most members of an ensemble gave, the earliest on ties. results: (doc, pos, value)."""
+    counts = results.groupBy("doc", "value").agg(F.count("*").alias("votes"), F.min("pos").alias("_first"))
+    return _top(counts.withColumn("members", F.sum("votes").over(W.partitionBy("doc"))), F.desc("votes"), "_first").select("doc", "value", "votes", "members")

@@ -1,0 +1,3 @@
+"""Named queries over the test tables, each with its SQL."""
+
+from sparloom.plans import programs, queries  # noqa: F401

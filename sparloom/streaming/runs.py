@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def stream_items(spark: SparkSession, path: str, schema, files_per_trigger: int = 1, format: str = "parquet") -> DataFrame:
@@ -40,3 +42,32 @@ def run_incrementally(items: DataFrame, work: Callable[[DataFrame], DataFrame],
 def windowed_cost(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """An extension: cost by event-time window, late events within the watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+
+
+def write_snapshots(totals: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """A running aggregate: each micro-batch replaces the folder `out` by all its rows."""
+    return totals.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_first(items: DataFrame, keys: list[str], out: str, checkpoint: str) -> StreamingQuery:
+    """Appends one row of each combination of the keys; those seen before are kept as state."""
+    return items.dropDuplicates(keys).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest_of_key(entries: DataFrame, key: str, seq: str, most: int) -> DataFrame:
+    """(key, seqs): the newest `most` entries of each key, told again after each micro-batch that changes them. A key's state is these entries only."""
+
+    def step(k, frames, state):
+        held = list(state.get[0]) if state.exists else []
+        for f in frames:
+            held = sorted({*held, *f[seq].nlargest(most).tolist()})[-most:]
+        state.update((held,))
+        yield pd.DataFrame({key: [k[0]], "seqs": [held]})
+
+    kind = entries.schema[key].dataType.simpleString()
+    return entries.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, seqs array<bigint>", "seqs array<bigint>", "update", GroupStateTimeout.NoTimeout)
+
+
+def write_changes(changes: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Appends what each micro-batch changed, with its number in `batch`; a repeated micro-batch tells the same again."""
+    return changes.writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
