@@ -115,6 +115,38 @@ def test_passages(spark, odd):
     assert passages.find_passages(odd).count() == 0 and passages.find_passages(odd.limit(0)).count() == 0
 
 
+def test_passages_of_lines_from_smaller_documents(spark):
+    rng = random.Random(5)
+    text = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    for holders in (1, 12):  # seeds that are linked each to each, and hot ones
+        lines, rows = [text(30), text(30)], []
+        for i in range(2 * holders):
+            rows.append((i, text(40) + lines[i % 2] + text(40)))
+        rows[0] = (0, lines[0] + rows[0][1])
+        rows += [(100 + i, text(40) + lines[0] + lines[1] + text(40)) for i in range(2 * holders)]
+        found = passages.find_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()
+        whole = {(r["doc_id"], r["partner_id"]) for r in found if r["end"] - r["start"] >= 60 and r["share"] == 1}
+        assert whole == {(100 + i, 100) for i in range(1, 2 * holders)}
+
+
+def test_every_passage_of_equal_words_is_found(spark):
+    rng = random.Random(6)
+    rows = [[f"w{rng.randrange(12)}" if i % 3 == 0 else f"v{rng.randrange(5000)}" for _ in range(200)] for i in range(60)]
+    for i in range(20, 60):
+        n, j = rng.randrange(50, 56), rng.randrange(20)
+        at, to = rng.randrange(len(rows[j]) - n), rng.randrange(140)
+        rows[i][to : to + n] = rows[j][at : at + n]
+    grams, brute = {}, set()
+    for i, t in enumerate(rows):
+        for p in range(len(t) - 49):
+            g = tuple(t[p : p + 50])
+            if g in grams and grams[g] != i:
+                brute |= {(i, q) for q in range(p, p + 50)}
+            grams.setdefault(g, i)
+    found = passages.find_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")).collect()
+    assert brute and brute <= {(r["doc_id"], q) for r in found for q in range(r["start"], r["end"])}
+
+
 def test_chains_match_the_quadratic_recurrence():
     rng = random.Random(1)
     for _ in range(50):
