@@ -147,6 +147,13 @@ def test_every_passage_of_equal_words_is_found(spark):
     assert brute and brute <= {(r["doc_id"], q) for r in found for q in range(r["start"], r["end"])}
 
 
+def test_passage_with_one_seed(spark):
+    t = [f"a{i}" for i in range(80)]
+    other = [w if 30 <= i < 49 or i % 6 else f"b{i}" for i, w in enumerate(t)]  # 19 equal words, then each sixth differs
+    found = passages.find_passages(spark.createDataFrame([(1, " ".join(t)), (2, " ".join(other))], "doc_id long, text string")).collect()
+    assert len(found) == 1 and found[0]["end"] - found[0]["start"] >= 70
+
+
 def test_chains_match_the_quadratic_recurrence():
     rng = random.Random(1)
     for _ in range(50):
