@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from ._common import as_text, out_batch, slices
 # Element names by what the HTML standard says of them.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-_HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object svg math canvas audio video datalist".split())
+_HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object canvas audio video datalist".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
 _SPACED = frozenset("blockquote dl h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
 _CLOSES_P = _BLOCK - {"html", "body", "dd", "dt", "li", "legend", "option", "optgroup"} | {"dd", "dt", "li"}
@@ -24,13 +25,18 @@ _IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
-    "body": ({"head"}, {"html"}),
 }
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
-#: Nesting that the tree keeps; deeper elements become their ancestors' siblings.
-DEPTH = 400
+#: What a head holds; anything else ends it.
+_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Parts of tables; between them, other elements and text go before the table.
+_PARTS = frozenset("table tbody thead tfoot tr td th caption colgroup col".split())
+_BETWEEN = frozenset("table tbody thead tfoot tr colgroup".split())
+_STAY = frozenset("script style template".split())
+#: Parts of drawings and formulas that aren't shown.
+_UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker annotation annotation-xml".split())
 
 
 @dataclass
@@ -43,45 +49,98 @@ class Node:
 def tree(page: str) -> Node:
     root = Node("#root")
     stack = [root]
+    opened: Counter[str] = Counter()  # names in the stack
+    begun = False  # the head is over
     at = 0
 
+    def push(node: Node) -> None:
+        stack.append(node)
+        opened[node.name] += 1
+
+    def cut(i: int) -> None:
+        opened.subtract(n.name for n in stack[i:])
+        del stack[i:]
+
+    def body() -> None:
+        nonlocal begun
+        begun = True
+        if stack[-1].name == "head":
+            cut(len(stack) - 1)
+
+    def add(child) -> None:
+        """Puts a child into the open element, or before the table where that can't hold it."""
+        if stack[-1].name in _BETWEEN and (child.name not in _PARTS | _STAY if isinstance(child, Node) else not _BLANK.fullmatch(child)):
+            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == "table"), 0)
+            if i:
+                siblings = stack[i - 1].children
+                k = next(k for k in range(len(siblings) - 1, -1, -1) if siblings[k] is stack[i])
+                siblings.insert(k, child)
+                return
+        stack[-1].children.append(child)
+
     def text(s: str) -> None:
         if s:
-            stack[-1].children.append(html.unescape(s) if "&" in s else s)
+            s = html.unescape(s) if "&" in s else s
+            if stack[-1].name in ("#root", "html", "head") and not _BLANK.fullmatch(s):
+                body()
+            add(s)
 
     def close(names, limits) -> None:
+        if not any(opened[n] for n in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].name in limits:
                 return
             if stack[i].name in names:
-                del stack[i:]
+                cut(i)
                 if names & {"tr", "td", "th", "tbody", "dt", "li"}:  # more than one may be open: a cell, its row, its body
                     close(names, limits)
                 return
 
+    def to_table() -> None:
+        """Ends what was opened between the parts of a table."""
+        if opened["table"]:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name in ("td", "th", "caption"):
+                    return
+                if stack[i].name in _BETWEEN:
+                    cut(i + 1)
+                    return
+
     lower = None
     while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         if m[1]:
             name = m[1].lower()
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if stack[i].name == name:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].name in ("table", "td", "th") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                     break  # what opened outside a cell doesn't close in it
+            begun = begun or name == "head"
         elif m[2]:
             name = m[2].lower()
+            if name == "head":
+                if begun or opened["head"]:
+                    continue
+            elif name != "html" and stack[-1].name in ("#root", "html", "head") and name not in _HEAD:
+                body()
+            if name in _PARTS and name != "table":
+                to_table()
             if name in _IMPLIED:
                 close(*_IMPLIED[name])
             if name in _CLOSES_P:
                 close({"p"}, {"table", "td", "th", "button", "object", "caption"})
             if name in ("td", "th") and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
                 stack[-1].children.append(row := Node("tr"))
-                stack.append(row)
+                push(row)
             node = Node(name, {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3].strip(" /\n\t") else {})
-            stack[-1].children.append(node)
+            if name in _UNDRAWN and (opened["svg"] or opened["math"]):
+                node.attributes["hidden"] = ""
+            between = stack[-1].name in _BETWEEN
+            add(node)
             if name in _RAW:
                 lower = page.lower() if lower is None else lower
                 end = lower.find(f"</{name}", at)
@@ -90,8 +149,8 @@ def tree(page: str) -> Node:
                 node.children.append(html.unescape(raw) if name in ("title", "textarea") else raw)
                 stop = page.find(">", end)
                 at = len(page) if stop < 0 else stop + 1
-            elif name not in _VOID and len(stack) < DEPTH:
-                stack.append(node)
+            elif name not in _VOID and name != "col" and not (name == "form" and between) and not (m[3].endswith("/") and (opened["svg"] or opened["math"])):
+                push(node)
         elif m[0] == "<":
             text("<")
     text(page[at:])
@@ -100,10 +159,24 @@ def tree(page: str) -> Node:
 
 def _visible(n: Node) -> bool:
     a = n.attributes
-    return n.name not in _HIDDEN and not ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or (n.name == "input" and a.get("type", "").lower() == "hidden") or (n.name == "dialog" and "open" not in a) or ("style" in a and _INVISIBLE.search(a["style"])))
+    return n.name not in _HIDDEN and not ("hidden" in a or (n.name == "input" and a.get("type", "").lower() == "hidden") or (n.name == "dialog" and "open" not in a) or ("style" in a and _INVISIBLE.search(a["style"])))
 
 
 _WHITE = re.compile(r"[ \t\n\r\f]+")
+_BLANK = re.compile(r"[ \t\n\r\f]*")
+
+
+def _run(steps):
+    """What a generator returns that yields generators for their results: recursion on a list in place of the call stack."""
+    stack, result = [steps], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(result))
+            result = None
+        except StopIteration as e:
+            stack.pop()
+            result = e.value
+    return result
 
 
 class _Lines:
@@ -142,7 +215,7 @@ class _Lines:
         self.blank = True
 
 
-def _table(n: Node) -> list[str]:
+def _table(n: Node):
     """Rows with cells padded to their columns' widths; a cell over several columns or rows is written once."""
     rows: list[list[str]] = []
     spans: dict[tuple[int, int], bool] = {}
@@ -152,16 +225,16 @@ def _table(n: Node) -> list[str]:
         value = cell.attributes.get(key, "")
         return min(max(int(value), 1), 1000) if value.isascii() and value.isdigit() else 1
 
-    def walk(x: Node) -> None:
+    def walk(x: Node):
         for c in x.children:
             if isinstance(c, str) or not _visible(c):
                 continue
             if c.name == "tr":
                 r, row = len(rows), []
-                for cell in (y for y in c.children if not isinstance(y, str) and _visible(y)):
+                for cell in (y for y in c.children if not isinstance(y, str) and y.name in ("td", "th") and _visible(y)):
                     while (r, len(row)) in spans:
                         row.append("")
-                    text = " ".join(x for x in render(cell).split("\n") if x)
+                    text = " ".join(x for x in (yield _render(cell)).split("\n") if x)
                     width, height = number(cell, "colspan"), number(cell, "rowspan")
                     for down in range(1, height):
                         for k in range(width):
@@ -169,20 +242,24 @@ def _table(n: Node) -> list[str]:
                     row += [text] + [""] * (width - 1)
                 rows.append(row)
             elif c.name == "caption":
-                captions.append(render(c))
+                captions.append((yield _render(c)))
             else:
-                walk(c)
+                yield walk(c)
 
-    walk(n)
+    yield walk(n)
     widths = [max((len(r[k]) for r in rows if k < len(r)), default=0) for k in range(max(map(len, rows), default=0))]
     lines = [" | ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip(" |") for r in rows]
     return [c for c in captions if c] + [x for x in lines if x]
 
 
 def render(root: Node) -> str:
+    return _run(_render(root))
+
+
+def _render(root: Node):
     out = _Lines()
 
-    def walk(n: Node, pre: bool, depth: int, counter: list[int] | None) -> None:
+    def walk(n: Node, pre: bool, depth: int, counter: list[int] | None):
         for c in n.children:
             if isinstance(c, str):
                 out.write(c, pre)
@@ -198,7 +275,7 @@ def render(root: Node) -> str:
                 out.write(f" {c.attributes.get('alt', '')} ".replace("  ", " "), False)
             elif name == "table":
                 out.gap()
-                for line in _table(c):
+                for line in (yield _table(c)):
                     out.now = line
                     out.end()
                 out.gap()
@@ -208,24 +285,24 @@ def render(root: Node) -> str:
                 if counter:
                     mark, counter[0] = f"{counter[0]}. ", counter[0] + 1
                 out.prefix = "  " * max(0, depth - 1) + mark
-                walk(c, pre, depth, None)
+                yield walk(c, pre, depth, None)
                 out.end()
                 out.prefix = outer
             elif name in ("ul", "ol", "menu", "dir"):
                 (out.end if depth else out.gap)()
                 start = c.attributes.get("start", "1")
-                walk(c, pre, depth + 1, [int(start) if start.isascii() and start.isdigit() else 1] if name == "ol" else None)
+                yield walk(c, pre, depth + 1, [int(start) if start.isascii() and start.isdigit() else 1] if name == "ol" else None)
                 (out.end if depth else out.gap)()
             elif name in _BLOCK:
                 (out.gap if name in _SPACED else out.end)()
-                walk(c, pre or name == "pre", depth, counter)
+                yield walk(c, pre or name == "pre", depth, counter)
                 (out.gap if name in _SPACED else out.end)()
             else:
-                walk(c, pre or name == "textarea", depth, counter)
+                yield walk(c, pre or name == "textarea", depth, counter)
                 if name in ("td", "th"):
                     out.write(" ", False)
 
-    walk(root, False, 0, None)
+    yield walk(root, False, 0, None)
     out.end()
     return "\n".join(out.lines)
 

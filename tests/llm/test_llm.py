@@ -246,6 +246,21 @@ def test_html():
         html.extract(bad)
 
 
+def test_html_keeps_all_visible_text():
+    text = lambda page: html.extract(page)[1].split()
+    assert text("<table>Loose<tr><td>x</td></tr></table>") == ["Loose", "x"]
+    assert text("<table><div>Text</div><tr><td>a<td>b</table>") == ["Text", "a", "|", "b"]
+    assert text("<table><tr>row<form><td>x</td></form></tr><form><td>y</td></form></table>") == ["row", "x", "y"]
+    assert text("<table><tr><td>a <table>in<tr><td>b</table>c</table>d") == ["a", "in", "b", "c", "d"]
+    assert html.extract("<html><head><title>T</title><p>Hello") == ("T", "Hello")
+    assert html.extract("<head><title>T</title>Hello<head><p>you") == ("T", "Hello\n\nyou")
+    assert html.extract("<head><meta charset=utf-8>\n<style>x</style></head><body>b</body>") == ("", "b")
+    assert text("<svg><title>no</title><defs><text>no</text></defs><path/><text>drawn</text></svg> <math><mi>x</mi></math> <i aria-hidden='true'>seen</i>") == ["drawn", "x", "seen"]
+    for n in (399, 5000):
+        assert text("<font>" * n + "<template>no</template><b>yes</b><div hidden>no</div>" + "<div>" * n + "end") == ["yes", "end"]
+        assert text("<table><tr><td>" * n + "x") == ["x"]
+
+
 def test_html_pages(spark):
     pages = spark.createDataFrame([(1, None, "a", "b"), (2, "", "a", "b"), (3, "<b>hi</b>", "a", "b")], "page_id long, html string, title string, extra string")
     assert [(r["page_id"], r["title"], r["text"]) for r in html.extract_text(pages).collect()] == [(1, None, None), (2, "", ""), (3, "", "hi")]
