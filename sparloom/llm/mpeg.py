@@ -30,6 +30,8 @@ _BITRATES = {
     (False, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 _RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+#: Bytes after a free-format header in which the next one is looked for.
+FREE_BYTES = 1 << 14
 _VERSIONS = {3: "1", 2: "2", 0: "2.5"}
 
 
@@ -46,18 +48,21 @@ class Header:
     side: int  # bytes of side information (layer III)
 
 
-def header(word: bytes) -> Header | None:
-    """A frame's header, or None if these four bytes are none (free format included)."""
+def header(word: bytes, free: int = 0) -> Header | None:
+    """A frame's header, or None if these four bytes are none; free: the size without padding of free-format frames, which are none without it."""
     if len(word) < 4 or word[0] != 0xFF or word[1] & 0xE0 != 0xE0:
         return None
     version, layer = word[1] >> 3 & 3, 4 - (word[1] >> 1 & 3)
     bitrate, rate = word[2] >> 4, word[2] >> 2 & 3
-    if version == 1 or layer == 4 or bitrate in (0, 15) or rate == 3 or word[3] & 3 == 2:
+    if version == 1 or layer == 4 or bitrate == 15 or (bitrate == 0 and not free) or rate == 3 or word[3] & 3 == 2:
         return None
     one, kbps, hz = version == 3, _BITRATES[version == 3, layer][bitrate], _RATES[version][rate]
     samples = 384 if layer == 1 else 576 if layer == 3 and not one else 1152
     pad = word[2] >> 1 & 1
     size = (12 * kbps * 1000 // hz + pad) * 4 if layer == 1 else samples // 8 * kbps * 1000 // hz + pad
+    if bitrate == 0:
+        size = free + pad * (4 if layer == 1 else 1)
+        kbps = round(free * 8 * hz / samples / 1000)
     mono = word[3] >> 6 == 3
     side = ((17 if mono else 32) if one else (9 if mono else 17)) if layer == 3 else 0
     return Header(version, layer, not word[1] & 1, kbps, hz, mono, size, samples, side)
@@ -71,7 +76,7 @@ class Stream:
     vbr: str | None = None  # Xing, Info or VBRI
     vbr_frames: int | None = None
     vbr_bytes: int | None = None
-    toc: bytes | None = None
+    toc: bytes | None = None  # Xing's, or VBRI's in the same form
     skipped: int = 0  # bytes that belong to no frame or tag
 
 
@@ -117,6 +122,22 @@ def _tail(data: bytes, start: int, tags: dict[str, str]) -> int:
     return end
 
 
+def _free_size(data: bytes, at: int, end: int) -> int:
+    """The size without padding of the free-format frames that begin at `at`: the first distance at which two more frames of the kind, or the audio's end, follow; else 0."""
+    word = data[at : at + 4]
+    if len(word) < 4 or word[2] >> 4 or header(word, 1) is None:
+        return 0
+    slot = 4 if header(word, 1).layer == 1 else 1
+    same = lambda p: p == end or (data[p : p + 2] == word[:2] and p + 4 <= end and (data[p + 2] ^ word[2]) & 0xFC == 0)
+    p = data.find(word[:2], at + 24, min(end, at + FREE_BYTES))
+    while p >= 0:
+        size = p - at - (word[2] >> 1 & 1) * slot
+        if p + 4 <= end and same(p) and same(p + size + (data[p + 2] >> 1 & 1) * slot):
+            return size
+        p = data.find(word[:2], p + 1, min(end, at + FREE_BYTES))
+    return 0
+
+
 _SYNC = re.compile(b"\xff[\xe0-\xff]")
 
 
@@ -126,16 +147,18 @@ def parse(data: bytes) -> Stream:
     at = _id3v2(data, out.tags)
     end = _tail(data, at, out.tags)
     known: dict[bytes, Header | None] = {}
-    kind = None
+    kind, free = None, 0
     while at + 4 <= end:
         word = data[at : at + 4]
+        if not free and word[0] == 0xFF and word[2] < 0x10 and kind is None and (free := _free_size(data, at, end)):
+            known.clear()
         if word not in known:
-            known[word] = header(word)
+            known[word] = header(word, free)
         h = known[word]
         if h is not None and at + h.size <= end and (kind is None or kind == (h.version, h.layer, h.rate)):
             follows = data[at + h.size : at + h.size + 4]
             if follows not in known:
-                known[follows] = header(follows)
+                known[follows] = header(follows, free)
             n = known[follows]
             if at + h.size == end or (n is not None and (n.version, n.layer, n.rate) == (h.version, h.layer, h.rate)):
                 kind = (h.version, h.layer, h.rate)
@@ -168,6 +191,12 @@ def _vbr(frame: bytes, h: Header, out: Stream) -> bool:
         return True
     if frame[36:40] == b"VBRI" and len(frame) >= 54:
         out.vbr, out.vbr_bytes, out.vbr_frames = "VBRI", int.from_bytes(frame[46:50]), int.from_bytes(frame[50:54])
+        entries, scale, width = (int.from_bytes(frame[i : i + 2]) for i in (54, 56, 58))
+        if entries and 1 <= width <= 4 and len(frame) >= 62 + entries * width:
+            steps = np.array([int.from_bytes(frame[62 + i * width : 62 + (i + 1) * width]) * scale for i in range(entries)], np.float64)
+            ends = np.concatenate([[0], np.cumsum(steps)])
+            at = np.interp(np.arange(100) * entries / 100, np.arange(entries + 1), ends)
+            out.toc = bytes(np.minimum(255, at * 256 // max(ends[-1], 1)).astype(np.uint8))
         return True
     return False
 
@@ -190,13 +219,52 @@ def crc16(rows: np.ndarray) -> np.ndarray:
     return crc
 
 
+def _allocation_bits(h: Header) -> list[int]:
+    """Bits of each subband's allocation in layer II, by the standards' tables."""
+    each = h.kbps / (1 if h.mono else 2)
+    if h.version != 3:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    if each <= 48:
+        return [4] * 2 + [3] * (10 if h.rate == 32000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (4 if h.rate == 48000 or each <= 80 else 7)
+
+
+def _covered_bits(frame: bytes, h: Header) -> int:
+    """Bits after the checksum that it covers in layers I and II: allocations, and layer II's scale factor selections."""
+    channels = 1 if h.mono else 2
+    bound = 4 * (frame[3] >> 4 & 3) + 4 if frame[3] >> 6 == 1 else 32
+    if h.layer == 1:
+        return 4 * (32 if h.mono else 32 + bound)
+    bits, at, selections = int.from_bytes(frame[6:54].ljust(48, b"\0")), 0, 0
+    for band, n in enumerate(_allocation_bits(h)):
+        for _ in range(channels if band < bound else 1):
+            used = bits >> 384 - at - n & (1 << n) - 1
+            selections += 2 * bool(used) * (channels if band >= bound else 1)
+            at += n
+    return at + selections
+
+
+def _crc_bits(data: bytes, n: int) -> int:
+    """The CRC-16 of data's first n bits."""
+    crc = int(crc16(np.frombuffer(data[: n // 8], np.uint8)[None])[0])
+    for k in range(n // 8 * 8, n):
+        high = crc >> 15 ^ data[k // 8] >> 7 - k % 8 & 1
+        crc = crc << 1 & 0xFFFF ^ (0x8005 if high else 0)
+    return crc
+
+
 def verify(items: list[tuple[bytes, Stream]]) -> list[tuple[int, int]]:
-    """(sound, unsound) checksums of each stream's protected layer III frames, all streams at once."""
+    """(sound, unsound) checksums of each stream's protected frames, those of layer III of all streams at once."""
     out = np.zeros((len(items), 2), np.int64)
     groups: dict[int, list[tuple[int, bytes, int]]] = {}
     for i, (data, s) in enumerate(items):
         for h, at in zip(s.headers, s.offsets):
-            if h.protected and h.layer == 3:
+            if h.protected and h.layer < 3:
+                frame = data[at : at + h.size]
+                n = _covered_bits(frame, h)
+                covered = frame[2:4] + frame[6:]
+                out[i, int(len(covered) * 8 < n + 16 or _crc_bits(covered, n + 16) != int.from_bytes(frame[4:6]))] += 1
+            elif h.protected:
                 covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]
                 groups.setdefault(h.side, []).append((i, covered, data[at + 4] << 8 | data[at + 5]))
     for side, frames in groups.items():
@@ -214,10 +282,12 @@ _HEADS = [bytes((0xFF, 0xFA, k << 4 | 2 << 2, 0x00)) for k in range(1, 15)]
 _SIZES = [header(h).size for h in _HEADS]
 _STARTS = [h + int(c).to_bytes(2) + bytes(_SIDE) for h, c in zip(_HEADS, crc16(np.array([list(h[2:4]) + [0] * _SIDE for h in _HEADS], np.uint8)))]
 _BODY = _SIZES[-1] - len(_STARTS[-1])
+#: Empty APE and ID3v1 tags, so that no payload byte stands where a reader looks for one.
+_TRAILER = b"APETAGEX" + struct.pack("<IIII", 2000, 32, 0, 0) + bytes(8) + b"TAG" + bytes(125)
 
 
 def encode(payload: bytes) -> bytes:
-    """An ID3v2 tag with the payload's length, a Xing frame, and frames whose ancillary data are the payload; the last frame takes the lowest bitrate that holds the rest."""
+    """An ID3v2 tag with the payload's length, a Xing frame, and frames whose ancillary data are the payload; the last frame takes the lowest bitrate that holds the rest. Empty tags end it."""
     text = b"\0payload_bytes\0" + str(len(payload)).encode()
     frame = b"TXXX" + len(text).to_bytes(4) + b"\0\0" + text  # short enough for its syncsafe size to be a plain one
     tag = b"ID3\x04\0\0" + len(frame).to_bytes(4) + frame
@@ -231,7 +301,7 @@ def encode(payload: bytes) -> bytes:
     toc = bytes(min(255, (i * len(parts) // 100) * len(parts[0]) * 256 // total) for i in range(100)) if parts else bytes(100)
     xing = b"Xing" + (7).to_bytes(4) + len(parts).to_bytes(4) + total.to_bytes(4) + toc
     k = next(i for i, s in enumerate(_SIZES) if s >= len(_STARTS[i]) + len(xing))
-    return tag + _STARTS[k] + xing + bytes(_SIZES[k] - len(_STARTS[k]) - len(xing)) + audio
+    return tag + _STARTS[k] + xing + bytes(_SIZES[k] - len(_STARTS[k]) - len(xing)) + audio + _TRAILER
 
 
 def decode(data: bytes, s: Stream) -> bytes:

@@ -95,6 +95,52 @@ def test_mpeg_round_trip_and_resync(spark, odd):
     assert [r["frames"] for r in mpeg.media_features(none).collect()] == [0, 0, 0]
 
 
+def test_media_of_payloads_that_look_like_tags():
+    for mark in (b"TAG", b"APETAGEX", b"SONNTAG"):
+        for n in (0, 64, 300, 1100, 2500):
+            for back in range(len(mark), min(n, 300) + 1):
+                payload = bytearray(b"x" * n)
+                payload[n - back : n - back + len(mark)] = mark
+                data = mpeg.encode(bytes(payload))
+                s = mpeg.parse(data)
+                assert mpeg.decode(data, s) == bytes(payload) and s.skipped == 0
+
+
+def _bitwise(bits):
+    crc = 0xFFFF
+    for b in bits:
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ b else 0)
+    return crc
+
+
+def test_checksums_of_layers_1_and_2():
+    # header, bits that the checksum covers after it: layer I stereo, joint (bound 8), mono; layer II at 32 kbit/s mono and 192 stereo
+    for head, n in (("fffe8000", 256), ("fffe8050", 160), ("fffe80c0", 128), ("fffc10c0", 26 + 16), ("fffca000", 2 * (88 + 60))):
+        h = mpeg.header(bytes.fromhex(head))
+        body = bytearray(h.size - 6)
+        if h.layer == 2:
+            full = n if h.mono else 2 * 88
+            body[: full // 8 + 1] = b"\xff" * (full // 8 + 1)
+        frame = bytes.fromhex(head) + b"\0\0" + bytes(body)
+        n = mpeg._covered_bits(frame, h) if not h.mono or h.layer == 1 else n
+        bits = [x >> 7 - k & 1 for x in frame[2:4] + frame[6:] for k in range(8)][: 16 + n]
+        frame = frame[:4] + _bitwise(bits).to_bytes(2) + frame[6:]
+        bad = frame[:6] + bytes([frame[6] ^ 0x80]) + frame[7:]
+        data = frame + bad + frame
+        assert mpeg.verify([(data, mpeg.parse(data))]) == [(2, 1)]
+
+
+def test_free_format_and_vbri():
+    frame = bytes.fromhex("fffb0000") + bytes(696)
+    s = mpeg.parse(frame * 5)
+    assert [h.size for h in s.headers] == [700] * 5 and s.offsets == [0, 700, 1400, 2100, 2800] and s.skipped == 0
+    head = bytes.fromhex("fffb9000")
+    h = mpeg.header(head)
+    table = b"VBRI" + bytes(6) + (4000).to_bytes(4) + (8).to_bytes(4) + b"".join(x.to_bytes(2) for x in (4, 10, 2, 2, 100, 100, 100, 100))
+    s = mpeg.parse((head + bytes(32) + table).ljust(h.size, b"\0") + (head + bytes(h.size - 4)) * 8)
+    assert s.vbr == "VBRI" and list(s.toc) == [i * 256 // 100 for i in range(100)]
+
+
 def test_passages(spark, odd):
     rng = random.Random(3)
     text = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
