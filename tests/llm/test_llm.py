@@ -194,10 +194,12 @@ def test_every_passage_of_equal_words_is_found(spark):
 
 
 def test_passage_with_one_seed(spark):
-    t = [f"a{i}" for i in range(80)]
-    other = [w if 30 <= i < 49 or i % 6 else f"b{i}" for i, w in enumerate(t)]  # 19 equal words, then each sixth differs
-    found = passages.find_passages(spark.createDataFrame([(1, " ".join(t)), (2, " ".join(other))], "doc_id long, text string")).collect()
-    assert len(found) == 1 and found[0]["end"] - found[0]["start"] >= 70
+    rows = []
+    for n in range(40):
+        t = [f"a{n}x{i}" for i in range(80)]
+        rows += [(n, " ".join(t)), (100 + n, " ".join(w if i % 6 != (0 if i <= 30 else 2) or 31 <= i < 50 else f"b{n}x{i}" for i, w in enumerate(t)))]  # 19 equal words, else each sixth differs
+    found = passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["partner_id"]) for r in found if r["end"] - r["start"] >= 70} == {(100 + n, n) for n in range(40)}
 
 
 def test_chains_match_the_quadratic_recurrence():
