@@ -20,10 +20,13 @@ _staged: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where it is unset (local tests) a temporary folder takes its place.
+    Where it is unset, a temporary folder takes its place, but only if Spark runs in
+    one process; on a cluster executors would write where nobody reads.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sparloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

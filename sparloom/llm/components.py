@@ -12,10 +12,14 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first())
 
 
-def _star(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): each pair with the smallest node among u and its neighbours. A hot u is a skewed join, which Spark splits."""
+def _star(pairs: DataFrame, hot: bool) -> DataFrame:
+    """(u, v, m): each pair with the smallest node among u and its neighbours.
+
+    hot: a u may have very many neighbours; the smallest nodes are written first, so
+    that both sides of the join are plain shuffles, which Spark splits.
+    """
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    return pairs.join(stage(least) if hot else least, "u")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -28,8 +32,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before, now = None, _signature(edges)
     while now != before and now[0]:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _star(large).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select(F.col("e.u").alias("a"), F.col("e.m").alias("b")).where("a <> b")
+        large = _star(both, hot=True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _star(large, hot=False).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select(F.col("e.u").alias("a"), F.col("e.m").alias("b")).where("a <> b")
         edges = stage(small.distinct())
         before, now = now, _signature(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

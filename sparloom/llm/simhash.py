@@ -4,13 +4,18 @@ Each bit position i carries a nonzero vector m(i) of radius + 1 bits. For each
 nonzero vector v a table keeps the bits with <m(i), v> = 1. Positions where two
 fingerprints within the radius differ span at most `radius` dimensions, so some v
 is orthogonal to them all and the pair agrees on that table's key: no pair within
-the radius is missed. A bucket of more than `bucket` fingerprints is divided again
-by the same construction over the bits that its key leaves free; that more than
-halves the free bits each time, so a bucket's size is bounded without any cap.
+the radius is missed. A bucket of more than `bucket` fingerprints is divided again:
+the bits that its key leaves free are dealt into groups, and each table of the next
+level leaves only `radius` of the groups free; a pair's differences lie in so many
+groups at most. The first division makes radius + 1 tables of one; the last takes
+as many groups as leave no more free bits than a bucket of `bucket` distinct
+fingerprints has, so a bucket's size is bounded without any cap.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -57,11 +62,17 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp", shing
     return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in carry] + [T.StructField(out, T.LongType())]))
 
 
-def covering_masks(radius: int, within: int = (1 << 64) - 1) -> list[int]:
-    """Masks over the bits of `within`, one for each nonzero vector of radius + 1 bits."""
+def covering_masks(radius: int) -> list[int]:
+    """Masks of the bits that a table keeps, one for each nonzero vector of radius + 1 bits."""
     vectors = (1 << radius + 1) - 1
-    bits = [b for b in range(64) if within >> b & 1]
-    return [sum(1 << b for i, b in enumerate(bits) if ((1 + i % vectors) & v).bit_count() & 1) for v in range(1, vectors + 1)]
+    return [sum(1 << b for b in range(64) if ((1 + b % vectors) & v).bit_count() & 1) for v in range(1, vectors + 1)]
+
+
+def dividing_masks(mask: int, radius: int, groups: int) -> list[int]:
+    """Masks that keep the bits of `mask` and all but `radius` of the groups into which the others are dealt."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    dealt = [sum(1 << b for b in free[i::groups]) for i in range(min(groups, len(free)))]
+    return sorted({(1 << 64) - 1 - sum(some) for some in combinations(dealt, min(radius, len(dealt)))})
 
 
 def _signed(x: int) -> int:
@@ -118,22 +129,23 @@ def linked_fingerprints(fps: DataFrame, radius: int = 3, bucket: int = BUCKET) -
     masks = covering_masks(radius)
     table = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)]))
     rows = fps.select("fp", table.alias("t")).select("t.mask", "t.key", "fp")
-    out = None
+    bits, groups, out = bucket.bit_length() - 1, radius + 1, None
     while True:
-        free = [64 - m.bit_count() for m in masks]
+        free = max(64 - m.bit_count() for m in masks)
         hot = None
-        if max(free) > bucket.bit_length() - 1:
+        if free > max(bits, radius):
             hot = stage(rows.groupBy("mask", "key").count().where(F.col("count") > bucket).select("mask", "key"))
             hot = None if hot.isEmpty() else hot
         cool = _bucket_edges(rows if hot is None else rows.join(hot, ["mask", "key"], "left_anti"), radius)
         out = cool if out is None else out.union(cool)
         if hot is None:
             return out
-        finer = [(i, m | s) for i, m in enumerate(masks) for s in covering_masks(radius, ~m & (1 << 64) - 1)]
-        # of fixed size: 15 ** level masks at radius 3
+        finer = [(i, m) for i, kept in enumerate(masks) for m in dividing_masks(kept, radius, groups)]
+        # of a size that radius and bucket alone decide: 60, then 1,200 masks at radius 3
         wide = F.broadcast(spark.createDataFrame([(i, j, _signed(m)) for j, (i, m) in enumerate(finer)], "mask int, finer int, bits long"))
         rows = rows.join(hot, ["mask", "key"], "left_semi").join(wide, "mask").select(F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("bits")).alias("key"), "fp")
         masks = [m for _, m in finer]
+        groups = max(radius + 1, -(-radius * max(64 - m.bit_count() for m in masks) // max(bits, radius, 1)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
@@ -150,7 +162,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = labels.join(least, labels["node"] == least["fp"]).select("node", "label", "least")
     of = linked.groupBy("label").agg(F.min("least").alias("smallest"))
     by_fp = linked.join(of, "label").select(F.col("node").alias("fp"), "smallest")
-    whole = least.join(by_fp, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
+    # written once, so that both sides of the last join are plain shuffles, which Spark splits where one fingerprint is hot
+    whole = stage(least.join(by_fp, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id")))
     return rows.join(whole, "fp").select(id_col, "fp", "component_id")
 
 
@@ -173,5 +186,10 @@ def hex64(fp: str = "fp") -> F.Column:
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of all documents.
+
+    Null, empty and wordless texts: fingerprint 0. Repeated rows: one row each, of one
+    component. A null doc_id has its component but lends it no id. Empty table: no rows.
+    """
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", hex64().alias("fingerprint"), "component_id")
