@@ -20,10 +20,6 @@ from pyspark.sql import types as T
 from ._common import as_text, column, out_batch, slices, stage
 from .tokens import encoder
 
-#: Partition totals that are summed up on the driver, two numbers each.
-PARTITIONS = 10_000_000
-
-
 def tokenize(docs: DataFrame, tokenizer: str, text_col: str = "text", end_id: int = 1) -> DataFrame:
     """docs with part, local_start, doc_tokens and ids (little-endian unsigned of id_bytes each) in place of the text.
 
@@ -57,16 +53,14 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     start: tokens of the document before the piece; offset: tokens of its sequence
     before it; boundary: the document goes on in another piece. Sequences fill up
     in the order of partitions and rows. Repeated rows are packed each for itself;
-    a null id is carried. An empty table has no pieces.
+    a null id is carried. An empty table has no pieces. The driver sums up one total
+    for each partition of docs: as many numbers as it has tasks anyway.
     """
     spark = docs.sparkSession
     tokens = stage(tokenize(docs.select(F.col(id_col), F.col(text_col)), tokenizer, text_col, end_id))
-    totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
-    rows = sorted(totals.collect())
-    if len(rows) > PARTITIONS:
-        raise ValueError(f"{len(rows)} partitions; coalesce the input to at most {PARTITIONS}")
-    parts = np.array([r["part"] for r in rows], np.int64)
-    sums = np.concatenate([[0], np.cumsum([r["n"] for r in rows], dtype=np.int64)])
+    totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("n")).toArrow().sort_by("part")
+    parts = totals.column("part").to_numpy().astype(np.int64)
+    sums = np.concatenate([[0], np.cumsum(totals.column("n").to_numpy(), dtype=np.int64)])
     bases = spark.sparkContext.broadcast((parts, sums))
 
     def run(batches):
@@ -103,4 +97,9 @@ def default_tokenizer() -> str:
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, pack() with the 49k word-level BPE file and windows of 2048.
+
+    Null and empty texts are the end id alone. Repeated rows are packed each for itself.
+    Empty table: no rows.
+    """
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_tokenizer())

@@ -4,7 +4,9 @@ The word-level tokenizer file lower-cases, drops white space and encodes each pi
 (letters, one digit, or other signs) alone. So texts are cut into pieces with
 numpy, and only pieces that a worker hasn't met are encoded, by the tokenizer's own
 model. Texts with characters outside a range for which the cut is certain go
-through the tokenizer whole. A met piece is known by a 64-bit hash.
+through the tokenizer whole. A met piece is looked up by a 64-bit hash and compared
+with the piece remembered, character by character; a piece that differs from the one
+of its hash is encoded alone.
 """
 
 from __future__ import annotations
@@ -60,19 +62,40 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.firsts, self.ids = np.zeros(1, np.int64), np.zeros(0, self.dtype)
+        self.begins, self.letters = np.zeros(1, np.int64), np.zeros(0, np.uint16)  # the pieces themselves
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+    def _model_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of lower-cased pieces one after another, and where each piece's end."""
         lists = self.model.encode_batch_fast([" ".join(pieces[i : i + 500]) for i in range(0, len(pieces), 500)], add_special_tokens=False)
         ids = np.concatenate([np.array(e.ids, self.dtype) for e in lists])
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(pieces):
             raise ValueError("this tokenizer doesn't encode pieces alone")
+        return ids, ends
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        ids, ends = self._model_ids(pieces)
         places = len(self.firsts) - 1 + np.arange(len(pieces))
         self.firsts = np.concatenate([self.firsts, self.firsts[-1] + ends])
         self.ids = np.concatenate([self.ids, ids])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum([len(x) for x in pieces])])
+        self.letters = np.concatenate([self.letters, np.frombuffer("".join(pieces).encode("utf-16-le"), "<u2")])
         at = np.searchsorted(self.hashes, hashes)
         self.hashes, self.places = np.insert(self.hashes, at, hashes), np.insert(self.places, at, places)
 
+    def _strangers(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Indexes of the pieces that aren't the remembered pieces at `place`."""
+        other = sizes != np.diff(self.begins)[place]
+        same = np.flatnonzero(~other)
+        n = sizes[same]
+        ends = np.cumsum(n)
+        steps = np.arange(int(ends[-1]) if len(ends) else 0)
+        here = steps + np.repeat(starts[same] - (ends - n), n)
+        there = steps + np.repeat(self.begins[place[same]] - (ends - n), n)
+        wrong = np.flatnonzero(points[here] != self.letters[there])
+        other[same[np.unique(np.searchsorted(ends, wrong, "right"))]] = True
+        return np.flatnonzero(other)
+
     def _pieces(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the pieces of lower-cased code points."""
         kinds = self.kinds[points]
@@ -109,10 +132,18 @@ class PieceEncoder:
         if new.any():
             self._learn(unique[new], [flat[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
             at = np.searchsorted(self.hashes, unique)
-        place = self.places[at]
-        sizes = np.diff(self.firsts)[place][which]
+        place = self.places[at][which]
+        first = self.firsts[place]
+        sizes = self.firsts[place + 1] - first
+        store = self.ids
+        odd = self._strangers(points, starts, ends - starts, place)
+        if len(odd):
+            ids, stops = self._model_ids([flat[a:b] for a, b in zip(starts[odd].tolist(), ends[odd].tolist())])
+            sizes[odd] = np.diff(np.concatenate([[0], stops]))
+            first[odd] = len(store) + stops - sizes[odd]
+            store = np.concatenate([store, ids])
         done = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[np.arange(done[-1]) + np.repeat(self.firsts[place][which] - done[:-1], sizes)]
+        ids = store[np.arange(done[-1]) + np.repeat(first - done[:-1], sizes)]
         bounds = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         cuts = done[np.searchsorted(starts, bounds)]
         return np.split(ids, cuts[:-1])
