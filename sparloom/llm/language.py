@@ -23,6 +23,8 @@ from ._common import as_text, column, out_batch, slices, stage
 SIZE = 300
 #: Languages whose profiles are broadcast together; more take more passes.
 LANGUAGES = 4096
+#: Numbers in one table of distances that a task holds: n-grams of a slice by languages.
+CELLS = 4_000_000
 _UNDETERMINED = "und"
 _letters: np.ndarray | None = None
 
@@ -38,7 +40,9 @@ def _letter_table() -> np.ndarray:
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, code, count) of each distinct n-gram of each text; a code holds up to three code points, 21 bits each.
 
-    Every n-gram begins some trigram, so shorter ones are summed up from those.
+    Every n-gram begins some trigram, so shorter ones are summed up from those. Texts
+    whose numbers and alphabet don't fit into one sort key are halved until they do;
+    one text alone always fits.
     """
     points = np.frombuffer("\0".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     points = np.where(_letter_table()[points], points, 0)
@@ -55,8 +59,13 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bits = max(1, int(len(alphabet) - 1).bit_length())
     a, b, c = small[:-2], small[1:-1], small[2:]
     c = np.where(b == 0, 0, c)  # a trigram ends with its word
-    if bits * 3 + len(texts).bit_length() > 62:
-        raise ValueError("too many texts at once")
+    doc = np.where(a == 0, np.append(doc[1:], doc[-1:]), doc)  # the space before a word belongs to the word's text
+    if bits * 3 + len(texts).bit_length() > 63 and len(texts) > 1:
+        half = len(texts) // 2
+        (text, code, counts), (more, codes, n) = ngrams(texts[:half]), ngrams(texts[half:])
+        return np.concatenate([text, more + half]), np.concatenate([code, codes]), np.concatenate([counts, n])
+    if len(texts) == 1:
+        doc = np.zeros_like(doc)  # the text's number needs no bits
     starts = np.flatnonzero((a != 0) | (b != 0))
     keys = np.sort((doc[starts] << 3 * bits) | (a[starts] << 2 * bits) | (b[starts] << bits) | c[starts])
     outs = []
@@ -107,9 +116,9 @@ def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", si
 
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = known.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    # the window's rank limit is applied within tasks first, so a language's n-grams don't all move
-    ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code")) - 1)
-    return ranked.where(F.col("rank") < size).select("lang", "code", "rank")
+    # a limit on row_number() itself is applied within tasks first, so a language's n-grams don't all move
+    ranked = counts.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code")))
+    return ranked.where(F.col("place") <= size).select("lang", "code", (F.col("place") - 1).alias("rank"))
 
 
 def identify(docs: DataFrame, known: DataFrame, text_col: str = "text", out: str = "lang_pred", score: str = "score", size: int = SIZE) -> DataFrame:
@@ -153,13 +162,19 @@ def _nearest(docs: DataFrame, model, text_col: str, carry: list[str], out: str,
             if len(langs) and len(text):
                 at = np.searchsorted(codes, code)
                 at[codes[np.minimum(at, len(codes) - 1)] != code] = len(codes)
-                theirs = table[at]
-                places = np.where(theirs < 0, size, np.abs(theirs - rank[:, None]))
                 total = np.bincount(text, minlength=n)
-                far = np.stack([np.bincount(text, places[:, j], n) for j in range(len(langs))], axis=1)
-                nearest = far.argmin(axis=1)
+                least, nearest = np.full(n, np.inf), np.zeros(n, np.int64)
+                few = max(1, CELLS // max(len(at), n))
+                for j in range(0, len(langs), few):
+                    theirs = table[at, j : j + few]
+                    places = np.where(theirs < 0, size, np.abs(theirs - rank[:, None]))
+                    far = np.stack([np.bincount(text, places[:, i], n) for i in range(places.shape[1])], axis=1)
+                    here = far.argmin(axis=1)
+                    there = far[np.arange(n), here]
+                    nearest = np.where(there < least, j + here, nearest)
+                    least = np.minimum(there, least)
                 some = np.flatnonzero(total)
-                best[some] = 1 - far[some, nearest[some]] / (size * total[some])
+                best[some] = 1 - least[some] / (size * total[some])
                 for i in some.tolist():
                     names[i] = langs[nearest[i]]
             if again:
@@ -172,6 +187,12 @@ def _nearest(docs: DataFrame, model, text_col: str, carry: list[str], out: str,
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of all documents; profiles are learned from those that aren't held out.
+
+    Null texts and texts without a letter: `und`, score 0. Repeated rows are judged
+    alike and count as often as they occur in profiles; a null doc_id isn't held out.
+    Empty table: no rows. Equal distances: the first language by name.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     found = identify(docs.select("doc_id", "text"), profiles(docs.where(~held)))
