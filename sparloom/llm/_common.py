@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task handles at a time; longer documents are handled alone.
 CHUNK_BYTES = 1 << 20
@@ -54,6 +55,31 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """`name`, with as many underscores before it as make it differ from the taken ones (Spark's names ignore case)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
+def aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+    """df with columns of the given names renamed, and all its column names now, in order.
+
+    df.select(*[F.col(now).alias(was) for now, was in zip(names now, df.columns)]) brings them back.
+    """
+    lower = {n.lower() for n in names}
+    now: list[str] = []
+    for c in df.columns:
+        now.append(free_name([*now, *df.columns, *names], c) if c.lower() in lower else c)
+    return df.toDF(*now), now
+
+
+def back(df: DataFrame, now: list[str], was: list[str]) -> DataFrame:
+    """Of df the columns `now` under their names `was`."""
+    return df.select(*[F.col(f"`{n}`").alias(w) for n, w in zip(now, was)])
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds about `limit` bytes of text, or one row."""
     for batch in batches:

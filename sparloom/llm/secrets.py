@@ -10,13 +10,14 @@ without mandatory trigrams (a bare character class) scans every row.
 from __future__ import annotations
 
 import re._parser as rx
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stage
+from ._common import free_name, stage
 
 
 @dataclass(frozen=True)
@@ -129,45 +130,87 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id",
     return ruled.groupBy("row").agg(F.collect_set("kind").alias("kinds"))  # as many as there are rules at most
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, also where `use` reads it for each element of an array."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _scan(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Running results of merge over an array of int not below 0, from 0 on, each one with its own element.
+
+    In blocks of the square root of its size, as an array has no running functions:
+    n elements take n ** 1.5 steps and not n ** 2.
+    """
+
+    def blocks(v: Column) -> Column:
+        width = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(v))).cast("int"))
+        fold = lambda part: F.aggregate(part, F.lit(0), merge)
+        div = lambda i, w: F.floor(i / w).cast("int")
+        inner = lambda w, sums: F.transform(v, lambda _, i: merge(fold(F.slice(sums, 1, div(i, w))), fold(F.slice(v, div(i, w) * w + 1, i % w + 1))))
+        sums = lambda w: F.transform(F.sequence(F.lit(0), div(F.size(v) - 1, w)), lambda b: fold(F.slice(v, b * w + 1, w)))
+        return _let(width, lambda w: _let(sums(w), lambda s: inner(w, s)))
+
+    return F.when(F.size(values) > 0, _let(values, blocks)).otherwise(F.array().cast("array<int>"))
+
+
+_SPANS = "array<struct<start:int,ord:int,kind:string,end:int>>"
+
+
 def _spans(rule: Rule, order: int, text: str, matches: str, groups: str) -> Column:
-    """array<struct<start, ord, kind, end>> from all matches and what lies between them."""
-    gaps = F.split(text, rule.regex, -1)
-    before = lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, s: a + F.length(s)) + F.aggregate(F.slice(F.col(matches), 1, i), F.lit(0), lambda a, s: a + F.length(s))
-    found = F.transform(F.col(matches), lambda m, i: F.struct(before(i).alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), (before(i) + F.length(m)).alias("end"), F.length(F.col(groups)[i]).alias("size")))
-    kept = F.filter(found, lambda s: s["size"] >= rule.least)
-    return F.when(F.exists(F.col(groups), lambda g: F.length(g) >= rule.least), F.transform(kept, lambda s: F.struct(s["start"], s["ord"], s["kind"], s["end"]))).otherwise(F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>"))
+    """_SPANS from all matches and what lies between them."""
+    m, g = F.col(matches), F.col(groups)
+    steps = lambda gaps: F.transform(m, lambda _, i: F.length(gaps[i]) + F.when(i > 0, F.length(F.get(m, i - 1))).otherwise(F.lit(0)))
+    starts = _scan(_let(F.split(text, rule.regex, -1), steps), lambda a, b: a + b)
+    found = _let(starts, lambda at: F.transform(m, lambda x, i: F.struct(at[i].alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), (at[i] + F.length(x)).alias("end"), F.length(g[i]).alias("size"))))
+    kept = F.transform(F.filter(found, lambda s: s["size"] >= rule.least), lambda s: F.struct(s["start"], s["ord"], s["kind"], s["end"]))
+    return F.when(F.exists(g, lambda x: F.length(x) >= rule.least), kept).otherwise(F.array()).cast(_SPANS)
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with secrets, array<struct<start int, ord int, kind string, end int>>: code points, end exclusive, by start, then rule.
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, out: str = "secrets") -> DataFrame:
+    """docs with a column `out`, array<struct<start int, ord int, kind string, end int>>: code points, end exclusive, by start, then rule.
 
     Null and empty texts have none. Repeated rows and null ids are scanned like any
-    other. Input columns of the names secrets, _kinds, _row, _m and _g are replaced.
+    other. An input column `out` is replaced; others, of any name, are carried. An
+    empty table gives no rows.
     """
-    docs = docs.drop("secrets", "_kinds", "_row")
+    docs = docs.drop(out)
+    key, kinds = free_name(docs.columns, "_row"), free_name(docs.columns, "_kinds")
     indexed = tuple(r for r in rules if trigram_query(r.regex))
-    out = docs.withColumn("_row", _row_key(id_col, text_col))
+    found = docs.withColumn(key, _row_key(id_col, text_col))
     if indexed:
-        held = stage(candidates(docs, indexed, id_col, text_col)).select(F.col("row").alias("_row"), F.col("kinds").alias("_kinds"))
-        out = out.join(held, "_row", "left")  # Spark broadcasts the candidates only when their stored size allows it
+        held = stage(candidates(docs, indexed, id_col, text_col)).select(F.col("row").alias(key), F.col("kinds").alias(kinds))
+        found = found.join(held, key, "left")  # Spark broadcasts the candidates only when their stored size allows it
     names = []
     for i, r in enumerate(rules):
-        m, g, s = f"_m{i}", f"_g{i}", f"_s{i}"
-        runs = F.array_contains("_kinds", r.kind) if r in indexed else F.lit(True)
+        m, g, s = (free_name(docs.columns, f"_{x}{i}") for x in "mgs")
+        runs = F.array_contains(kinds, r.kind) if r in indexed else F.lit(True)
         empty = F.array().cast("array<string>")
-        out = out.withColumn(m, F.when(runs & F.col(text_col).isNotNull(), F.regexp_extract_all(text_col, F.lit(r.regex), 0)).otherwise(empty))
-        out = out.withColumn(g, F.when(F.size(m) > 0, F.regexp_extract_all(text_col, F.lit(r.regex), r.group)).otherwise(empty) if r.group else F.col(m))
-        out = out.withColumn(s, _spans(r, i, text_col, m, g))
+        found = found.withColumn(m, F.when(runs & F.col(text_col).isNotNull(), F.regexp_extract_all(text_col, F.lit(r.regex), 0)).otherwise(empty))
+        found = found.withColumn(g, F.when(F.size(m) > 0, F.regexp_extract_all(text_col, F.lit(r.regex), r.group)).otherwise(empty) if r.group else F.col(m))
+        found = found.withColumn(s, _spans(r, i, text_col, m, g))
         names.append(s)
-    return out.select(*docs.columns, F.array_sort(F.flatten(F.array(*names))).alias("secrets"))
+    return found.select(*docs.columns, F.array_sort(F.flatten(F.array(*names))).alias(out))
+
+
+#: Code points of the blocks by which redact() reaches any place of a long text.
+_BLOCK = 1024
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with each stretch of text that a secret covers replaced by the mask; overlapping spans are one stretch."""
-    found = find_secrets(docs, id_col, text_col, rules)
-    step = lambda a, s: F.struct(F.concat(a["text"], F.substring(F.col(text_col), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), F.when(s["start"] >= a["at"], F.lit(mask)).otherwise(F.lit(""))).alias("text"), F.greatest(s["end"], a["at"]).alias("at"))
-    done = F.aggregate("secrets", F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), step, lambda a: F.concat(a["text"], F.substring(F.col(text_col), a["at"] + 1, F.length(text_col))))
-    return found.withColumn(text_col, F.when(F.size("secrets") > 0, done).otherwise(F.col(text_col))).select(*docs.columns)
+    """docs with each stretch of text that a secret covers replaced by the mask; overlapping spans are one stretch. The same columns."""
+    spans = free_name(docs.columns, "_secrets")
+    found = find_secrets(docs, id_col, text_col, rules, spans)
+
+    def masked(blocks: Column) -> Column:
+        div = lambda x: F.floor(x / _BLOCK).cast("int")
+        part = lambda a, b: F.substring(F.array_join(F.slice(blocks, div(a) + 1, div(b) - div(a) + 1), ""), a - div(a) * _BLOCK + 1, b - a)
+        ends = _scan(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        before = lambda at, s, i: _let(F.when(i > 0, F.get(at, i - 1)).otherwise(F.lit(0)), lambda a: F.when(s["start"] >= a, F.concat(part(a, s["start"]), F.lit(mask))).otherwise(F.lit("")))
+        pieces = lambda at: F.concat(F.transform(spans, lambda s, i: before(at, s, i)), F.array(part(F.element_at(at, -1), F.length(text_col))))
+        return F.array_join(_let(ends, pieces), "")
+
+    done = _let(F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{_BLOCK}}}"), 0), masked)
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 def _joined(spans: Column) -> Column:
@@ -179,6 +222,11 @@ def _count(kind: str) -> Column:
 
 
 def op9_secrets(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of all documents.
+
+    Null and empty texts have no spans. Repeated rows and null ids are scanned like any
+    other. Empty table: no rows.
+    """
     found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     base = F.filter("secrets", lambda s: s["ord"] < len(BASE))
     counts = [_count(r.kind).alias(f"n_{r.kind}") for r in BASE]
