@@ -4,7 +4,8 @@ Words are runs of digits, letters and non-ASCII characters, ASCII letters
 lower-cased. Each window of `n` consecutive words of a benchmark item (or the
 whole item, if it is shorter) is looked up in the documents by hash; each hit is
 verified by comparing the words themselves. The benchmark is broadcast in blocks
-of bounded size; a larger benchmark takes more passes, not a larger broadcast.
+of bounded size; a larger benchmark takes more passes, each written before the next
+one begins, so that a task holds one block at a time.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_bytes, column, out_batch, slices
+from ._common import as_bytes, aside, back, column, out_batch, slices, stage
 from .words import Words
 
 #: Bytes of benchmark windows in one broadcast.
@@ -148,6 +149,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     docs = docs.drop("n_words", "n_hit", "items", "hit_words", "hit_spans")
     for b in range(blocks):
         docs = _scan(docs, text_col, spark.sparkContext.broadcast(WindowIndex(keyed.where(F.col("block") == b).collect())))
+        if b < blocks - 1:
+            docs = stage(docs)
     windows.unpersist()
     return docs
 
@@ -166,10 +169,14 @@ def remove_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", **options) -> DataFrame:
-    """docs without contaminated documents (remove="documents") or without hit spans (remove="spans"); same columns."""
-    found = find_contamination(docs, benchmark, **options)
+    """docs without contaminated documents (remove="documents") or without hit spans (remove="spans"); the same columns, of any name, with their values.
+
+    Null and empty texts stay; repeated rows are judged each for itself.
+    """
+    safe, now = aside(docs, ["n_words", "n_hit", "items", "hit_words", "hit_spans"])
+    found = find_contamination(safe, benchmark, **options)
     kept = found.where(~contaminated()) if remove == "documents" else remove_spans(found, options.get("text_col", "text"))
-    return kept.select(*docs.columns)
+    return back(kept, now, docs.columns)
 
 
 def items_sha256(items: str = "items") -> F.Column:
@@ -177,6 +184,11 @@ def items_sha256(items: str = "items") -> F.Column:
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of all documents.
+
+    Null texts have no words; repeated rows are judged each for itself; a null doc_id is
+    carried. Empty documents: no rows; empty benchmark: no hits.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items_sha256().alias("items_sha256"), contaminated().alias("contaminated"))
