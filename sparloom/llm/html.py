@@ -1,4 +1,11 @@
-"""Layout-aware text of HTML pages: a tree with implied tags, visibility rules, and a renderer of blocks, lists and tables."""
+"""Layout-aware text of HTML pages: a tree with implied tags, visibility rules, and a renderer of blocks, lists and tables.
+
+Hidden are elements that browsers don't draw, `hidden` ones, and what `display` and
+`visibility` say in style attributes and in style elements' rules of one compound
+selector (names, classes, ids) outside at-rules; a child may be visible again within
+one whose visibility is hidden. Closed `details` and all options are drawn, as a click
+shows them.
+"""
 
 from __future__ import annotations
 
@@ -28,7 +35,12 @@ _IMPLIED = {
 }
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+#: Settings of display and visibility in a style, with a mark of importance.
+_SETTING = re.compile(r"(?:^|[;{])\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_COMPOUND = re.compile(r"(?:[a-zA-Z][\w-]*|\*)?(?:[.#][\w-]+)*")
+#: Inputs whose value is drawn.
+_DRAWN = frozenset("button email number reset search submit tel text url".split())
 #: What a head holds; anything else ends it.
 _HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Parts of tables; between them, other elements and text go before the table.
@@ -146,20 +158,90 @@ def tree(page: str) -> Node:
                 end = lower.find(f"</{name}", at)
                 end = len(page) if end < 0 else end
                 raw = page[at:end]
+                if name == "textarea":
+                    raw = raw.removeprefix("\n")
                 node.children.append(html.unescape(raw) if name in ("title", "textarea") else raw)
                 stop = page.find(">", end)
                 at = len(page) if stop < 0 else stop + 1
             elif name not in _VOID and name != "col" and not (name == "form" and between) and not (m[3].endswith("/") and (opened["svg"] or opened["math"])):
                 push(node)
+                if name in ("pre", "listing") and page.startswith("\n", at):
+                    at += 1  # a line end right after the tag isn't part of the text
         elif m[0] == "<":
             text("<")
     text(page[at:])
     return root
 
 
-def _visible(n: Node) -> bool:
+def _rules(css: str):
+    """(selector, settings) of the rules outside at-rules."""
+    css, at = _COMMENT.sub(" ", css), 0
+    while (brace := css.find("{", at)) >= 0:
+        head = css[at:brace].rpartition(";")[2].strip()  # an at-rule without a block ends with a semicolon
+        depth, end = 1, brace + 1
+        while depth and end < len(css):
+            if head.startswith("@"):
+                depth += {"{": 1, "}": -1}.get(css[end], 0)
+                end += 1
+            else:
+                stop = css.find("}", end)
+                end = len(css) if stop < 0 else stop + 1
+                depth = 0
+        if not head.startswith("@"):
+            yield head, css[brace:end]
+        at = end
+
+
+class Styles:
+    """What a page's style elements say of display and visibility, by the last name, class or id of a selector."""
+
+    def __init__(self, sheets: list[str]):
+        self.by_key: dict[str, list[tuple]] = {}
+        n = 0
+        for sheet in sheets:
+            for heads, body in _rules(sheet):
+                settings = [(k.lower(), v.lower(), bool(i)) for k, v, i in _SETTING.findall(body)]
+                for head in heads.split(",") if settings else ():
+                    head = head.strip()
+                    if head and _COMPOUND.fullmatch(head):
+                        parts = re.findall(r"[.#]?[\w*-]+", head)
+                        name = parts[0].lower() if parts[0][0] not in ".#" else "*"
+                        classes, ids = {x[1:] for x in parts if x[0] == "."}, {x[1:] for x in parts if x[0] == "#"}
+                        n += 1
+                        rank = (len(ids), len(classes), name != "*", n)
+                        self.by_key.setdefault(parts[-1] if parts[-1][0] in ".#" else name, []).append((rank, name, classes, ids, settings))
+
+    def of(self, n: "Node") -> dict[str, str]:
+        """The settings that hold for an element: of a style attribute, else of the most special rule, the last one on ties."""
+        a = n.attributes
+        own = a.get("style")
+        if not self.by_key and not own:
+            return {}
+        best: dict[str, tuple] = {}
+        if self.by_key:
+            classes, ids = set(a.get("class", "").split()), {a["id"]} if "id" in a else set()
+            for key in [n.name, "*", *(f".{c}" for c in classes), *(f"#{i}" for i in ids)]:
+                for rank, name, cs, i, settings in self.by_key.get(key, ()):
+                    if name in ("*", n.name) and cs <= classes and i <= ids:
+                        for k, v, important in settings:
+                            best[k] = max(best.get(k, ((),)), ((important, 0, *rank), v))
+        for k, v, important in _SETTING.findall(own or ""):
+            best[k.lower()] = max(best.get(k.lower(), ((),)), ((bool(important), 1), v.lower()))
+        return {k: v for k, (_, v) in best.items()}
+
+
+def _drawn(n: Node, styles: dict[str, str]) -> bool:
+    """Whether an element has a place on the page; what its visibility hides keeps its place."""
     a = n.attributes
-    return n.name not in _HIDDEN and not ("hidden" in a or (n.name == "input" and a.get("type", "").lower() == "hidden") or (n.name == "dialog" and "open" not in a) or ("style" in a and _INVISIBLE.search(a["style"])))
+    if n.name in _HIDDEN or (n.name == "input" and a.get("type", "").lower() == "hidden") or (n.name == "dialog" and "open" not in a):
+        return False
+    return styles["display"] != "none" if "display" in styles else "hidden" not in a
+
+
+def _seen(before: bool, styles: dict[str, str]) -> bool:
+    """Whether an element's own text is seen, where `before` says so of its parent's."""
+    v = styles.get("visibility")
+    return before if v in (None, "inherit") else v not in ("hidden", "collapse")
 
 
 _WHITE = re.compile(r"[ \t\n\r\f]+")
@@ -184,99 +266,125 @@ class _Lines:
 
     def __init__(self):
         self.lines: list[str] = []
-        self.now = ""
+        self.now: list[str] = []  # pieces of the line
         self.prefix = ""
         self.blank = False
 
     def write(self, s: str, pre: bool) -> None:
         if pre:
             first, *rest = s.split("\n")
-            self.now += first
+            self.now.append(first)
             for line in rest:
                 self.end(True)
-                self.now = line
+                self.now.append(line)
             return
         s = _WHITE.sub(" ", s)
-        if not self.now or self.now.endswith(" "):
+        last = next((x for x in reversed(self.now) if x), " ")
+        if last.endswith(" "):
             s = s.lstrip(" ")
-        self.now += s
+        if s:
+            self.now.append(s)
 
     def end(self, keep_empty: bool = False) -> None:
-        if self.now.strip(" ") or keep_empty:
+        line = "".join(self.now)
+        self.now = []
+        if line.strip(" ") or keep_empty:
             if self.blank and self.lines:
                 self.lines.append("")
             self.blank = False
-            self.lines.append((self.prefix + self.now).rstrip(" "))
+            self.lines.append((self.prefix + line).rstrip(" "))
             self.prefix = " " * len(self.prefix)
-        self.now = ""
 
     def gap(self) -> None:
         self.end()
         self.blank = True
 
 
-def _table(n: Node):
+def _number(cell: Node, key: str, most: int) -> int:
+    value = cell.attributes.get(key, "").strip()
+    return min(max(int(value[:9]), 1), most) if value.isascii() and value.isdigit() else 1
+
+
+def _table(n: Node, styles: Styles, seen: bool):
     """Rows with cells padded to their columns' widths; a cell over several columns or rows is written once."""
     rows: list[list[str]] = []
-    spans: dict[tuple[int, int], bool] = {}
+    until: dict[int, int] = {}  # the row at which a column is free again
     captions: list[str] = []
 
-    def number(cell: Node, key: str) -> int:
-        value = cell.attributes.get(key, "")
-        return min(max(int(value), 1), 1000) if value.isascii() and value.isdigit() else 1
-
-    def walk(x: Node):
+    def walk(x: Node, seen: bool):
         for c in x.children:
-            if isinstance(c, str) or not _visible(c):
+            if isinstance(c, str):
+                continue
+            how = styles.of(c)
+            if not _drawn(c, how):
                 continue
+            here = _seen(seen, how)
             if c.name == "tr":
                 r, row = len(rows), []
-                for cell in (y for y in c.children if not isinstance(y, str) and y.name in ("td", "th") and _visible(y)):
-                    while (r, len(row)) in spans:
+                for cell in (y for y in c.children if not isinstance(y, str) and y.name in ("td", "th")):
+                    own = styles.of(cell)
+                    if not _drawn(cell, own):
+                        continue
+                    while until.get(len(row), 0) > r:
                         row.append("")
-                    text = " ".join(x for x in (yield _render(cell)).split("\n") if x)
-                    width, height = number(cell, "colspan"), number(cell, "rowspan")
-                    for down in range(1, height):
-                        for k in range(width):
-                            spans[r + down, len(row) + k] = True
+                    text = " ".join(x for x in (yield _render(cell, styles, _seen(here, own))).split("\n") if x)
+                    width, height = _number(cell, "colspan", 1000), _number(cell, "rowspan", 65534)  # the standard's bounds
+                    if height > 1:
+                        until.update({len(row) + k: r + height for k in range(width)})
                     row += [text] + [""] * (width - 1)
                 rows.append(row)
             elif c.name == "caption":
-                captions.append((yield _render(c)))
+                captions.append((yield _render(c, styles, here)))
             else:
-                yield walk(c)
+                yield walk(c, here)
 
-    yield walk(n)
+    yield walk(n, seen)
     widths = [max((len(r[k]) for r in rows if k < len(r)), default=0) for k in range(max(map(len, rows), default=0))]
-    lines = [" | ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip(" |") for r in rows]
+    lines = []
+    for r in rows:
+        full = max((k + 1 for k, c in enumerate(r) if c), default=0)  # empty cells at the end aren't written
+        lines.append(" | ".join(c.ljust(w) for c, w in zip(r[:full], widths)).rstrip(" "))
     return [c for c in captions if c] + [x for x in lines if x]
 
 
 def render(root: Node) -> str:
-    return _run(_render(root))
+    sheets, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        if n.name == "style":
+            sheets.append("".join(c for c in n.children if isinstance(c, str)))
+        elif n.name != "template":
+            stack += [c for c in reversed(n.children) if not isinstance(c, str)]
+    return _run(_render(root, Styles(sheets), True))
 
 
-def _render(root: Node):
+def _render(root: Node, styles: Styles, seen: bool):
     out = _Lines()
 
-    def walk(n: Node, pre: bool, depth: int, counter: list[int] | None):
+    def walk(n: Node, pre: bool, depth: int, counter: list[int] | None, seen: bool):
         for c in n.children:
             if isinstance(c, str):
-                out.write(c, pre)
+                if seen:
+                    out.write(c, pre)
                 continue
-            if not _visible(c):
+            how = styles.of(c)
+            if not _drawn(c, how):
                 continue
-            name = c.name
+            name, here = c.name, _seen(seen, how)
             if name == "br":
                 out.end(True)
             elif name == "hr":
                 out.gap()
             elif name == "img":
-                out.write(f" {c.attributes.get('alt', '')} ".replace("  ", " "), False)
+                if here:
+                    out.write(f" {c.attributes.get('alt', '')} ", False)
+            elif name == "input":
+                if here and c.attributes.get("type", "text").lower() in _DRAWN:
+                    out.write(f" {c.attributes.get('value', '')} ", False)
             elif name == "table":
                 out.gap()
-                for line in (yield _table(c)):
-                    out.now = line
+                for line in (yield _table(c, styles, here)):
+                    out.now = [line]
                     out.end()
                 out.gap()
             elif name == "li":
@@ -285,24 +393,24 @@ def _render(root: Node):
                 if counter:
                     mark, counter[0] = f"{counter[0]}. ", counter[0] + 1
                 out.prefix = "  " * max(0, depth - 1) + mark
-                yield walk(c, pre, depth, None)
+                yield walk(c, pre, depth, None, here)
                 out.end()
                 out.prefix = outer
             elif name in ("ul", "ol", "menu", "dir"):
                 (out.end if depth else out.gap)()
                 start = c.attributes.get("start", "1")
-                yield walk(c, pre, depth + 1, [int(start) if start.isascii() and start.isdigit() else 1] if name == "ol" else None)
+                yield walk(c, pre, depth + 1, [int(start[:9]) if start.isascii() and start.isdigit() else 1] if name == "ol" else None, here)
                 (out.end if depth else out.gap)()
             elif name in _BLOCK:
                 (out.gap if name in _SPACED else out.end)()
-                yield walk(c, pre or name == "pre", depth, counter)
+                yield walk(c, pre or name == "pre", depth, counter, here)
                 (out.gap if name in _SPACED else out.end)()
             else:
-                yield walk(c, pre or name == "textarea", depth, counter)
+                yield walk(c, pre or name == "textarea", depth, counter, here)
                 if name in ("td", "th"):
                     out.write(" ", False)
 
-    yield walk(root, False, 0, None)
+    yield walk(root, False, 0, None, seen)
     out.end()
     return "\n".join(out.lines)
 
@@ -337,4 +445,9 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def op6_html_text(spark, sf_dir: str) -> DataFrame:
+    """All pages with title and text in place of the HTML.
+
+    Null pages: null title and text; empty ones: empty strings. Repeated rows are
+    rendered each for itself; an empty table gives no rows.
+    """
     return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
