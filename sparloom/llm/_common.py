@@ -43,16 +43,29 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/sparloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _staged.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sparloom_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables from which nothing will be read again: what was made of them is written."""
+    for t in tables:
+        path = getattr(t, "_sparloom_path", None)
+        if path in _staged:
+            _staged.remove(path)
+            _delete(t.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes all staged tables, when no result that reads them is needed any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _staged.pop())
 
 
 def free_name(taken: list[str], name: str) -> str:
