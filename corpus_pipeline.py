@@ -1,4 +1,10 @@
-"""Documents to training sequences: the stages of the corpus pipeline, each over all that its predecessor kept."""
+"""Documents to training sequences: the stages of the corpus pipeline, each over all that its predecessor kept.
+
+Null texts count as empty and stay unless they are near-duplicates of one another;
+repeated rows of one id are one document for the near-duplicate stage and stay
+together, and are packed each for itself; a null id is carried; further columns, of
+any name, are carried up to packing. Empty documents give no pieces.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +17,7 @@ from sparloom.llm._common import stage
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that the factorization machine, fitted on the labelled ones, scores 0.5 or more."""
-    machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, machine, out="_score").where("_score < 0.5").select(*docs.columns)
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +31,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets in the texts; every document stays, n_chars follows the text."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Masks secrets in the texts; every document stays, n_chars, if there is one, follows the text."""
+    masked = secrets.redact(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +49,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: A learned model and token ids are beyond SQL; tests/llm/test_pipeline.py holds each stage against a brute-force version.
+#: A learned model and token ids are beyond SQL; tests/llm/test_pipeline.py holds each stage's decisions against a plain version of it on the same rows.
 ORACLE_SQL = None
 
 
