@@ -101,7 +101,7 @@ def tree(page: str) -> Node:
         if not any(opened[n] for n in names):
             return
         for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in limits:
+            if stack[i].name in limits or stack[i].name == "template":
                 return
             if stack[i].name in names:
                 cut(i)
@@ -113,7 +113,7 @@ def tree(page: str) -> Node:
         """Ends what was opened between the parts of a table."""
         if opened["table"]:
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in ("td", "th", "caption"):
+                if stack[i].name in ("td", "th", "caption", "template"):
                     return
                 if stack[i].name in _BETWEEN:
                     cut(i + 1)
@@ -129,6 +129,8 @@ def tree(page: str) -> Node:
                 if stack[i].name == name:
                     cut(i)
                     break
+                if stack[i].name == "template":
+                    break
                 if stack[i].name in ("table", "td", "th") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                     break  # what opened outside a cell doesn't close in it
             begun = begun or name == "head"

@@ -5,35 +5,24 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from sparloom.llm import decontaminate, html, language, mpeg, packing, passages, quality, registry, secrets, simhash, tokens, toxicity
+from sparloom.llm import decontaminate, html, mpeg, packing, passages, registry, secrets, simhash, tokens
 from sparloom.llm.components import connected_components
 from sparloom.llm.words import Words
 
 SF = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-ODD = "doc_id long, text string, lang string, n_words long, batch string, score double"
-
 
 def low(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
 
 
-@pytest.fixture(scope="module")
-def odd(spark):
-    """Nulls, empty and wordless texts, a long one, repeated rows, and columns whose names clash with results."""
-    long = " ".join(f"word{i % 977} filler{i % 13}" for i in range(20_000))
-    rows = [(1, None, None, None, None, None), (2, "", "en", 5, "x", 0.1), (3, "  \n", "", 5, "x", 0.1), (4, "... !!", "en", 5, None, 0.1), (5, long, "en", 5, "x", 0.1), (5, long, "en", 5, "x", 0.1), (None, "no id here at all", "en", 5, "x", 0.1), (7, "Éa ñ ß 😀 İ\0\1 x", "de", 5, "x", 0.1)]
-    return spark.createDataFrame(rows, ODD)
-
-
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
@@ -215,24 +204,6 @@ def test_chains_match_the_quadratic_recurrence():
         assert math.isclose(score, max(best)) and sorted(i for c in chains for i in c) == list(range(len(pts)))
 
 
-def test_toxicity_held_out(spark, odd):
-    got = toxicity.op4_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").toPandas()
-    assert (got.predicted == got.toxic).mean() > 0.97 and (got[got.toxic == 0].predicted == 0).mean() > 0.99
-    labels = spark.createDataFrame([(1, None), (5, 7), (9, 1)], "doc_id long, toxic int")
-    rows = toxicity.score(odd, toxicity.fit(odd, labels)).collect()
-    assert len(rows) == 8 and all(r["score"] < 0.5 for r in rows)
-
-
-def test_interactions_are_learned():
-    rng = np.random.default_rng(0)
-    x = rng.integers(0, 2, (3000, 2))
-    y = (x[:, 0] & x[:, 1]).astype(float)
-    rows, slots = np.nonzero(x)
-    bias, w, v = toxicity._train(rows, slots, y, 2)
-    m = toxicity.Machine(np.array([0, 1]), bias, w, v)
-    assert (m.margins(rows, slots, 3000) > 0).astype(int).tolist() == y.astype(int).tolist()
-
-
 def slow_fingerprint(t):
     w = re.findall("[^\x20\x09-\x0d]+", low(t))
     if not w:
@@ -241,7 +212,7 @@ def slow_fingerprint(t):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-@pytest.mark.parametrize("bucket", [4096, 8])
+@pytest.mark.parametrize("bucket", [4096, 32])
 def test_simhash(spark, bucket):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     rows = docs.collect()
@@ -268,9 +239,13 @@ def test_simhash(spark, bucket):
 def test_covering_masks_miss_no_pair():
     masks = simhash.covering_masks(3)
     rng = random.Random(2)
-    for _ in range(3000):
+    for _ in range(2000):
         d = sum(1 << b for b in rng.sample(range(64), 3))
-        assert any(not d & m for m in masks)
+        hit = [m for m in masks if not d & m]
+        assert hit
+        for groups in (4, 8):
+            assert all(any(not d & f for f in simhash.dividing_masks(m, 3, groups)) for m in hit)
+    assert len(simhash.dividing_masks(masks[0], 3, 4)) == 4 and max(64 - m.bit_count() for m in simhash.dividing_masks(masks[0], 3, 8)) <= 12
 
 
 def test_simhash_odd(spark, odd):
@@ -319,11 +294,16 @@ def test_tokens_and_packing(spark, odd, duck):
     from tokenizers import Tokenizer
 
     path = packing.default_tokenizer()
+    thue = "a"
+    while len(thue) < 4096:  # of one hash with its complement, as the hash of a piece is a polynomial modulo 2**64
+        thue += thue.translate({97: "b", 98: "a"})
+    twin = thue.translate({97: "b", 98: "a"})
     tk = Tokenizer.from_file(path)
     tk.encode_special_tokens = True
     docs = duck.sql("select doc_id, text from documents").fetchall()
     texts = ["it's we're i'll they'd don'tx ''s \"'s 's't", "", "²x½ ª º µ ß ÷×", "Σας İı", "日本語", "<|endoftext|> hi", "__init__ _a_ 3.14 --", "don''t '''s 'REr"] + [t for _, t in docs[:200]]
-    assert [x.tolist() for x in tokens.PieceEncoder(path).encode(texts)] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
+    for texts in (texts, [thue, twin], [f"{twin} it's {thue}", thue, "a b", twin]):
+        assert [x.tolist() for x in tokens.PieceEncoder(path).encode(texts)] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
     want = {d: tk.encode(t, add_special_tokens=False).ids + [1] for d, t in docs}
     pieces = packing.op7_packing(spark, SF).collect()
     by_doc, by_sequence = {}, {}
@@ -342,28 +322,6 @@ def test_tokens_and_packing(spark, odd, duck):
     assert packing.pack(odd.limit(0), path).count() == 0
 
 
-def test_quality(spark, odd):
-    texts = ["abab", "abba", "ba"]
-    key = lambda s: quality.symbols([s])[1].tolist()
-    counts = Counter(k for t in texts for k in key(t))
-    seen = spark.createDataFrame(list(counts.items()), "key long, n long")
-    symbols = sorted({k & 0x7FFF for k in counts}) + [0x3FFF]  # the last stands for all that is unknown
-    for context in {k >> 15 for k in counts}:
-        asked = spark.createDataFrame([(context << 15 | s,) for s in symbols], "key long")
-        total = sum(math.exp(r["logp"]) for r in quality.log_probabilities(asked, seen).collect())
-        assert math.isclose(total, 1, rel_tol=1e-9)
-        break
-    got = quality.classify(odd, spark.createDataFrame([(2,), (5,), (None,)], "doc_id long"))
-    assert got.count() == 8 and got.where("perplexity is null or keep is null").count() == 0
-    assert quality.classify(odd, spark.createDataFrame([], "doc_id long")).where("keep").count() == 8
-    assert quality.classify(odd.limit(0), spark.createDataFrame([(2,)], "doc_id long")).count() == 0
-
-
-def test_quality_separates(spark):
-    got = quality.op8_quality(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").toPandas()
-    assert got[got.quality == 1].keep.mean() > 0.97 and got[got.quality == 0].keep.mean() < 0.15
-
-
 def brute_secrets(t, rules=secrets.RULES):
     return sorted((m.start(), o, r.kind, m.end()) for o, r in enumerate(rules) for m in re.finditer(r.regex, t or "") if len(m.group(r.group)) >= r.least)
 
@@ -381,38 +339,3 @@ def test_secrets(spark, odd):
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]+") == [] and secrets.trigram_query("(abc|de)x?") == []
     assert secrets.trigram_query("(abc|bcde)[0-9]+") == [{frozenset(["abc"]), frozenset(["bcd", "cde"])}]
-
-
-def slow_ngrams(t):
-    out, words = Counter(), "".join(c if c.isalpha() else " " for c in t.lower()).split()
-    s = " " + " ".join(words) + " " if words else ""
-    for n in (1, 2, 3):
-        for i in range(len(s) - n + 1):
-            g = s[i : i + n]
-            if g.strip() and " " not in g[1:-1] and not (n == 2 and g == "  "):
-                out[g] += 1
-    return out
-
-
-def test_language_ngrams():
-    texts = ["Ab, c! xyz", "", "123", "Éé ab"]
-    text, code, counts = language.ngrams(texts)
-    got = [Counter() for _ in texts]
-    for t, c, n in zip(text.tolist(), code.tolist(), counts.tolist()):
-        got[t][c] += n
-    for t, g in zip(texts, got):
-        want = slow_ngrams(t)
-        single = {k: v for k, v in want.items() if len(k) == 1 and k != " "}
-        for k, v in single.items():
-            assert g[ord(k)] == v
-        for k, v in want.items():
-            if len(k) == 3 and " " not in k:
-                assert g[ord(k[0]) << 42 | ord(k[1]) << 21 | ord(k[2])] == v
-
-
-def test_language(spark, odd):
-    got = language.op10_language(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
-    assert (got[got.held_out].lang_pred == got[got.held_out].lang).mean() > 0.98 and got.score.between(0, 1).all()
-    rows = language.identify(odd, language.profiles(odd)).collect()
-    assert [r["lang_pred"] for r in rows[:4]] == ["und"] * 4 and rows[4]["lang_pred"] == "en"
-    assert language.identify(odd, language.profiles(odd.limit(0))).where("lang_pred <> 'und'").count() == 0
