@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from . import extractors
+from .arrays import let
 
 
 def xml_field(c: Column, name: str) -> Column:
@@ -39,34 +38,23 @@ def coerce_list(c: Column) -> Column:
     return F.filter(F.transform(by, lambda x: F.regexp_replace(F.trim(x), r"^[-*]\s+|^[\"']|[\"']$", "")), lambda x: x != "")
 
 
-@F.pandas_udf(T.StringType())
-def close_truncated_json(texts: pd.Series) -> pd.Series:
-    """JSON cut off somewhere, with its open string, arrays and objects closed; null if that doesn't parse."""
+def close_truncated_json(c: Column) -> Column:
+    """JSON cut off somewhere, with its open string, arrays and objects closed; null if that doesn't parse.
 
-    def closed(s):
-        if s is None:
-            return None
-        ends, inside, escaped = [], False, False
-        for ch in s:
-            if inside:
-                inside, escaped = (escaped or ch != '"'), ch == "\\" and not escaped
-            elif ch == '"':
-                inside = True
-            elif ch in "{[":
-                ends.append("}" if ch == "{" else "]")
-            elif ch in "}]" and ends:
-                ends.pop()
-        out = (s + '"' if inside else s.rstrip().rstrip(",:")) + "".join(reversed(ends))
-        try:
-            json.loads(out)
-        except ValueError:
-            return None
-        return out
+    Strings are taken out first, so that the brackets left are the structure; pairs
+    that close are cancelled until only open ones remain.
+    """
+    whole = F.regexp_replace(c, r'"(?:[^"\\]|\\.)*"', "")
+    inside = F.contains(whole, F.lit('"'))
+    brackets = F.regexp_replace(F.regexp_replace(whole, r'(?s)".*', ""), r"[^\[\]{}]", "")
+    pairs = lambda b: F.replace(F.replace(b, F.lit("[]"), F.lit("")), F.lit("{}"), F.lit(""))
+    still = F.aggregate(F.sequence(F.lit(0), F.length(brackets)), brackets, lambda b, _: pairs(b))
+    ends = F.translate(F.reverse(F.regexp_replace(still, r"[\]}]", "")), "[{", "]}")
+    out = F.concat(F.when(inside, F.concat(c, F.lit('"'))).otherwise(F.regexp_replace(c, r"[,:\s]+$", "")), ends)
+    return F.when(F.try_parse_json(out).isNotNull(), out)
 
-    return texts.map(closed)
 
-
-_SUFFIXES = "inc|incorporated|corp|corporation|co|company|llc|ltd|limited|lp|llp|plc|gmbh|ag|sa|bv|nv"
+_SUFFIXES = "|".join(sorted({f.lower().replace(".", r"\.?") for f in (*extractors.FORMS, *extractors.MARKED_FORMS)}, key=len, reverse=True))
 
 
 def entity_key(c: Column) -> Column:
@@ -80,34 +68,36 @@ def money_key(amount: Column, currency: Column) -> Column:
     return F.concat(F.regexp_replace(amount, ",", ""), F.lit(":"), F.coalesce(F.upper(currency), F.lit("USD")))
 
 
-def date_key(c: Column) -> Column:
-    return F.date_format(F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd"), "yyyy-MM-dd")
+def money_text_key(c: Column) -> Column:
+    """money_key() of a text such as $1,000, 100 EUR or a bare number; null for others."""
+    bare = F.regexp_extract(F.trim(c), r"^-?\d[\d,]*(?:\.\d+)?$", 0)
+    found = let(F.get(extractors.money(c), F.lit(0)), lambda m: money_key(m["amount"], m["currency"]))
+    return F.when(bare != "", money_key(bare, F.lit(None).cast("string"))).otherwise(found)
 
 
-# Seconds of each unit; months have 30 days, years 365.
-SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800, "month": 2_592_000, "quarter": 7_776_000, "year": 31_536_000}
+def number_key(c: Column) -> Column:
+    """A number's text without commas, its scale kept; truth values and other texts have none."""
+    plain = F.replace(F.trim(c), F.lit(","), F.lit(""))
+    return F.when(plain.rlike(r"^[+-]?\d+(\.\d+)?$"), F.regexp_replace(plain, r"^\+", ""))
 
 
-def duration_seconds(quantity: Column, unit: Column) -> Column:
-    units = F.create_map(*[F.lit(x) for pair in SECONDS.items() for x in pair])
-    return (quantity * units[F.regexp_replace(F.lower(unit), "s$", "")]).cast("long")
+def date_key(c: Column) -> Column:
+    return F.date_format(F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd"), "yyyy-MM-dd")
 
 
-MONEY = r"(?:\$|USD |EUR |€|£)\s?([0-9][0-9,]*(?:\.[0-9]+)?)"
-PERCENT = r"([0-9]+(?:\.[0-9]+)?)\s?(?:%|percent)"
-ISO_DATE = r"\b([0-9]{4}-[0-9]{2}-[0-9]{2})\b"
-NUMBER = r"\b([0-9][0-9,]*(?:\.[0-9]+)?)\b"
-DURATION = r"\b([0-9]+ (?:second|minute|hour|day|week|month|quarter|year)s?)\b"
-ENTITY = r"\b((?:[A-Z][A-Za-z0-9#]*[ ,]+)+(?:Inc|Corp|LLC|Ltd|GmbH|AG|PLC)\b)"
+def date_text_key(c: Column) -> Column:
+    """ISO dates by their first ten characters, else the first date in the text."""
+    return F.coalesce(date_key(c), F.date_format(F.get(extractors.dates(c), F.lit(0))["value"], "yyyy-MM-dd"))
 
 
-def find_all(c: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(c, F.lit(pattern), 1)
+def duration_seconds(quantity: Column, unit: Column) -> Column:
+    units = F.create_map(*[F.lit(x) for pair in extractors.SECONDS.items() for x in pair])
+    return (quantity * units[F.regexp_replace(F.lower(unit), "s$", "")]).cast("long")
 
 
-def percent_value(c: Column) -> Column:
-    """A percentage as a fraction."""
-    return F.transform(find_all(c, PERCENT), lambda x: x.cast("double") / 100)
+def duration_text_key(c: Column) -> Column:
+    """Total seconds of the first duration in the text."""
+    return F.get(extractors.durations(c), F.lit(0))["seconds"].cast("long").cast("string")
 
 
 def decode_envelope(c: Column, payload: str) -> Column:
@@ -120,3 +110,17 @@ def shorten(c: Column, threshold: int, prefix: int = 64, digits: int = 16) -> Co
     """Texts over the threshold as a prefix, their length and a digest."""
     tail = F.concat(F.lit(" ... [TRUNCATED "), F.length(c).cast("string"), F.lit(" chars; sha256="), F.substring(F.sha2(c, 256), 1, digits), F.lit("]"))
     return F.when(F.length(c) <= threshold, c).otherwise(F.concat(F.substring(c, 1, prefix), tail))
+
+
+def redact(c: Column, names: tuple[str, ...] = ("KEY", "TOKEN", "SECRET", "PASSWORD"), mask: str = "[REDACTED]") -> Column:
+    """A map of settings in which values are masked whose name holds one of `names`, in any case."""
+    return F.transform_values(c, lambda k, v: F.when(F.upper(k).rlike("|".join(names)), F.lit(mask)).otherwise(v))
+
+
+def json_diff(before: Column, after: Column) -> Column:
+    """Lines of two flat JSON objects that differ, by key: `- "k": old` then `+ "k": new`."""
+    a, b = F.from_json(before, "map<string,string>"), F.from_json(after, "map<string,string>")
+    line = lambda sign, k, m: F.concat(F.lit(f'{sign} "'), k, F.lit('": '), F.coalesce(m[k], F.lit("null")))
+    keys = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
+    lines = F.transform(F.filter(keys, lambda k: ~a[k].eqNullSafe(b[k]) | (F.map_contains_key(a, k) != F.map_contains_key(b, k))), lambda k: F.concat_ws("\n", F.when(F.map_contains_key(a, k), line("-", k, a)), F.when(F.map_contains_key(b, k), line("+", k, b))))
+    return F.array_join(lines, "\n")

@@ -8,8 +8,11 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from sparloom.functions.arrays import let, starts
+
 
 def hard_split(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, start, end, chunk) of fixed width."""
@@ -19,24 +22,47 @@ def hard_split(docs: DataFrame, width: int, key: str = "doc_id", text: str = "te
     return rows.select(key, "pos", start.alias("start"), F.least(start + width, F.length(text)).alias("end"), F.substring(F.col(text), start + 1, F.lit(width)).alias("chunk"))
 
 
-def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", separator: str = "\n", least: int = 20) -> DataFrame:
-    """(key, pos, start, end, chunk): stretches between separators with at least `least` characters; tag p<pos>."""
-    parts = F.split(text, separator, -1)
-    begin = lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, p: a + F.length(p) + len(separator))
-    spans = F.transform(parts, lambda p, i: F.struct(i.alias("pos"), begin(i).alias("start"), (begin(i) + F.length(p)).alias("end"), p.alias("chunk")))
-    return docs.select(key, F.explode(F.filter(spans, lambda s: F.length(F.trim(s["chunk"])) >= least)).alias("s")).select(key, "s.pos", "s.start", "s.end", "s.chunk")
+def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", separator: str = r"\n{2,}", least: int = 20) -> DataFrame:
+    """(key, pos, start, end, chunk): the stretches between separators (a regex) that have at least `least` characters but outer white space, counted by pos."""
+
+    def of(gaps: Column) -> Column:
+        parts = F.split(F.col(text), separator, -1)
+        return let(parts, lambda p: let(starts(F.zip_with(F.transform(p, lambda x: F.length(x)), gaps, lambda n, g: n + F.coalesce(F.length(g), F.lit(0)))), lambda at: F.transform(p, lambda x, i: F.struct(at[i].alias("start"), (at[i] + F.length(x)).alias("end"), x.alias("chunk")))))
+
+    found = let(F.regexp_extract_all(text, F.lit(separator), 0), of)
+    long = F.filter(found, lambda s: F.length(F.regexp_replace(s["chunk"], r"(?U)^\s+|\s+$", "")) >= least)
+    return docs.where(F.col(text).isNotNull()).select(key, F.posexplode(long).alias("pos", "s")).select(key, "pos", "s.start", "s.end", "s.chunk")
+
+
+def tagged_text(docs: DataFrame, key: str = "doc_id", text: str = "text", uri: str = "doc:", least: int = 20) -> DataFrame:
+    """(key, tagged, tags): the text with `[SRC:<uri><key>#p<n>] ` before each paragraph of `least` characters, and map from tag to struct(start, end) in the text as it was."""
+    tags = paragraphs(docs, key, text, least=least).withColumn("tag", F.concat(F.lit(uri), F.col(key).cast("string"), F.lit("#p"), F.col("pos").cast("string")))
+    listed = tags.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "chunk", "tag"))).alias("_p"))
+    none = F.array().cast(listed.schema["_p"].dataType)
+    joined = docs.where(F.col(text).isNotNull()).select(key, text).join(listed, key, "left").withColumn("_p", F.coalesce("_p", none))
+    before = lambda i: F.when(i > 0, F.get(F.col("_p"), i - 1)["end"]).otherwise(F.lit(0))
+    pieces = F.transform("_p", lambda s, i: F.concat(F.substring(F.col(text), before(i) + 1, s["start"] - before(i)), F.lit("[SRC:"), s["tag"], F.lit("] "), s["chunk"]))
+    rest = F.substring(F.col(text), F.coalesce(F.element_at("_p", -1)["end"], F.lit(0)) + 1, F.length(text))
+    spans_of = F.map_from_entries(F.transform("_p", lambda s: F.struct(s["tag"], F.struct(s["start"], s["end"]))))
+    return joined.select(key, F.concat(F.array_join(pieces, ""), rest).alias("tagged"), spans_of.alias("tags"))
 
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_PARAGRAPH = re.compile(r"\n\n+")
+
+
+def segments(text: str) -> list[int]:
+    """Where sentences end; where the text has no two sentences, where paragraphs do."""
+    ends = [m.end() for m in _SENTENCE.finditer(text)] or [m.end() for m in _PARAGRAPH.finditer(text)]
+    return ends if ends and ends[-1] == len(text) else [*ends, len(text)]
 
 
 def pack_text(text: str, most: int, least: int) -> list[tuple[int, int]]:
-    """Sentences packed greedily into chunks of at most `most` characters; a longer sentence is cut; a tail under `least` joins its predecessor."""
+    """Segments packed greedily into chunks of at most `most` characters; a longer segment is cut; a tail under `least` joins its predecessor."""
     if len(text) <= most:
         return [(0, len(text))] if text else []
-    ends = [m.end() for m in _SENTENCE.finditer(text)] + [len(text)]
     out, start, last = [], 0, 0
-    for e in ends:
+    for e in segments(text):
         if e - start > most and last > start:
             out.append((start, last))
             start = last
@@ -53,21 +79,41 @@ def pack_text(text: str, most: int, least: int) -> list[tuple[int, int]]:
 
 
 def pack_sentences(docs: DataFrame, most: int = 2000, least: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, start, end, chunk) by pack_text()."""
+    """(key, pos, start, end, chunk) by pack_text(); null and empty texts have no chunks."""
+    kind = docs.schema[key].dataType
 
     def run(batches):
         for batch in batches:
-            rows = [(k, i, a, b, t[a:b]) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, (a, b) in enumerate(pack_text(t or "", most, least))]
-            kinds = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [key, "pos", "start", "end", "chunk"])
+            for row in range(0, batch.num_rows, 256):
+                part = batch.slice(row, 256)
+                cuts = [pack_text(t or "", most, least) for t in part.column(1).to_pylist()]
+                of = pa.array([i for i, c in enumerate(cuts) for _ in c], pa.int32())
+                texts = part.column(1).take(of).to_pylist()
+                flat = [(n, a, b) for c in cuts for n, (a, b) in enumerate(c)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), *(pa.array([f[i] for f in flat], pa.int32()) for i in range(3)), pa.array([t[a:b] for t, (_, a, b) in zip(texts, flat)], pa.string())], [key, "pos", "start", "end", "chunk"])
+
+    return docs.select(key, text).mapInArrow(run, T.StructType([T.StructField(key, kind)] + [T.StructField(c, T.IntegerType()) for c in ("pos", "start", "end")] + [T.StructField("chunk", T.StringType())]))
+
+
+def with_chunk_ids(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """chunks with chunk_id, 16 digits of a hash of its text and place."""
+    return chunks.withColumn("chunk_id", F.substring(F.sha2(F.concat_ws("\x1f", F.col(key).cast("string"), "start", "end", "chunk"), 256), 1, 16))
+
+
+def pooled_chunks(lists: Column) -> Column:
+    """Chunk ids of several results (array of arrays), each once, in order of first use."""
+    return F.array_distinct(F.flatten(lists))
+
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, pos int, start int, end int, chunk string")
+def pooled_spans(a: Column, b: Column) -> Column:
+    """Spans of two results, each (source, start, end) once, in order of first use."""
+    return F.array_distinct(F.concat(a, b))
 
 
 def bm25(docs: DataFrame, terms: list[str], k: int, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score): the k best documents for the terms; ties by key. Only rows of query terms are shuffled."""
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    sized = docs.select(key, F.filter(words, lambda w: w != "").alias("w")).select(key, F.size("w").alias("n"), F.filter("w", lambda w: w.isin(*terms)).alias("hits"))
+    sized = docs.select(key, F.filter(words, lambda w: w != "").alias("w")).select(key, F.size("w").alias("n"), F.filter("w", lambda w: w.isin(*terms)).alias("hits")).persist()  # sizes and hits only; read twice
     total, mean = sized.agg(F.count("*"), F.avg("n")).first()
     tf = sized.select(key, "n", F.explode("hits").alias("term")).groupBy(key, "n", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))

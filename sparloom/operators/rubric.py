@@ -42,6 +42,15 @@ def hard_score(criteria: list[Criterion]) -> Column:
     return (matched / scale + 1) / 2
 
 
+def checked(criteria: list[Criterion], hard_weight: float, soft_weight: float, soft: int) -> list[Criterion]:
+    """The criteria, if a rubric may be made of them: the channels' weights sum up to 1, and a channel without criteria (`soft`: the other's number) weighs nothing."""
+    if abs(hard_weight + soft_weight - 1) > 1e-9:
+        raise ValueError("the channels' weights don't sum up to 1")
+    if (not criteria and hard_weight) or (not soft and soft_weight):
+        raise ValueError("an empty channel has a weight")
+    return criteria
+
+
 def aggregate_score(hard: Column, soft: Column, hard_weight: float, soft_weight: float) -> Column:
     """Weighted channels within [0, 1]; a missing soft score is 0.5."""
     return F.least(F.greatest(hard * hard_weight + F.coalesce(soft, F.lit(0.5)) * soft_weight, F.lit(0.0)), F.lit(1.0))

@@ -97,3 +97,63 @@ def resume_counts(items: DataFrame, log: DataFrame) -> DataFrame:
 def list_batches(batches: DataFrame, most: int = 50) -> DataFrame:
     """The newest batches (batch, created_at, ...)."""
     return batches.orderBy(F.desc("created_at"), "batch").limit(most)
+
+
+def with_prices(calls: DataFrame, prices: DataFrame, model: str = "model") -> DataFrame:
+    """calls with cost: prices (model, aliases array, price_in, price_out) by model or alias, `provider/model` too; unknown models cost nothing. A price table is small."""
+    names = prices.select(F.explode(F.array_union(F.array("model"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_name"), "price_in", "price_out")
+    bare = F.regexp_replace(model, "^[^/]*/", "")
+    joined = calls.withColumn("_name", F.coalesce(bare, F.lit(""))).join(F.broadcast(names), "_name", "left")
+    return joined.withColumn("cost", cost(F.col("tokens_in"), F.col("tokens_out"), F.col("price_in"), F.col("price_out"))).drop("_name", "price_in", "price_out")
+
+
+def split_cost(tokens: Column, price_in: Column, price_out: Column, share_in: float = 0.7) -> Column:
+    """Cost where only the total is known: seven tenths count as input."""
+    return cost(tokens * share_in, tokens * (1 - share_in), price_in, price_out)
+
+
+def tree_costs(nodes: DataFrame, depth: int = 16) -> DataFrame:
+    """(trace, root, level, cost): each node's cost with all below it, filled bottom up; a node without cost of its own is the sum of its children.
+
+    nodes: (root, trace, parent, cost). Levels are counted from the root; deeper ones than `depth` are an error.
+    """
+    level = nodes.where("parent is null").select("root", "trace", F.lit(0).alias("level"))
+    out = level
+    for i in range(1, depth + 1):
+        level = nodes.join(level.select("root", F.col("trace").alias("parent")), ["root", "parent"]).select("root", "trace", F.lit(i).alias("level"))
+        if level.isEmpty():
+            break
+        out = out.union(level)
+    else:
+        raise ValueError(f"a trace is deeper than {depth}")
+    held = nodes.join(out, ["root", "trace"])
+    pairs = held.select("root", F.col("trace").alias("above"), "trace")
+    step = held.select("root", F.col("trace").alias("_t"), F.col("parent").alias("_p")).where("_p is not null")
+    reach = pairs
+    for _ in range(i):
+        pairs = pairs.join(step, (pairs["root"] == step["root"]) & (pairs["above"] == step["_t"])).select(pairs["root"], F.col("_p").alias("above"), "trace")
+        reach = reach.union(pairs)
+    leaf = nodes.join(nodes.where("parent is not null").select("root", F.col("parent").alias("trace")).distinct(), ["root", "trace"], "left_anti").select("root", "trace", "cost")
+    sums = reach.join(leaf, ["root", "trace"]).groupBy("root", "above").agg(F.round(F.sum("cost"), 6).alias("cost"))
+    return out.join(sums.withColumnRenamed("above", "trace"), ["root", "trace"]).select("trace", "root", "level", "cost")
+
+
+def config_fingerprint(instructions: Column, examples: Column, settings: Column) -> Column:
+    """First 16 digits of a hash of instructions, examples and settings (a map, by key)."""
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries(settings)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return F.substring(F.sha2(F.concat_ws("\x1f", F.coalesce(instructions, F.lit("")), F.coalesce(examples, F.lit("")), listed), 256), 1, 16)
+
+
+def checked_log(log: DataFrame, program: str) -> DataFrame:
+    """The item records of a log (kind, program_hash, custom_id, ...) whose headers all have the program's hash; another hash is an error."""
+    wrong = F.max(F.when((F.col("kind") == "header") & (F.col("program_hash") != program), F.col("program_hash")))
+    found = log.agg(wrong.alias("x")).first()["x"]
+    if found is not None:
+        raise ValueError(f"the log is of another program: {found}")
+    return log.where("kind = 'item'")
+
+
+def question_outcomes(answers: DataFrame) -> DataFrame:
+    """answers with outcome: error where there is one, insufficient_evidence for a refusal or an empty answer, else answer."""
+    empty = F.trim(F.coalesce("answer", F.lit(""))) == ""
+    return answers.withColumn("outcome", F.when(F.col("error").isNotNull(), "error").when(F.coalesce("refused", F.lit(False)) | empty, "insufficient_evidence").otherwise("answer"))

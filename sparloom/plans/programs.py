@@ -203,9 +203,10 @@ def stream_dedup(spark, d):
 def stream_resume(spark, d):
     out = shared_folder(spark, "resume")
     item = [F.col("event_id").cast("string").alias("custom_id"), "value"]
-    table(spark, d, "events").where("event_id % 3 = 0").select(*item, F.lit("before").alias("run")).write.parquet(f"{out}/rows")
-    streams.run_incrementally(_stream(spark, d).select(*item), lambda fresh: fresh.withColumn("run", F.lit("stream")), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    table(spark, d, "events").where("event_id % 3 = 0").select(*item, F.lit("before").alias("run")).write.parquet(f"{out}/before")
+    done = spark.read.parquet(f"{out}/before")
+    streams.run_incrementally(_stream(spark, d).select(*item), lambda fresh: fresh.withColumn("run", F.lit("stream")), f"{out}/rows", f"{out}/checkpoint", done=done).awaitTermination()
+    return done.unionByName(spark.read.parquet(f"{out}/rows").drop("batch"))
 
 
 @query("select event_type, event_id as seq from events qualify row_number() over (partition by event_type order by event_id desc) <= 20")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparloom.functions import codecs, grounding, metrics
+from sparloom.functions import codecs, extractors, grounding, metrics
 from sparloom.operators import cells, chunks, rubric, runs, trials, vectors, votes
 from sparloom.sources import readers
 
@@ -37,11 +38,11 @@ def scan_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
 
 
-@query("select lang, count(*) as n_total, count(*) filter (where (n_chars >= 1000)::int = quality) as n_correct, round(count(*) filter (where (n_chars >= 1000)::int = quality) / count(*), 4) as accuracy from documents join labels using (doc_id) group by lang")
+@query("""with e as (select lang, doc_id % 17 = 0 as failed, (n_chars >= 1000)::int = quality as ok from documents join labels using (doc_id)) select lang, count(*) as n_total, count(*) filter (where ok and not failed) as n_correct, count(*) filter (where failed) as n_errors, round(count(*) filter (where ok and not failed) / count(*), 4) as accuracy, round(count(*) filter (where ok and not failed) / count(*), 4) as mean_score, round(count(*) filter (where failed) / count(*), 4) as error_rate from e group by lang""")
 def eval_summary(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "lang", "n_chars").join(table(spark, d, "labels"), "doc_id")
     score = metrics.exact_match((F.col("n_chars") >= 1000).cast("int"), F.col("quality"))
-    return rows.groupBy("lang").agg(F.count("*").alias("n_total"), F.count_if(score == 1).alias("n_correct"), F.round(F.avg(score), 4).alias("accuracy"))
+    return metrics.evaluate(rows, score, ["lang"], error=F.when(F.col("doc_id") % 17 == 0, F.lit("timeout")))
 
 
 @query("select o_orderkey, o_totalprice from orders where o_orderstatus = 'F' order by o_totalprice desc, o_orderkey limit 500")
@@ -66,7 +67,7 @@ _ANSWERS = "with a as (select c_custkey, case when c_custkey % 3 = 0 then ' ' ||
 _TEXT_METRICS = {
     "metric_exact_match": (lambda p, g: metrics.exact_match(p, g), "p = g"),
     "metric_case_insensitive": (lambda p, g: metrics.case_insensitive_match(p, g), "lower(p) = lower(g)"),
-    "metric_normalized": (lambda p, g: metrics.normalized_match(p, g), "trim(regexp_replace(lower(trim(p)), '[.,;:!?\\s]+$', '')) = lower(g)"),
+    "metric_normalized": (lambda p, g: metrics.normalized_match(F.concat(F.lit("\t\n'"), p, F.lit("' \n")), g), "trim(regexp_replace(lower(trim(p)), '[.,;:!?\\s]+$', '')) = lower(g) and not contains(p, '. ')"),
     "metric_contains": (lambda p, g: metrics.contains(p, g), "contains(lower(p), lower(g))"),
     "metric_regex": (lambda p, g: metrics.regex_match(p, "[A-Z]+"), "regexp_full_match(p, '[A-Z]+')"),
 }
@@ -110,9 +111,7 @@ def metric_prf_set(spark, d):
 @query("""with c as (select user_id, event_type, count(*) filter (where value > 60) as cp, count(*) filter (where event_id % 4 = 0) as cg from events group by all)
 select user_id, sum(least(cp, cg))::bigint as tp, (sum(cp) - sum(least(cp, cg)))::bigint as fp, (sum(cg) - sum(least(cp, cg)))::bigint as fn from c group by user_id""")
 def metric_prf_multiset(spark, d):
-    counts = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count_if(F.col("value") > 60).alias("cp"), F.count_if(F.col("event_id") % 4 == 0).alias("cg"))
-    tp = F.sum(F.least("cp", "cg"))
-    return counts.groupBy("user_id").agg(tp.alias("tp"), (F.sum("cp") - tp).alias("fp"), (F.sum("cg") - tp).alias("fn"))
+    return metrics.multiset_counts(table(spark, d, "events"), ["user_id"], "event_type", F.col("value") > 60, F.col("event_id") % 4 == 0)
 
 
 @query(_SETS + "select user_id, pr::double as context_precision, re::double as context_recall, (pr * 0.5 + re * 0.25 + 0.25)::double as composite from m")
@@ -124,29 +123,25 @@ def metric_ragas_composite(spark, d):
 @query("""with t as (select user_id, count(*) filter (where value > 60 and event_id % 4 = 0) / greatest(count(*) filter (where value > 60), 1) as a, count(*) filter (where value > 30 and event_id % 4 = 0) / greatest(count(*) filter (where value > 30), 1) as b from events group by user_id)
 select user_id, round(b - a, 4) as lift from t""")
 def metric_expansion_lift(spark, d):
-    gold = F.col("event_id") % 4 == 0
-    precision = lambda least: F.count_if((F.col("value") > least) & gold) / F.greatest(F.count_if(F.col("value") > least), F.lit(1))
-    return table(spark, d, "events").groupBy("user_id").agg(F.round(precision(30) - precision(60), 4).alias("lift"))
+    return metrics.precision_lift(table(spark, d, "events"), ["user_id"], F.col("value") > 60, F.col("value") > 30, F.col("event_id") % 4 == 0)
 
 
 @query("select event_type, round(count(*) filter (where value < 10) / count(*), 4) as refusal_rate from events group by event_type")
 def metric_refusal_rate(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg((F.col("value") < 10).cast("double")), 4).alias("refusal_rate"))
+    return metrics.refusal_rate(table(spark, d, "events"), ["event_type"], F.col("value") < 10)
 
 
 @query("select quality as gold, (n_chars >= 1000)::int as predicted, count(*) as n from documents join labels using (doc_id) group by all")
 def confusion_matrix(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id")
-    return rows.groupBy(F.col("quality").alias("gold"), (F.col("n_chars") >= 1000).cast("int").alias("predicted")).agg(F.count("*").alias("n"))
+    return metrics.confusion(rows, "quality", (F.col("n_chars") >= 1000).cast("int"))
 
 
 @query("""with c as (select quality as g, (n_chars >= 1000)::int as p from documents join labels using (doc_id)), l as (select unnest([0, 1]) as label),
 f as (select label, count(*) filter (where g = label and p = label) as tp, count(*) filter (where g <> label and p = label) as fp, count(*) filter (where g = label and p <> label) as fn from c, l group by label)
 select round(avg(case when tp > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end), 4) as macro_f1, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 4) as micro_f1 from f""")
 def f1_macro_micro(spark, d):
-    label = F.explode(F.array(F.struct(F.col("gold").alias("label"), F.col("n").alias("g"), F.lit(0).cast("long").alias("p"), F.when(F.col("gold") == F.col("predicted"), F.col("n")).otherwise(0).alias("tp")), F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("g"), F.col("n").alias("p"), F.lit(0).cast("long").alias("tp"))))
-    by = confusion_matrix(spark, d).select(label.alias("x")).select("x.*").groupBy("label").agg(F.sum("g").alias("g"), F.sum("p").alias("p"), F.sum("tp").alias("tp"))
-    return by.agg(F.round(F.avg(2 * F.col("tp") / (F.col("g") + F.col("p"))), 4).alias("macro_f1"), F.round(2 * F.sum("tp") / (F.sum("g") + F.sum("p")), 4).alias("micro_f1"))
+    return metrics.f1_scores(confusion_matrix(spark, d))
 
 
 # Votes: users are documents, events chunks, event types labels
@@ -164,14 +159,47 @@ def agg_vote(spark, d):
     return votes.vote(_picks(spark, d))
 
 
-@query(_PICKS + "select doc, case when votes >= 4.0 * n then label end as label, not votes >= 4.0 * n as abstained from w join (select doc, count(distinct chunk) as n from picks group by doc) using (doc)")
+@query("""with v as (select user_id as doc, event_type as label, count(*) as votes, min(event_id) as f from events group by user_id, event_type), c as (select *, sum(votes) over (partition by doc) as n from v)
+select doc, case when votes >= 0.26 * n then label end as label, votes < 0.26 * n as abstained from c qualify row_number() over (partition by doc order by votes desc, f) = 1""")
 def agg_majority(spark, d):
-    return votes.majority(_picks(spark, d), 4.0)
+    return votes.majority(_picks(spark, d).withColumn("chunk", F.col("pos")), 0.26)
 
 
-@query(_PICKS + "select doc, string_agg(distinct label, ',' order by label) as labels from picks group by doc")
+_LABELS = ["view", "signup", "purchase", "click"]  # error is no label
+
+
+@query("select user_id as doc, concat_ws(',', case when bool_or(event_type = 'view') then 'view' end, case when bool_or(event_type = 'signup') then 'signup' end, case when bool_or(event_type = 'purchase') then 'purchase' end, case when bool_or(event_type = 'click') then 'click' end) as labels from events where value > 97 group by user_id")
 def agg_union(spark, d):
-    return votes.union(_picks(spark, d))
+    return votes.aggregate(_picks(spark, d).where("score > 97"), exclusive=False, labels=_LABELS)
+
+
+@query("""with v as (select user_id, event_type as label, count(*) as n, min(event_id) as f from events group by user_id, event_type), c as (select * from v qualify row_number() over (partition by user_id order by n desc, f) = 1)
+select user_id as doc, case when label <> 'error' then label end as label, label = 'error' as abstained from c""")
+def agg_abstain(spark, d):
+    won = votes.vote(_picks(spark, d))
+    return won.select("doc", *votes.decided(F.col("label"), _LABELS)).select("doc", F.get("labels", F.lit(0)).alias("label"), "abstained")
+
+
+@query("select doc, label, weight from (select user_id as doc, event_type as label, sum(1 + event_id % 3)::bigint as weight, min(event_id) as f from events group by user_id, event_type) qualify row_number() over (partition by doc order by weight desc, f) = 1")
+def agg_weighted_exclusive(spark, d):
+    return votes.weighted(_picks(spark, d), exclusive=True)
+
+
+@query("select user_id as doc, event_type as label, max(value) as score from events group by all having max(value) >= 95")
+def agg_max_score_multi(spark, d):
+    return votes.max_score(_picks(spark, d), 95, exclusive=False)
+
+
+@query("""with p as (select user_id, event_id % 5 as chunk, min(event_id) as f from events group by all), s as (select distinct user_id, 'd' || user_id % 3 as source, (event_id % 40)::int as a from events where event_id % 4 = 0),
+h as (select user_id, event_type, count(*) as n from events group by all)
+select user_id as doc, (select string_agg(chunk, ',' order by f) from p where p.user_id = u.user_id) as chunks_used, (select count(*) from p where p.user_id = u.user_id) as input_chunks,
+coalesce((select string_agg(source || ':' || a, ',' order by a) from s where s.user_id = u.user_id), '') as spans, (select string_agg(event_type || '=' || n, ',' order by event_type) from h where h.user_id = u.user_id) as picked from (select distinct user_id from events) u""")
+def agg_provenance(spark, d):
+    at = F.when(F.col("pos") % 4 == 0, (F.col("pos") % 40).cast("int"))
+    pooled = votes.provenance(_picks(spark, d).select("*", F.concat(F.lit("d"), (F.col("doc") % 3).cast("string")).alias("source"), at.alias("start"), (at + 5).alias("end")))
+    spans = F.transform("spans", lambda s: F.concat(s["source"], F.lit(":"), s["start"].cast("string")))
+    picked = F.transform(F.map_entries("picked"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return pooled.select("doc", F.array_join("chunks_used", ",").alias("chunks_used"), "input_chunks", F.array_join(spans, ",").alias("spans"), F.array_join(picked, ",").alias("picked"))
 
 
 @query(_PICKS + "select doc, label from (select doc, label, count(distinct chunk) as k from picks group by all) join (select doc, count(distinct chunk) as n from picks group by doc) using (doc) where k = n")
@@ -184,7 +212,7 @@ def agg_weighted(spark, d):
     return votes.weighted(_picks(spark, d), 0.25)
 
 
-@query(_PICKS + "select doc, label, score from (select doc, label, max(score) as score from picks group by all) qualify row_number() over (partition by doc order by score desc, label) = 1")
+@query(_PICKS + "select doc, label, score from (select doc, label, max(score) as score, min(pos) as f from picks group by all) qualify row_number() over (partition by doc order by score desc, f) = 1")
 def agg_max_score(spark, d):
     return votes.max_score(_picks(spark, d))
 
@@ -291,10 +319,11 @@ def trace_flatten_rollup(spark, d):
     return runs.trace_rollup(_nodes(spark, d))
 
 
-@query("select role, count(*) as calls, round(sum(coalesce(length(text) * case role when 'user' then 2.0 when 'assistant' then 8.0 end / 1e6, 0))::double, 6) as cost from conversations group by role")
+@query("""select role, count(*) as calls, round(sum(case role when 'user' then length(text) * 2.0 + turn * 6.0 when 'assistant' then length(text) * 8.0 + turn * 24.0 else 0 end / 1e6)::double, 6) as cost from conversations group by role""")
 def cost_by_model(spark, d):
-    price = F.when(F.col("role") == "user", 2.0).when(F.col("role") == "assistant", 8.0)
-    return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("calls"), F.round(F.sum(runs.cost(F.length("text"), F.lit(0), price, price)), 6).alias("cost"))
+    prices = spark.createDataFrame([("small", ["user"], 2.0, 6.0), ("large", ["assistant", "big"], 8.0, 24.0)], "model string, aliases array<string>, price_in double, price_out double")
+    calls = table(spark, d, "conversations").select("role", F.concat(F.lit("acme/"), "role").alias("model"), F.length("text").alias("tokens_in"), F.col("turn").alias("tokens_out"))
+    return runs.with_prices(calls, prices).groupBy("role").agg(F.count("*").alias("calls"), F.round(F.sum("cost"), 6).alias("cost"))
 
 
 def _records(spark, d):
@@ -367,17 +396,52 @@ def pivot_cells(spark, d):
     return cells.pivot_cells(_cells(spark, d), _COLUMNS)
 
 
-_CANONICAL = ", k as (select *, case when status = 'extracted' then substr(sha256(lower(trim(value))), 1, 16) end as hash from cells) "
+# amounts, days and names in several spellings; what is equal in truth has one number
+
+_SPELLINGS = """with b as (select o_orderkey as doc, o_custkey % 40 as k, o_orderkey % 3 as s, o_orderkey % 11 = 0 as gone from orders),
+c as (select doc, 0 as n, 'amount' as col, k + 1 || '.50:USD' as truth, case s when 0 then '$' || (k + 1) || '.50' when 1 then (k + 1) || '.50 USD' else (k + 1) || '.50' end as value, gone from b
+union all select doc, 1, 'day', '2020-05-' || lpad((k % 28 + 1)::varchar, 2, '0'), case s when 0 then '2020-05-' || lpad((k % 28 + 1)::varchar, 2, '0') when 1 then '5/' || (k % 28 + 1) || '/2020' else 'May ' || (k % 28 + 1) || ', 2020' end, gone from b
+union all select doc, 2, 'name', 'firm' || k, case s when 0 then ' Firm' || k || ', Inc.' when 1 then 'FIRM' || k || ' LLC' else 'firm' || k end, gone from b
+union all select doc, 3, 'term', (k + 1) * 86400 || '', case s when 0 then (k + 1) || ' days' when 1 then (k + 1) || ' day' else (k + 1) * 24 || ' hours' end, gone from b),
+m as (select *, case when not gone then min(doc * 10 + n) over (partition by col, truth, gone) end as first from c) """
+
 
+def _spellings(spark, d):
+    k, s = F.col("o_custkey") % 40, F.col("o_orderkey") % 3
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    n, day = (k + 1).cast("string"), (k % 28 + 1).cast("string")
+    three = lambda a, b, c: F.when(s == 0, a).when(s == 1, b).otherwise(c)
+    values = {
+        "amount": three(text("$", n, ".50"), text(n, ".50 USD"), text(n, ".50")), "day": three(text("2020-05-", F.lpad(day, 2, "0")), text("5/", day, "/2020"), text("May ", day, ", 2020")),
+        "name": three(text(" Firm", k.cast("string"), ", Inc."), text("FIRM", k.cast("string"), " LLC"), text("firm", k.cast("string"))), "term": three(text(n, " days"), text(n, " day"), text(((k + 1) * 24).cast("string"), " hours")),
+    }
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), *[F.when(F.col("o_orderkey") % 11 != 0, v).alias(c) for c, v in values.items()])
+    long = cells.project_cells(rows, "doc", list(values))
+    place = F.create_map(*[F.lit(x) for i, c in enumerate(values) for x in (c, i)])
+    return long.withColumn("pos", F.col("doc") * 10 + place[F.col("col")])
 
-@query(_CELLS + _CANONICAL + "select doc, col, status, value from k where hash is null or doc = (select min(doc) from k j where j.col = k.col and j.hash = k.hash)")
+
+_KINDS = {"amount": "money", "day": "date", "name": "entity", "term": "duration"}
+
+
+def _typed(spark, d):
+    columns = spark.createDataFrame(list(_KINDS.items()), "col string, kind string")
+    return cells.with_columns(_spellings(spark, d), columns), cells.canonical_value(F.col("value"), F.col("kind"))
+
+
+@query(_SPELLINGS + "select doc, col, case when gone then 'not_in_document' else 'extracted' end as status, case when not gone then value end as value, doc * 10 + n as pos from m where gone or first = doc * 10 + n")
 def dedup_cells(spark, d):
-    return cells.dedup_cells(_cells(spark, d), F.lower(F.trim("value")))[0]
+    return cells.dedup_cells(*_typed(spark, d))[0].drop("kind")
 
 
-@query(_CELLS + _CANONICAL + "select col, hash, min(doc) as first_doc, count(*) as n from k where hash is not null group by col, hash")
+@query(_SPELLINGS + "select col, min(doc) as first_doc, count(*) as n from m where not gone group by col, truth")
 def dedup_lineage(spark, d):
-    return cells.dedup_cells(_cells(spark, d), F.lower(F.trim("value")))[1]
+    return cells.dedup_cells(*_typed(spark, d))[1].drop("hash")
+
+
+@query(_SPELLINGS + "select col, count(distinct doc) as docs, sum(distinct doc)::bigint as doc_sum from m where not gone group by col, truth")
+def lineage_documents(spark, d):
+    return cells.lineage_documents(*_typed(spark, d)).groupBy("col", "hash").agg(F.count("*").alias("docs"), F.sum("doc").alias("doc_sum")).drop("hash")
 
 
 @query(_CELLS + ", g as (select *, max((status <> 'extracted')::int) over (partition by doc) = 1 as gone from cells) select doc, col, case when gone then 'refused' else status end as status, case when not gone then value end as value from g")
@@ -405,14 +469,14 @@ def chunk_retry_promote(spark, d):
 def _quotes(spark, d):
     i, t = F.col("doc_id"), F.col("text")
     cut = F.substring(t, 11, 40)
-    quote = F.when(i % 5 == 0, cut).when(i % 5 == 1, F.substring(t, 14, 40)).when(i % 5 == 2, F.upper(cut)).when(i % 5 == 3, F.regexp_replace(cut, " ", "  ")).otherwise(F.concat(F.lit("no such quote "), i.cast("string")))
-    return table(spark, d, "documents").where("lang = 'en' and n_chars > 100").select("doc_id", "text", F.lit(10).alias("s"), F.lit(50).alias("e"), quote.alias("quote"))
+    quote = F.when(i % 6 == 0, cut).when(i % 6 == 1, F.substring(t, 14, 40)).when(i % 6 == 2, F.translate(cut, string.ascii_lowercase, string.ascii_uppercase)).when(i % 6 == 3, F.replace(F.replace(cut, F.lit(" "), F.lit("\u00a0 ")), F.lit("fi"), F.lit("\ufb01"))).when(i % 6 == 4, F.concat(F.substring(t, 11, 36), F.lit("#@%&"))).otherwise(F.concat(F.lit("no such quote "), i.cast("string")))
+    return table(spark, d, "documents").select("doc_id", "text", F.lit(10).alias("s"), F.lit(50).alias("e"), quote.alias("quote"))
 
 
-_QUOTES = """with q as (select doc_id, text, case doc_id % 5 when 0 then substr(text, 11, 40) when 1 then substr(text, 14, 40) when 2 then upper(substr(text, 11, 40)) when 3 then regexp_replace(substr(text, 11, 40), ' ', '  ', 'g') else 'no such quote ' || doc_id end as quote from documents where lang = 'en' and n_chars > 100) """
+_QUOTES = """with q as (select doc_id, text, case doc_id % 6 when 0 then substr(text, 11, 40) when 1 then substr(text, 14, 40) when 2 then translate(substr(text, 11, 40), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') when 3 then replace(replace(substr(text, 11, 40), ' ', chr(160) || ' '), 'fi', chr(64257)) when 4 then substr(text, 11, 36) || '#@%&' else 'no such quote ' || doc_id end as quote from documents) """
 
 
-@query(_QUOTES + "select doc_id, substr(text, 11, 40) = quote as ok from q")
+@query(_QUOTES + "select doc_id, length(text) >= 50 and substr(text, 11, 40) = quote as ok from q")
 def span_strict(spark, d):
     return _quotes(spark, d).select("doc_id", grounding.strict(F.col("text"), F.col("s"), F.col("e"), F.col("quote")).alias("ok"))
 
@@ -427,7 +491,7 @@ def span_casefold(spark, d):
     return _quotes(spark, d).select("doc_id", F.contains(F.lower("text"), F.lower("quote")).alias("ok"))
 
 
-_TOKENS = "list_filter(list_transform(string_split(trim(regexp_replace(lower({0}), '\\s+', ' ', 'g')), ' '), lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda w: w <> '')"
+_TOKENS = "list_filter(list_transform(string_split(trim(regexp_replace(replace(lower(replace({0}, chr(160), ' ')), chr(64257), 'fi'), '\\s+', ' ', 'g')), ' '), lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda w: w <> '')"
 _T, _Q = _TOKENS.format("text"), _TOKENS.format("quote")
 
 
@@ -441,15 +505,34 @@ def span_fuzzy_token(spark, d):
     return _quotes(spark, d).select("doc_id", grounding.token_jaccard(F.col("text"), F.col("quote")).alias("score"))
 
 
-@query(_QUOTES + f"""select doc_id, case when substr(text, 11, 40) = quote then 'strict' when contains(text, quote) then 'substring' when contains(lower(text), lower(quote)) then 'case_insensitive'
-when len({_Q}) > 0 and contains(' ' || array_to_string({_T}, ' ') || ' ', ' ' || array_to_string({_Q}, ' ') || ' ') then 'normalized_token' when len(list_intersect({_T}, {_Q})) / len(list_distinct(list_concat({_T}, {_Q}))) >= 0.8 then 'fuzzy_token' else 'similarity_below_threshold' end as verdict from q""")
+_COMMON = "coalesce((select max(n) from (select unnest(range(1, length(quote) + 1)) as i) a, (select unnest(range(1, 41)) as n) b where i + n - 1 <= length(quote) and contains(text, substr(quote, i, n))), 0)"
+_VERDICT = f"""case when text is null then 'source_missing' when length(text) >= 50 and substr(text, 11, 40) = quote then 'strict' when contains(text, quote) then 'substring' when contains(lower(text), lower(quote)) then 'case_insensitive'
+when len({_Q}) > 0 and contains(' ' || array_to_string({_T}, ' ') || ' ', ' ' || array_to_string({_Q}, ' ') || ' ') then 'normalized_token' when length(quote) > 0 and {_COMMON} / length(quote) >= 0.8 then 'fuzzy_char'
+when len(list_intersect({_T}, {_Q})) / greatest(len(list_distinct(list_concat({_T}, {_Q}))), 1) >= 0.8 then 'fuzzy_token' else 'similarity_below_threshold' end"""
+
+
+@query(_QUOTES + f"select doc_id, {_VERDICT} as verdict from q")
 def span_cascade(spark, d):
     return _quotes(spark, d).select("doc_id", grounding.verify(F.col("text"), F.col("s"), F.col("e"), F.col("quote")).alias("verdict"))
 
 
-@query()
+@query(_QUOTES + f"select doc_id, coalesce(case when length(quote) > 0 then round({_COMMON} / length(quote), 4) end, 0)::double as score from q")
 def span_fuzzy_char(spark, d):
-    return _quotes(spark, d).select("doc_id", F.round(grounding.fuzzy_char("text", "quote"), 4).alias("score"))
+    return _quotes(spark, d).select("doc_id", F.round(grounding.fuzzy_char(F.col("text"), F.col("quote")), 4).alias("score"))
+
+
+@query(_QUOTES + "select doc_id, case when text is null or doc_id % 5 = 0 then 'source_missing' when substr(text, 11, 40) = quote and length(text) >= 50 then 'strict' when length(text) < 50 then 'out_of_range' else 'quote_mismatch' end as verdict from q")
+def span_sources(spark, d):
+    uri = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
+    corpus = table(spark, d, "documents").where("doc_id % 5 <> 0").select(uri.alias("source_uri"), "text")
+    spans = _quotes(spark, d).select("doc_id", uri.alias("source_uri"), F.col("s").alias("start"), F.col("e").alias("end"), "quote")
+    return grounding.verify_spans(spans, corpus, strategies=("strict",)).select("doc_id", "verdict")
+
+
+@query(_QUOTES + f"select doc_id, coalesce(length(text) >= 50 and substr(text, 11, 40) = quote, false) as strict, coalesce(contains(text, quote), false) as substring, coalesce({_COMMON} / length(quote) >= 0.8 and length(quote) > 0, false) as fuzzy_char from q")
+def span_diagnostics(spark, d):
+    m = grounding.diagnostics(F.col("text"), F.col("s"), F.col("e"), F.col("quote"))
+    return _quotes(spark, d).select("doc_id", m.alias("m")).select("doc_id", *[F.col("m")[k].alias(k) for k in ("strict", "substring", "fuzzy_char")])
 
 
 @query("select item_id, substr(sha256(text), 1, 16) as quote_hash from benchmark")
@@ -457,10 +540,10 @@ def quote_hash(spark, d):
     return table(spark, d, "benchmark").select("item_id", grounding.quote_hash(F.col("text")).alias("quote_hash"))
 
 
-@query(_QUOTES + ", c as (select doc_id % 50 as answer, doc_id % 100 as claim, bool_and(contains(lower(text), lower(quote))) as ok from q group by all) select answer, round(avg(ok::int), 4) as faithfulness from c group by answer")
+@query(_QUOTES + ", c as (select doc_id % 50 as answer, doc_id % 100 as claim, bool_and(coalesce(contains(lower(text), lower(quote)), false)) as ok from q group by all), s as (select answer, avg(ok::int) as share from c group by answer) select i as answer, round(case when i % 7 = 0 then 1 else coalesce(share, 0) end, 4)::double as faithfulness from range(60) r(i) left join s on i = answer")
 def claim_faithfulness(spark, d):
     spans = _quotes(spark, d).select((F.col("doc_id") % 50).alias("answer"), (F.col("doc_id") % 100).alias("claim"), F.contains(F.lower("text"), F.lower("quote")).alias("ok"))
-    return spans.groupBy("answer", "claim").agg(F.bool_and("ok").alias("ok")).groupBy("answer").agg(F.round(F.avg(F.col("ok").cast("int")), 4).alias("faithfulness"))
+    return metrics.faithfulness(spans, spark.range(60).select(F.col("id").alias("answer"), (F.col("id") % 7 == 0).alias("refused")))
 
 
 # Rubrics and routing
@@ -549,10 +632,15 @@ def hard_split(spark, d):
     return chunks.hard_split(table(spark, d, "documents"), 2000)
 
 
-@query("""with p as (select doc_id, string_split(text, chr(10)) as parts from documents), x as (select doc_id, (i - 1)::int as pos, (coalesce(list_sum(list_transform(parts[1:i - 1], lambda z: length(z) + 1)), 0))::int as start, parts[i] as chunk from (select doc_id, parts, unnest(range(1, len(parts) + 1)) as i from p))
-select doc_id, pos, start, start + length(chunk) as end, chunk from x where length(trim(chunk)) >= 20""")
+@query("""with g as (select conv_id as doc, turn, text, case when row_number() over (partition by conv_id order by turn desc) > 1 then chr(10) || chr(10) || case when turn % 3 = 0 then chr(10) else '' end else '' end as gap from conversations), p as (select doc, string_agg(text || gap, '' order by turn) as text from g group by doc), w as (select doc, string_split_regex(text, '\\n{2,}') as parts, regexp_extract_all(text, '\\n{2,}') as gaps from p),
+x as (select doc, (i - 1)::int as pos, (coalesce(list_sum(list_transform(parts[1:i - 1], lambda z: length(z))), 0) + coalesce(list_sum(list_transform(gaps[1:i - 1], lambda z: length(z))), 0))::int as start, parts[i] as chunk from (select *, unnest(range(1, len(parts) + 1)) as i from w))
+select doc, (row_number() over (partition by doc order by pos) - 1)::int as pos, start, start + length(chunk) as end, chunk from x where length(trim(chunk)) >= 20""")
 def paragraph_offsets(spark, d):
-    return chunks.paragraphs(table(spark, d, "documents").select("doc_id", "text"))
+    c = table(spark, d, "conversations")
+    gap = F.concat(F.lit("\n\n"), F.when(F.col("turn") % 3 == 0, "\n").otherwise(""))
+    parts = F.array_sort(F.collect_list(F.struct("turn", "text", gap.alias("gap"))))
+    text = F.array_join(F.transform(parts, lambda s, i: F.concat(F.when(i > 0, F.get(parts, i - 1)["gap"]).otherwise(F.lit("")), s["text"])), "")
+    return chunks.paragraphs(c.groupBy(F.col("conv_id").alias("doc")).agg(text.alias("text")), "doc")
 
 
 @query()
@@ -597,33 +685,82 @@ def query_expand_dedup(spark, d):
 
 
 def _leaves(spark, d):
-    return table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), F.substring("text", 1, 20).alias("value"))
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), F.col("text").alias("value"))
 
 
-@query("select conv_id as doc, '>' || string_agg(substr(text, 1, 20), '|' order by turn) || '|' as value from conversations group by conv_id")
+@query("select conv_id as doc, '>' || string_agg(text, '|' order by turn) || '|' as value from conversations group by conv_id")
 def reduce_refine_fold(spark, d):
     return chunks.refine_fold(_leaves(spark, d), F.lit(">"), lambda a, v: F.concat(a, v, F.lit("|")))
 
 
-@query("select conv_id as doc, string_agg(substr(text, 1, 20), '|' order by turn) as value from conversations group by conv_id")
+@query("select conv_id as doc, string_agg(text, '|' order by turn) as value from conversations group by conv_id")
 def reduce_tree_levels(spark, d):
     return chunks.tree_levels(_leaves(spark, d), 2, lambda values: F.array_join(values, "|")).select("doc", "value")
 
 
-# Extractors: sentences are made from tabular columns
+# Extractors: sentences are made from tabular columns, whose values are what must be found
+
+
+_K = "o_orderkey % 6"
+
+
+def _told(spark, d, *forms):
+    """orders with a sentence by o_orderkey % 6."""
+    text = F.lit("Nothing is said here.")
+    for i, parts in enumerate(forms):
+        text = F.when(F.col("o_orderkey") % 6 == i, F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])).otherwise(text)
+    return table(spark, d, "orders").select("o_orderkey", text.alias("text"))
+
+
+def _listed(rows, found, *fields):
+    return rows.select("o_orderkey", F.array_join(F.transform(found, lambda s: F.concat_ws(" ", *[s[f].cast("string") for f in fields])), ";").alias("found"))
+
+
+@query(f"select o_orderkey, case {_K} when 0 then printf('%.2f USD', o_totalprice) when 1 then o_custkey || ' EUR;20 GBP' when 2 then o_custkey || ' JPY' when 3 then '10 USD' when 4 then printf('%.2f EUR', o_totalprice) else '' end as found from orders")
+def alpha_money(spark, d):
+    p, c = F.format_string("%,.2f", "o_totalprice"), F.col("o_custkey").cast("string")
+    rows = _told(spark, d, ("The cap is $", p, " per claim."), ("Cost ", c, "€ at retail and 20 pounds."), ("Paid ¥", c, " in 1999."), ("I paid ten dollars for it.",), ("Total ", p, " EUR now."))
+    return _listed(rows, extractors.money(F.col("text")), "amount", "currency")
 
 
-def _sentences(spark, d):
-    o = table(spark, d, "orders")
-    text = F.concat(F.lit("Order of Customer#"), F.col("o_custkey").cast("string"), F.lit(" Trading Corp paid $"), F.format_string("%.2f", "o_totalprice"), F.lit(" on "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" with "), (F.col("o_orderkey") % 40).cast("string"), F.lit("% off within "), (1 + F.col("o_orderkey") % 9).cast("string"), F.lit(" days."))
-    return o.select("o_orderkey", text.alias("text"))
+@query(f"select o_orderkey, case {_K} when 0 then (o_custkey % 100) / 100.0 when 1 then (o_custkey % 100) / 10000.0 when 2 then (o_custkey % 100) / 1000.0 when 3 then 0.1 when 4 then (o_custkey % 100) / 10000.0 end::double as found from orders")
+def alpha_percent(spark, d):
+    n = (F.col("o_custkey") % 100).cast("string")
+    rows = _told(spark, d, ("I spent ", n, "% of it in 1999."), ("It widened by ", n, "bps."), (n, "‰ of all; 7 basis for it."), ("ten percent of 20 people",), ("by ", n, " basis  points"))
+    return rows.select("o_orderkey", F.get(extractors.percentages(F.col("text")), F.lit(0))["value"].alias("found"))
 
 
-_SENT = "with s as (select o_orderkey, 'Order of Customer#' || o_custkey || ' Trading Corp paid $' || printf('%.2f', o_totalprice) || ' on ' || strftime(o_orderdate, '%Y-%m-%d') || ' with ' || o_orderkey % 40 || '% off within ' || 1 + o_orderkey % 9 || ' days.' as text from orders) "
-_FAMILIES = {"alpha_money": codecs.MONEY, "alpha_percent": codecs.PERCENT, "alpha_number": codecs.NUMBER, "alpha_date": codecs.ISO_DATE, "alpha_duration": codecs.DURATION, "alpha_entity": codecs.ENTITY}
-for _name, _pattern in _FAMILIES.items():
-    QUERIES[_name] = lambda spark, d, p=_pattern: _sentences(spark, d).select("o_orderkey", F.array_join(codecs.find_all(F.col("text"), p), ";").alias("found"))
-    ORACLE[_name] = f"{_SENT} select o_orderkey, array_to_string(regexp_extract_all(text, '{_pattern}', 1), ';') as found from s"
+@query(f"select o_orderkey, case {_K} when 0 then o_custkey || ';100' when 1 then '14;4' when 2 then '7;0.01' when 3 then '' when 4 then o_custkey * 1000 || '' else '' end as found from orders")
+def alpha_number(spark, d):
+    c = F.col("o_custkey")
+    rows = _told(spark, d, ("Room ", c.cast("string"), " has 100 chairs."), ("Chapter XIV and I said IV.",), ("seven of 0.01.",), ("In 1.2.3 and 1,23 and A1.",), ("Sold for ", F.format_number(c * 1000, 0), " dollars."))
+    return _listed(rows, extractors.numbers(F.col("text")), "value")
+
+
+@query(f"select o_orderkey, case {_K} when 0 then strftime(o_orderdate, '%Y-%m-%d') when 1 then strftime(o_orderdate, '%Y-%m-%d') when 2 then strftime(o_orderdate, '%Y-%m-%d') when 3 then strftime(o_orderdate, '%Y-%m-%d') || ';2020-05-01' when 4 then '' else '' end as found from orders")
+def alpha_date(spark, d):
+    o, f = F.col("o_orderdate"), lambda p: F.date_format("o_orderdate", p)
+    rows = _told(spark, d, ("Dated ", f("M/d/yyyy"), "."), ("Executed on ", f("d MMMM yyyy"), " at noon"), ("As of ", f("MMMM d, yyyy"), ", by"), ("On ", o.cast("date").cast("string"), " and the first day of May 2020"), ("on 2/30/2025, 15 May 1850, 123/456/789 and the first of May 2020",))
+    return _listed(rows, extractors.dates(F.col("text")), "value")
+
+
+@query(f"select o_orderkey, case {_K} when 0 then (o_custkey % 50) * 86400.0 when 1 then 33696000.0 when 2 then 3600.0 when 4 then 5400.0 end::double as found from orders")
+def alpha_duration(spark, d):
+    rows = _told(spark, d, ("Within ", (F.col("o_custkey") % 50).cast("string"), " days of it"), ("I worked for thirteen months.",), ("It took an hour.",), ("3 business days, some days",), ("1.5 hours",))
+    return rows.select("o_orderkey", F.get(extractors.durations(F.col("text")), F.lit(0))["seconds"].alias("found"))
+
+
+@query(f"select o_orderkey, case {_K} when 0 then 'Customer#' || o_custkey || ' Trading, Inc.' when 1 then 'Foo Bar GmbH' when 2 then 'Alfa S.p.A.;Beta Holdings' else '' end as found from orders")
+def alpha_entity(spark, d):
+    rows = _told(spark, d, ("between Customer#", F.col("o_custkey").cast("string"), " Trading, Inc. and others"), ("a deal with Foo Bar GmbH"[:25],), ("of Alfa S.p.A. and Beta Holdings, signed",), ("No company is named here",))
+    return _listed(rows, extractors.entities(F.col("text")), "name")
+
+
+@query(f"select o_orderkey, o_totalprice >= 0 and {_K} = 0 as ok from orders")
+def alpha_spans(spark, d):
+    rows = _told(spark, d, ("é It is $", F.format_string("%.2f", "o_totalprice"), " for 😀 all"))
+    s = F.get(extractors.money(F.col("text")), F.lit(0))
+    return rows.select("o_orderkey", F.coalesce(F.substring("text", s["start"] + 1, s["end"] - s["start"]) == F.regexp_extract("text", r"\$[0-9.]+", 0), F.lit(False)).alias("ok"))
 
 
 # Codecs
@@ -652,7 +789,11 @@ def list_coerce(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(codecs.coerce_list(text), "|").alias("items"))
 
 
-@query()
+_CUT = "substr('{\"a\": [1, 2], \"b\": \"' || event_type || '\"}', 1, (12 + event_id % 20)::int)"
+
+
+@query(f"""with c as (select event_id, {_CUT} as c from events), e as (select event_id, c, case when contains(c, '"b') then case when length(c) - length(replace(c, '"', '')) in (3, 5) then c || '"}}' when c like '%}}' then c else regexp_replace(c, '[,:\\s]+$', '') || '}}' end when c like '%]%' then regexp_replace(c, '[,:\\s"]+$', '') || case when c like '%"' then ', ""}}' else '}}' end else regexp_replace(c, '[,\\s]+$', '') || ']}}' end as j from c)
+select event_id, case when json_valid(j) then j end as json from e""")
 def truncation_salvage(spark, d):
     cut = F.expr("substring(concat('{\"a\": [1, 2], \"b\": \"', event_type, '\"}'), 1, 12 + event_id % 20)")
     return table(spark, d, "events").select("event_id", codecs.close_truncated_json(cut).alias("json"))

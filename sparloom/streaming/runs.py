@@ -21,20 +21,37 @@ def progress(items: DataFrame, by: str, value: str, name: str, checkpoint: str)
     return counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_incrementally(items: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "custom_id") -> StreamingQuery:
-    """Appends work(new items) to the folder `out`; keys that it holds already are skipped, so a repeated micro-batch writes nothing twice."""
-
-    def each(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        try:
-            done = spark.read.parquet(out).select(key)
-        except Exception as e:  # the first batch finds no folder
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            fresh = fresh.join(done, key, "left_anti")
-        work(fresh).write.mode("append").parquet(out)
+def run_incrementally(items: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "custom_id", done: DataFrame | None = None) -> StreamingQuery:
+    """Writes work(new items) to the folder `out`, a subfolder for each micro-batch, which a repeated one replaces.
+
+    Keys seen before in the stream are kept as state, so `out` is never read again;
+    those of `done` (earlier runs, key column read only) are skipped too.
+    """
+    fresh = items.dropDuplicates([key])
+    if done is not None:
+        fresh = fresh.join(done.select(key).distinct(), key, "left_anti")
+    return fresh.writeStream.foreachBatch(lambda batch, n: work(batch).write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class TooManyErrors(RuntimeError):
+    """A run was stopped by its error policy."""
+
+
+def run_with_policy(items: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, policy: str = "continue", most: int = 1) -> StreamingQuery:
+    """run_incrementally() without keys, whose results have a status: `continue` writes errors as rows, `stop` ends the stream at the first, `stop_after_n` at the `most`-th.
+
+    Errors are counted over the micro-batches of this run; the one that goes too far is written before the stream ends.
+    """
+    limit = {"continue": None, "stop": 1, "stop_after_n": most}[policy]
+    seen = {"errors": 0}
+
+    def each(batch: DataFrame, n: int) -> None:
+        path = f"{out}/batch={n}"
+        work(batch).write.mode("overwrite").parquet(path)
+        if limit is not None:
+            seen["errors"] += batch.sparkSession.read.parquet(path).where("status = 'error'").count()
+            if seen["errors"] >= limit:
+                raise TooManyErrors(f"{seen['errors']} errors")
 
     return items.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
