@@ -42,7 +42,7 @@ def tagged_text(docs: DataFrame, key: str = "doc_id", text: str = "text", uri: s
     joined = docs.where(F.col(text).isNotNull()).select(key, text).join(listed, key, "left").withColumn("_p", F.coalesce("_p", none))
     before = lambda i: F.when(i > 0, F.get(F.col("_p"), i - 1)["end"]).otherwise(F.lit(0))
     pieces = F.transform("_p", lambda s, i: F.concat(F.substring(F.col(text), before(i) + 1, s["start"] - before(i)), F.lit("[SRC:"), s["tag"], F.lit("] "), s["chunk"]))
-    rest = F.substring(F.col(text), F.coalesce(F.element_at("_p", -1)["end"], F.lit(0)) + 1, F.length(text))
+    rest = F.substring(F.col(text), F.coalesce(F.get("_p", F.size("_p") - 1)["end"], F.lit(0)) + 1, F.length(text))
     spans_of = F.map_from_entries(F.transform("_p", lambda s: F.struct(s["tag"], F.struct(s["start"], s["end"]))))
     return joined.select(key, F.concat(F.array_join(pieces, ""), rest).alias("tagged"), spans_of.alias("tags"))
 

@@ -1,9 +1,13 @@
 """Small cases of the operators: nulls, ties, empty tables and known values."""
 
+import json
+import re
+
 import pytest
 from pyspark.sql import functions as F
-from sparloom.functions import codecs, metrics, verdicts
-from sparloom.operators import cells, chunks, runs, taxonomy, trials, vectors, votes
+from sparloom.functions import arrays, codecs, extractors, grounding, metrics, verdicts
+from sparloom.operators import cells, chunks, programs, rubric, runs, taxonomy, trials, vectors, votes
+from sparloom.sources import readers
 from sparloom.streaming import runs as streams
 
 
@@ -85,11 +89,11 @@ def test_envelope_and_shortening(spark):
 def test_resumed_stream_over_many_batches(spark, tmp_path):
     rows = spark.createDataFrame([(str(i % 7), i) for i in range(40)], "custom_id string, seq long")
     rows.repartition(4).write.parquet(str(tmp_path / "in"))
-    rows.limit(0).write.parquet(str(tmp_path / "out"))
+    done = spark.createDataFrame([("3",)], "custom_id string")
     for _ in range(2):
         items = streams.stream_items(spark, str(tmp_path / "in"), rows.schema)
-        streams.run_incrementally(items, lambda fresh: fresh, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    assert sorted(r["custom_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list("0123456")
+        streams.run_incrementally(items, lambda fresh: fresh, str(tmp_path / "out"), str(tmp_path / "check"), done=done).awaitTermination()
+    assert sorted(r["custom_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list("012456")
     changes = streams.newest_of_key(streams.stream_items(spark, str(tmp_path / "in"), rows.schema), "custom_id", "seq", 3)
     streams.write_changes(changes, str(tmp_path / "state"), str(tmp_path / "check2")).awaitTermination()
     last = spark.read.parquet(str(tmp_path / "state")).groupBy("custom_id").agg(F.max_by("seqs", "batch").alias("s"))
@@ -99,3 +103,175 @@ def test_resumed_stream_over_many_batches(spark, tmp_path):
 def test_resume_counts_of_an_empty_log(spark):
     items = spark.createDataFrame([("a",), ("b",)], "custom_id string")
     assert tuple(runs.resume_counts(items, items.limit(0)).first()) == (2, 0, 2)
+
+
+def listed(spark, column, *fields):
+    return [tuple(str(x[f]) for f in fields) for x in one(spark, column)]
+
+
+def test_running_values_and_spans(spark):
+    values = [3, 0, 7, 7, 1, 2] * 9
+    column = F.array(*[F.lit(v) for v in values])
+    assert one(spark, arrays.scan(column, lambda a, b: a + b)) == [sum(values[: i + 1]) for i in range(len(values))]
+    assert one(spark, arrays.scan(column, lambda a, b: F.greatest(a, b))) == [max(values[: i + 1]) for i in range(len(values))]
+    assert one(spark, arrays.starts(F.array(F.lit(2), F.lit(0), F.lit(5)))) == [0, 2, 2] and one(spark, arrays.scan(F.array().cast("array<int>"), lambda a, b: a + b)) == []
+    text = "é ab 😀 cab " * 40 + "ab"
+    want = [(m.start(), m.end(), m.group()) for m in re.finditer("c?ab", text)]
+    assert [tuple(s) for s in one(spark, arrays.spans(F.lit(text), "c?ab"))] == want and one(spark, arrays.spans(F.lit(None).cast("string"), "a")) == []
+
+
+MONEY = [("Cost €250 in Paris", "250", "EUR"), ("¥5000 in Tokyo.", "5000", "JPY"), ("Owed ₹10000.", "10000", "INR"), ("Ten million dollars total.", "1000000", "USD"), ("Fined 500 euros.", "500", "EUR"), ("The price was 100$ total.", "100", "USD"), ("13.50 pounds", "13.50", "GBP")]
+DATES = [("Date: 12/31/99.", "1999-12-31"), ("Date: 3.1.2011.", "2011-03-01"), ("on 19 May, 2010,", "2010-05-19"), ("dated Feb. 17, 1999", "1999-02-17"), ("the 1st May 2020", "2020-05-01"), ("the first day of May 2020", "2020-05-01"), ("13/1/2025", "2025-01-13"), ("Bad 123/456/789", None), ("19 May 10.", None), ("first of May 2020", None), ("2/30/2025", None), ("15 May 2100", None)]
+
+
+def test_extractors(spark):
+    for text, amount, currency in MONEY:
+        assert listed(spark, extractors.money(F.lit(text)), "amount", "currency") == [(amount, currency)]
+    for text, day in DATES:
+        assert listed(spark, extractors.dates(F.lit(text)), "value") == ([(day,)] if day else [])
+    for text, value in (("30%", 0.3), ("50bps", 0.005), ("100 basis points", 0.01), ("5‰", 0.005), ("7‱", 0.0007), ("30％", 0.3), ("5 ppm", 5e-6), ("ten percent", 0.1)):
+        assert [x["value"] for x in one(spark, extractors.percentages(F.lit(text)))] == [pytest.approx(value)]
+    for text, values in (("II", ["2"]), ("XCIX", ["99"]), ("I", []), ("1,23", []), ("1.2.3", []), ("1,234,567 and 0.01", ["1234567", "0.01"]), ("seven", ["7"]), ("Chapter IIII", [])):
+        assert [v for (v,) in listed(spark, extractors.numbers(F.lit(text)), "value")] == values
+    for text, want in (("ninety days", ("90", "days", "7776000.0")), ("an hour", ("1", "hour", "3600.0")), ("1.5 hours", ("1.5", "hours", "5400.0")), ("3 business days", None), ("days", None)):
+        assert listed(spark, extractors.durations(F.lit(text)), "quantity", "unit", "seconds") == ([want] if want else [])
+    assert listed(spark, extractors.entities(F.lit("with Acme Trading, Inc. and Foo GmbH")), "name") == [("Acme Trading, Inc.",), ("Foo GmbH",)]
+    assert all(one(spark, f(F.lit(None).cast("string"))) == one(spark, f(F.lit(""))) == [] for f in extractors.EXTRACTORS.values())
+
+
+def test_grounding(spark):
+    lit = lambda *x: [F.lit(v) for v in x]
+    assert one(spark, grounding.fuzzy_char(*lit("a contrqct here", "contract"))) == pytest.approx(5 / 8)
+    assert one(spark, grounding.fuzzy_char(*lit("abcdefgh", "abcdefgx"))) == pytest.approx(7 / 8) and one(spark, grounding.fuzzy_char(*lit("x", ""))) == 0
+    assert one(spark, grounding.normalized_token(*lit("the “eﬃcient—ﬁrst” rule", "'the\u00a0\"eﬃcient-first\" rule,"))) and not one(spark, grounding.normalized_token(*lit("don't stop", "dont stop")))
+    verdict = lambda source, quote, **o: one(spark, grounding.verify(F.lit(source).cast("string"), F.lit(0), F.lit(len(quote)), F.lit(quote), **o))
+    assert verdict("abc def", "abc") == "strict" and verdict(None, "abc") == "source_missing" and verdict("ab", "abc", strategies=("strict",)) == "out_of_range"
+    assert verdict("xyz", "abc", strategies=("strict",)) == verdict("xyz", "abc", strategies=("substring", "case_insensitive")) == "quote_mismatch" and verdict("xyz", "abc") == "similarity_below_threshold"
+    assert verdict("beta alpha", "alpha beta", strategies=("normalized_token", "fuzzy_token")) == "fuzzy_token"
+    with pytest.raises(ValueError):
+        grounding.verify(*lit("a", 0, 1, "a"), strategies=("guess",))
+
+
+def test_answers(spark):
+    for text, want in (('{"text": "t", "answer": "a"}', "a"), ('{"answer": null, "text": "t"}', None), ('{"x": 1}', '{"x": 1}'), ("plain", "plain"), (None, None)):
+        assert one(spark, metrics.first_key(F.lit(text).cast("string"))) == want
+    for text, want in (("true", 1.0), ('{"value": "2.5"}', 2.5), ("1_0", 10.0), ("x", None), (None, None)):
+        assert one(spark, metrics.to_number(F.lit(text).cast("string"))) == want
+    assert one(spark, metrics.normalize(F.lit("\t\n 'A  b.' \u00a0"))) == "a b" and one(spark, metrics.refs(F.lit("one"))) == ["one"] and one(spark, metrics.refs(F.lit('["a", "a", "b"]'))) == ["a", "b"]
+    r = one(spark, metrics.rouge(F.lit("the cat the mat"), F.lit("the cat"), 2))
+    assert (r["precision"], r["recall"]) == (pytest.approx(1 / 3), 1.0)
+    assert one(spark, metrics.metric("numeric_close:0.1")(F.lit("1.05"), F.lit("1"))) == 1 and one(spark, metrics.metric("regex:a+")(F.lit("aa"), F.lit(None))) == 1
+    with pytest.raises(ValueError):
+        metrics.metric("none")
+
+
+def test_votes_of_few_chunks(spark):
+    picks = spark.createDataFrame([(1, i, i, x, 0.5, 1) for i, x in enumerate("aaab")] + [(2, i, 10 + i, x, 0.5, 1) for i, x in enumerate("abc")], "doc long, chunk long, pos long, label string, score double, weight long")
+    got = {r["doc"]: (r["label"], r["abstained"]) for r in votes.majority(picks, 0.75).collect()}
+    assert got == {1: ("a", False), 2: (None, True)}
+    assert {r["doc"]: r["label"] for r in votes.max_score(picks).collect()} == {1: "a", 2: "a"} and {r["label"] for r in votes.max_score(picks, 0.9).collect()} == {None}
+    assert {r["doc"]: r["labels"] for r in votes.aggregate(picks, exclusive=False, labels=["c", "b", "a"]).collect()} == {1: "b,a", 2: "c,b,a"}
+    for bad in (0, 1.5):
+        with pytest.raises(ValueError):
+            votes.majority(picks, bad)
+    with pytest.raises(ValueError):
+        votes.aggregate(picks, "most")
+    with pytest.raises(Exception, match="not a label: z"):
+        one(spark, votes.demand_known(F.array(F.lit("a"), F.lit("z")), ["a"]))
+
+
+def test_cells_of_types(spark):
+    rows = [(1, "d", "extracted", "2020-05-19", 1), (1, "d", "extracted", "19 May 2020", 2), (2, "d", "extracted", "5/19/2020", 3), (2, "n", "extracted", "Acme, Inc.", 4), (3, "n", "extracted", "ACME", 5), (3, "d", "unclear", "2020-05-19", 6), (4, "n", "extracted", None, 7)]
+    long = spark.createDataFrame(rows, "doc long, col string, status string, value string, pos long")
+    kind = F.when(F.col("col") == "d", "date").otherwise("entity")
+    kept, lineage = cells.dedup_cells(long, cells.canonical_value(F.col("value"), kind))
+    assert sorted(r["pos"] for r in kept.collect()) == [1, 4, 6, 7] and sorted((r["col"], r["first_doc"], r["n"]) for r in lineage.collect()) == [("d", 1, 3), ("n", 2, 2)]
+    assert cells.lineage_documents(long, cells.canonical_value(F.col("value"), kind)).count() == 4
+    for text, kind, key in (("$1,000.50", "money", "1000.50:USD"), ("1000", "money", "1000:USD"), ("+1,2.0", "number", "12.0"), ("two weeks", "duration", "1209600"), ("  Other ", "date", "other")):
+        assert one(spark, cells.canonical_value(F.lit(text), F.lit(kind))) == key
+    with pytest.raises(Exception, match="refused: 3 d"):
+        cells.refusal_policy(long, "never").collect()
+    with pytest.raises(Exception, match="missing fields: k"):
+        one(spark, cells.declared_fields(F.lit('{"x": 1}'), {"k": "long"}, ["k"]))
+    assert cells.check_pointers([("a", ["$.inputs.x", "$.steps.b.output.y"]), ("b", ["$.steps.a.output.y", "x"])], ["x"]) == ["a: $.steps.b.output.y", "b: x"]
+
+
+def test_paragraphs_and_tags(spark):
+    text = "short\n\n\nA paragraph of some length.\n\n  And another that is long.  "
+    docs = spark.createDataFrame([("c", text), ("e", ""), ("n", None)], "doc_id string, text string")
+    rows = chunks.paragraphs(docs).collect()
+    assert [(r["pos"], r["start"], r["end"]) for r in sorted(rows, key=lambda r: r["pos"])] == [(0, 8, 35), (1, 37, 66)] and all(text[r["start"] : r["end"]] == r["chunk"] for r in rows)
+    tagged = {r["doc_id"]: r for r in chunks.tagged_text(docs).collect()}
+    assert tagged["c"]["tagged"] == "short\n\n\n[SRC:doc:c#p0] A paragraph of some length.\n\n[SRC:doc:c#p1]   And another that is long.  " and tuple(tagged["c"]["tags"]["doc:c#p1"]) == (37, 66)
+    assert tagged["e"]["tagged"] == "" and "n" not in tagged
+
+
+def test_truncated_json(spark):
+    whole = '{"a": [1, {"b": "x\\"]"}], "c": {"d": null}}'
+    for n in range(1, len(whole) + 1):
+        out = one(spark, codecs.close_truncated_json(F.lit(whole[:n])))
+        if out is not None:
+            json.loads(out)
+    assert one(spark, codecs.close_truncated_json(F.lit('{"a": [1, 2'))) == '{"a": [1, 2]}' and one(spark, codecs.close_truncated_json(F.lit(None).cast("string"))) is None
+
+
+def test_programs(spark):
+    rows = spark.range(3)
+    none = programs.best_of_n(rows, "id", 3, lambda i: i, lambda out: F.lit(None)).collect()
+    assert all(r["index"] == 0 and r["failed"] == 3 for r in none)
+    r = one(spark, programs.refine(F.lit(0), lambda out, n: F.when(n == 2, -5).otherwise(out + 3), lambda out: out, 100.0, 3))
+    assert (r["output"], r["score"], r["rounds"]) == (3, 3.0, 3)
+    with pytest.raises(ValueError):
+        rubric.checked([], 0.5, 0.5, 1)
+    assert trials.trial_count(2, 1) == 1 and trials.trial_count(2, 8) == 12 and len(trials.random_draws({"a": [1, 2]}, 5)) == 5
+    with pytest.raises(ValueError):
+        trials.stop_reasons(rows)
+
+
+def test_lines_over_blocks(spark, tmp_path):
+    lines = [json.dumps({"n": i}) if i % 3 else "" for i in range(1, 400)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        got = readers.text_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {(r["line"], r["text"]) for r in got} == {(i, t) for i, t in enumerate(lines, 1) if t}
+    with pytest.raises(Exception, match="no object in line 1"):
+        readers.jsonl_items(spark.createDataFrame([("p", 1, "[1]")], "path string, line long, text string"), "n int").collect()
+
+
+def items(part, parts):
+    for i in range(part, 10, parts):
+        yield {"custom_id": str(i), "inputs": {"n": i}}
+
+
+def test_items_of_a_generator(spark):
+    spark.dataSource.register(readers.ItemSource)
+    rows = spark.read.format("items").option("factory", "tests.test_kernels:items").option("parts", "3").load()
+    assert sorted(json.loads(r["inputs"])["n"] for r in rows.collect()) == list(range(10)) and rows.rdd.getNumPartitions() == 3
+
+
+def test_logs_of_other_programs_are_refused(spark, tmp_path):
+    path = str(tmp_path / "log")
+    readers.write_header(spark, path, "r", "sha256:a", "s")
+    readers.append_log(spark.createDataFrame([("1",)], "custom_id string"), path)
+    log = readers.read_log(spark, path, readers.HEADER_DDL + ", custom_id string")
+    assert [r["custom_id"] for r in runs.checked_log(log, "sha256:a").collect()] == ["1"]
+    with pytest.raises(ValueError):
+        runs.checked_log(log, "sha256:b")
+
+
+def test_error_policies(spark, tmp_path):
+    spark.createDataFrame([(i,) for i in range(20)], "n long").repartition(4).write.parquet(str(tmp_path / "in"))
+    work = lambda b: b.select("n", F.lit("error").alias("status"))
+    for policy, stops in (("continue", False), ("stop", True), ("stop_after_n", True)):
+        rows = streams.stream_items(spark, str(tmp_path / "in"), "n long")
+        run = streams.run_with_policy(rows, work, str(tmp_path / policy), str(tmp_path / f"{policy}-check"), policy, 8)
+        if stops:
+            with pytest.raises(Exception, match="TooManyErrors"):
+                run.awaitTermination()
+        else:
+            run.awaitTermination()
+        written = spark.read.parquet(str(tmp_path / policy)).count()
+        assert written == 20 if policy == "continue" else written < 20
