@@ -10,13 +10,14 @@ without mandatory trigrams (a bare character class) scans every row.
 from __future__ import annotations
 
 import re._parser as rx
-from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparloom.functions.arrays import let, scan
+
 from ._common import free_name, stage
 
 
@@ -130,29 +131,6 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id",
     return ruled.groupBy("row").agg(F.collect_set("kind").alias("kinds"))  # as many as there are rules at most
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once a row, also where `use` reads it for each element of an array."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _scan(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
-    """Running results of merge over an array of int not below 0, from 0 on, each one with its own element.
-
-    In blocks of the square root of its size, as an array has no running functions:
-    n elements take n ** 1.5 steps and not n ** 2.
-    """
-
-    def blocks(v: Column) -> Column:
-        width = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(v))).cast("int"))
-        fold = lambda part: F.aggregate(part, F.lit(0), merge)
-        div = lambda i, w: F.floor(i / w).cast("int")
-        inner = lambda w, sums: F.transform(v, lambda _, i: merge(fold(F.slice(sums, 1, div(i, w))), fold(F.slice(v, div(i, w) * w + 1, i % w + 1))))
-        sums = lambda w: F.transform(F.sequence(F.lit(0), div(F.size(v) - 1, w)), lambda b: fold(F.slice(v, b * w + 1, w)))
-        return _let(width, lambda w: _let(sums(w), lambda s: inner(w, s)))
-
-    return F.when(F.size(values) > 0, _let(values, blocks)).otherwise(F.array().cast("array<int>"))
-
-
 _SPANS = "array<struct<start:int,ord:int,kind:string,end:int>>"
 
 
@@ -160,8 +138,8 @@ def _spans(rule: Rule, order: int, text: str, matches: str, groups: str) -> Colu
     """_SPANS from all matches and what lies between them."""
     m, g = F.col(matches), F.col(groups)
     steps = lambda gaps: F.transform(m, lambda _, i: F.length(gaps[i]) + F.when(i > 0, F.length(F.get(m, i - 1))).otherwise(F.lit(0)))
-    starts = _scan(_let(F.split(text, rule.regex, -1), steps), lambda a, b: a + b)
-    found = _let(starts, lambda at: F.transform(m, lambda x, i: F.struct(at[i].alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), (at[i] + F.length(x)).alias("end"), F.length(g[i]).alias("size"))))
+    starts = scan(let(F.split(text, rule.regex, -1), steps), lambda a, b: a + b)
+    found = let(starts, lambda at: F.transform(m, lambda x, i: F.struct(at[i].alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), (at[i] + F.length(x)).alias("end"), F.length(g[i]).alias("size"))))
     kept = F.transform(F.filter(found, lambda s: s["size"] >= rule.least), lambda s: F.struct(s["start"], s["ord"], s["kind"], s["end"]))
     return F.when(F.exists(g, lambda x: F.length(x) >= rule.least), kept).otherwise(F.array()).cast(_SPANS)
 
@@ -204,12 +182,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
     def masked(blocks: Column) -> Column:
         div = lambda x: F.floor(x / _BLOCK).cast("int")
         part = lambda a, b: F.substring(F.array_join(F.slice(blocks, div(a) + 1, div(b) - div(a) + 1), ""), a - div(a) * _BLOCK + 1, b - a)
-        ends = _scan(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
-        before = lambda at, s, i: _let(F.when(i > 0, F.get(at, i - 1)).otherwise(F.lit(0)), lambda a: F.when(s["start"] >= a, F.concat(part(a, s["start"]), F.lit(mask))).otherwise(F.lit("")))
+        ends = scan(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        before = lambda at, s, i: let(F.when(i > 0, F.get(at, i - 1)).otherwise(F.lit(0)), lambda a: F.when(s["start"] >= a, F.concat(part(a, s["start"]), F.lit(mask))).otherwise(F.lit("")))
         pieces = lambda at: F.concat(F.transform(spans, lambda s, i: before(at, s, i)), F.array(part(F.element_at(at, -1), F.length(text_col))))
-        return F.array_join(_let(ends, pieces), "")
+        return F.array_join(let(ends, pieces), "")
 
-    done = _let(F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{_BLOCK}}}"), 0), masked)
+    done = let(F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{_BLOCK}}}"), 0), masked)
     return found.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(F.col(text_col))).select(*docs.columns)
 
 
