@@ -166,6 +166,14 @@ def tree_levels(leaves: DataFrame, fan: int, merge: Callable[[str], Column], mos
     return level.select("doc", "value", "depth")
 
 
+def cluster_reduce(leaves: DataFrame, merge: Callable[[Column], Column], last: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(doc, value, clusters, depth): leaves (doc, pos, cluster, value) merged in order within their cluster, then the clusters' values in order of their first leaf; one cluster alone takes no last merge (`last`, merge where none is given)."""
+    ordered = lambda: F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"])
+    parts = leaves.groupBy("doc", "cluster").agg(merge(ordered()).alias("value"), F.min("pos").alias("pos"))
+    done = parts.groupBy("doc").agg(F.count("*").alias("clusters"), ordered().alias("_v"))
+    return done.select("doc", F.when(F.size("_v") == 1, F.col("_v")[0]).otherwise((last or merge)(F.col("_v"))).alias("value"), "clusters", F.when(F.col("clusters") == 1, 1).otherwise(2).alias("depth"))
+
+
 def refine_fold(leaves: DataFrame, start: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
     """(doc, value): a left fold over the leaves in order."""
     values = F.array_sort(F.collect_list(F.struct("pos", "value")))

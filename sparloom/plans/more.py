@@ -318,3 +318,10 @@ def rubric_checked(spark, d):
 @query("select user_id, len(list_distinct(list(event_type) filter (where value > 60))) as n from events group by user_id")
 def reference_sets(spark, d):
     return _sets(spark, d).select("user_id", F.size(metrics.refs(F.to_json("p"))).cast("long").alias("n"))
+
+
+@query("""with c as (select conv_id as doc, role, string_agg(turn::varchar, '+' order by turn) as v, min(turn) as f from conversations group by conv_id, role)
+select doc, case when count(*) = 1 then any_value(v) else string_agg(v, '|' order by f) end as value, count(*) as clusters, case when count(*) = 1 then 1 else 2 end as depth from c group by doc""")
+def reduce_clusters(spark, d):
+    leaves = table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), F.col("role").alias("cluster"), F.col("turn").cast("string").alias("value"))
+    return chunks.cluster_reduce(leaves, lambda values: F.array_join(values, "+"), lambda values: F.array_join(values, "|"))

@@ -1,8 +1,10 @@
 """Small cases of the operators: nulls, ties, empty tables and known values."""
 
 import json
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from sparloom.functions import arrays, codecs, extractors, grounding, metrics, verdicts
@@ -275,3 +277,32 @@ def test_error_policies(spark, tmp_path):
             run.awaitTermination()
         written = spark.read.parquet(str(tmp_path / policy)).count()
         assert written == 20 if policy == "continue" else written < 20
+
+
+def test_kmeans_against_plain_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 5)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    centres = u[: vectors.cluster_count(60)]
+    for _ in range(10):
+        at = (u @ centres.T).argmax(axis=1)
+        sums = np.stack([u[at == k].sum(axis=0) for k in range(len(centres))])
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), centres)
+    assert {r["vec_id"]: r["cluster"] for r in vectors.spherical_kmeans(rows).collect()} == dict(enumerate((u @ centres.T).argmax(axis=1).tolist()))
+    assert [vectors.cluster_count(n) for n in (1, 9, 20, 400)] == [2, 3, 4, 8]
+
+
+def test_packing_against_a_plain_walk(spark):
+    rng = random.Random(3)
+    for _ in range(200):
+        text = "".join(rng.choice(["word ", "longerword", ". ", "! ", "\n\n", "x" * 30]) for _ in range(rng.randrange(60)))
+        spans = chunks.pack_text(text, 80, 15)
+        assert "".join(text[a:b] for a, b in spans) == text and all(a < b for a, b in spans) and all(b - a <= 80 for a, b in spans[:-1]) and (not spans or spans[-1][1] - spans[-1][0] < 95)
+        ends = set(chunks.segments(text))
+        for (a, b), (_, e) in zip(spans, spans[1:]):
+            if b - a < 80:  # it ends with a segment, and the next one wouldn't have fitted
+                assert b in ends and min((x for x in ends if x > b), default=e) - a > 80
+    docs = spark.createDataFrame([(1, "a. " * 50), (2, ""), (3, None)], "doc_id long, text string")
+    assert [(r["pos"], r["start"], r["end"]) for r in chunks.pack_sentences(docs, 60, 10).orderBy("pos").collect()] == [(i, a, b) for i, (a, b) in enumerate(chunks.pack_text("a. " * 50, 60, 10))]
