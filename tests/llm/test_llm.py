@@ -84,6 +84,40 @@ def test_mpeg_round_trip_and_resync(spark, odd):
     assert [r["frames"] for r in mpeg.media_features(none).collect()] == [0, 0, 0]
 
 
+def test_media_query_against_plain_arithmetic(spark):
+    """Every document of sf0.001: digests of the zero-filled text, and what the format's own formulas say of frames, samples and sizes."""
+    rates = [32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]  # kbit/s; a frame of 1152 samples at 32 kHz has 144 * rate / 32 bytes, 38 of them header, checksum and side information
+    sizes = [144 * r * 1000 // 32000 for r in rates]
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows = mpeg.op2_mpeg_audio(spark, SMALL).collect()
+    assert {r["doc_id"] for r in rows} == set(docs) and len(rows) == len(docs)
+    for r in rows:
+        raw = docs[r["doc_id"]]
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        full, rest = divmod(len(payload), sizes[-1] - 38)
+        frames = full + (rest > 0)
+        last = next((s for s in sizes if s - 38 >= rest), 0) if rest else 0
+        head = 10 + 10 + len("\0payload_bytes\0") + len(str(len(payload)))
+        table = next(s for s in sizes if s - 38 >= 4 + 4 + 4 + 4 + 100)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert r["media_bytes"] == head + table + full * sizes[-1] + last + 32 + 128
+        offsets = [head + table + i * sizes[-1] for i in range(frames)]
+        assert r["feature"] == f"mpeg1-l3;32000Hz;ch=2;frames={frames};samples={1152 * frames};vbr=Xing:{frames};crc={frames}/0;skipped=0;seek={hashlib.sha256(','.join(map(str, offsets)).encode()).hexdigest()[:16]}"
+
+
+def test_media_of_odd_tables(spark, odd):
+    got = mpeg._digest(mpeg.to_media(odd))
+    assert got.count() == 8 and got.where("score <> 0.1").count() == 0 and mpeg._digest(mpeg.to_media(odd.limit(0))).count() == 0
+    assert mpeg.media_features(mpeg.to_media(odd)).where("batch = 'x' or batch is null").count() == 8
+
+
+def test_clashing_columns_keep_their_values(spark, odd):
+    tests = spark.createDataFrame([(1, "some thirteen words that no document has at all in it, one two three")], "item_id long, text string")
+    kept = decontaminate.decontaminate(odd, tests)
+    assert kept.columns == odd.columns and kept.where("items = 'mine' and n_words = 5").count() == 8
+    assert secrets.redact(odd).columns == odd.columns and secrets.redact(odd).where("secrets = 'mine' and _row = 'mine'").count() == 8
+
+
 def test_media_of_payloads_that_look_like_tags():
     for mark in (b"TAG", b"APETAGEX", b"SONNTAG"):
         for n in (0, 64, 300, 1100, 2500):
