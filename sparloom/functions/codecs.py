@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import extractors
-from .arrays import let
 
 
 def xml_field(c: Column, name: str) -> Column:
@@ -71,8 +70,8 @@ def money_key(amount: Column, currency: Column) -> Column:
 def money_text_key(c: Column) -> Column:
     """money_key() of a text such as $1,000, 100 EUR or a bare number; null for others."""
     bare = F.regexp_extract(F.trim(c), r"^-?\d[\d,]*(?:\.\d+)?$", 0)
-    found = let(F.get(extractors.money(c), F.lit(0)), lambda m: money_key(m["amount"], m["currency"]))
-    return F.when(bare != "", money_key(bare, F.lit(None).cast("string"))).otherwise(found)
+    found = extractors.money(c, first_only=True)
+    return F.when(bare != "", money_key(bare, F.lit(None).cast("string"))).otherwise(money_key(found["amount"], found["currency"]))
 
 
 def number_key(c: Column) -> Column:
@@ -87,7 +86,7 @@ def date_key(c: Column) -> Column:
 
 def date_text_key(c: Column) -> Column:
     """ISO dates by their first ten characters, else the first date in the text."""
-    return F.coalesce(date_key(c), F.date_format(F.get(extractors.dates(c), F.lit(0))["value"], "yyyy-MM-dd"))
+    return F.coalesce(date_key(c), F.date_format(extractors.dates(c, first_only=True)["value"], "yyyy-MM-dd"))
 
 
 def duration_seconds(quantity: Column, unit: Column) -> Column:
@@ -97,7 +96,7 @@ def duration_seconds(quantity: Column, unit: Column) -> Column:
 
 def duration_text_key(c: Column) -> Column:
     """Total seconds of the first duration in the text."""
-    return F.get(extractors.durations(c), F.lit(0))["seconds"].cast("long").cast("string")
+    return extractors.durations(c, first_only=True)["seconds"].cast("long").cast("string")
 
 
 def decode_envelope(c: Column, payload: str) -> Column:

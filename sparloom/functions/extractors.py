@@ -1,7 +1,8 @@
 """Dates, durations, money, numbers, percentages and company names in running text, as Column builders.
 
 Each gives an array of structs with start and end (code points, end exclusive) and the
-value; null text gives an empty array. English, as the rules they follow are.
+value; null text gives an empty array. `first_only` gives a struct of the first match's
+values instead. English, as the rules they follow are.
 """
 
 from __future__ import annotations
@@ -51,7 +52,13 @@ def _valued(text: Column, regex: str, **values) -> Column:
     return F.filter(found, lambda s: s[next(iter(values))].isNotNull())
 
 
-def money(text: Column) -> Column:
+def _first(text: Column, regex: str, **values) -> Column:
+    """Struct of the first match's values, null without a match: without the places, which cost more than the values."""
+    m = F.nullif(F.regexp_extract(text, regex, 0), F.lit(""))
+    return F.when(m.isNotNull(), F.struct(*[f(m).alias(k) for k, f in values.items()]))
+
+
+def money(text: Column, first_only: bool = False) -> Column:
     """amount (decimal text, scale kept) and currency: a symbol on either side, a word or a code after the amount."""
     symbols = "[$€£¥₹₩]"
     words = "dollar|euro|pound|yen|rupee|won"
@@ -61,7 +68,7 @@ def money(text: Column) -> Column:
         sign, word = F.regexp_extract(m, symbols, 0), F.regexp_extract(F.lower(m), rf"({words})s?$", 1)
         return F.when(sign != "", _map(CURRENCIES)[sign]).when(word != "", _map(CURRENCIES)[word]).otherwise(F.regexp_extract(m, "[A-Z]{3}$", 0))
 
-    return _valued(text, regex, amount=_quantity, currency=currency)
+    return (_first if first_only else _valued)(text, regex, amount=_quantity, currency=currency)
 
 
 def percentages(text: Column) -> Column:
@@ -85,14 +92,14 @@ def numbers(text: Column) -> Column:
     return _valued(text, regex, value=lambda m: F.when(m.rlike("^[MDCLXVI]+$"), roman_value(m).cast("string")).otherwise(_quantity(m)))
 
 
-def durations(text: Column) -> Column:
+def durations(text: Column, first_only: bool = False) -> Column:
     """quantity (decimal text), unit and seconds; a, an, the and this count as 1."""
     words = WRITTEN | dict.fromkeys(ARTICLES, 1)
     regex = rf"(?i){_NO_NUMBER_BEFORE}(?:{_NUMBER}|(?:{'|'.join(words)}))\s+(?:{'|'.join(SECONDS)})s?\b"
     unit = lambda m: F.regexp_extract(F.lower(m), r"(\w+)$", 1)
     quantity = lambda m: _quantity(F.regexp_replace(m, r"\s+\w+$", ""), words)
     seconds = lambda m: quantity(m).cast("decimal(20,6)") * _map(SECONDS)[F.regexp_replace(unit(m), "s$", "")]
-    return _valued(text, regex, quantity=quantity, unit=unit, seconds=lambda m: seconds(m).cast("double"))
+    return (_first if first_only else _valued)(text, regex, quantity=quantity, unit=unit, seconds=lambda m: seconds(m).cast("double"))
 
 
 def _full_year(c: Column, now: int) -> Column:
@@ -102,7 +109,7 @@ def _full_year(c: Column, now: int) -> Column:
     return F.when(F.length(c) == 2, near).otherwise(y)
 
 
-def dates(text: Column, now: int = 2026, first: int = 1900, last: int = 2050) -> Column:
+def dates(text: Column, now: int = 2026, first: int = 1900, last: int = 2050, first_only: bool = False) -> Column:
     """value: the date; month/day/year (day first where it can't be a month), ISO, and English forms with a month's name.
 
     A year of two digits counts only above 31. Dates that don't exist or lie outside
@@ -130,7 +137,7 @@ def dates(text: Column, now: int = 2026, first: int = 1900, last: int = 2050) ->
     def value(m: Column) -> Column:
         return let(F.lower(m), lambda low: let(F.regexp_extract_all(low, F.lit(r"\d+"), 0), lambda parts: F.when(low.rlike("[a-z]{3}"), by_name(low, parts)).otherwise(by_figures(parts))))
 
-    return _valued(text, regex, value=value)
+    return (_first if first_only else _valued)(text, regex, value=value)
 
 
 def entities(text: Column) -> Column:
