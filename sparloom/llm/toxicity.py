@@ -104,28 +104,32 @@ def _train(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, n_slots: int
             d_b = error.sum()
             gb += d_b**2
             bias -= rate * d_b / np.sqrt(gb)
-    return bias, w, v
+    return bias, w, v.astype(np.float32)
 
 
 def _joint(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, n_slots: int) -> np.ndarray:
     """The slots that tell together with another: a pair's covariances in rows of label 1 and 0 differ by LEAST_PAIR_Z standard errors; JOINT of them at most, the most telling ones. Rows is ascending."""
     first = np.searchsorted(rows, np.arange(len(labels) + 1))
-    covariance, variance = [], np.zeros((n_slots, n_slots))
+    together, sizes = [], []
     for label in (0, 1):
         mine = np.flatnonzero(labels == label)
-        both = np.zeros((n_slots, n_slots))
-        for lo in range(0, len(mine), 1024):
-            row, at = _some(first, mine[lo : lo + 1024])
-            x = np.zeros((min(1024, len(mine) - lo), n_slots), np.float32)
+        both = np.zeros((n_slots, n_slots), np.float32)  # counts, exact up to 2 ** 24 rows
+        for lo in range(0, len(mine), 512):
+            row, at = _some(first, mine[lo : lo + 512])
+            x = np.zeros((min(512, len(mine) - lo), n_slots), np.float32)
             x[row, slots[at]] = 1
             both += x.T @ x
-        both /= max(1, len(mine))
-        p = both.diagonal().copy()
-        covariance.append(both - np.outer(p, p))
-        variance += np.outer(p * (1 - p), p * (1 - p)) / max(1, len(mine))
-    z = np.abs(covariance[1] - covariance[0]) / np.sqrt(np.maximum(variance, 1e-9))
-    np.fill_diagonal(z, 0)
-    best = z.max(axis=1, initial=0)
+        together.append(both)
+        sizes.append(max(1, len(mine)))
+    shares = [m.diagonal().astype(float) / n for m, n in zip(together, sizes)]
+    best = np.zeros(n_slots)
+    for lo in range(0, n_slots, 128):  # some rows of the matrices at a time, as the driver's memory is small
+        some = slice(lo, lo + 128)
+        covariance = [m[some] / n - np.outer(p[some], p) for m, n, p in zip(together, sizes, shares)]
+        variance = sum(np.outer(p[some] * (1 - p[some]), p * (1 - p)) / n for n, p in zip(sizes, shares))
+        z = np.abs(covariance[1] - covariance[0]) / np.sqrt(np.maximum(variance, 1e-9))
+        z[np.arange(len(z)), lo + np.arange(len(z))] = 0
+        best[some] = z.max(axis=1, initial=0)
     some = np.argsort(-best, kind="stable")[:JOINT]
     return some[best[some] >= LEAST_PAIR_Z]
 
@@ -175,9 +179,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = got.column("_label").to_numpy().astype(float)
     by_row = np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1])
     order = sorted(range(n), key=lambda i: (y[i], by_row[i].tobytes()))  # doesn't depend on the partitions
-    y, row = y[order], np.repeat(np.arange(n), [len(by_row[i]) for i in order])
+    y, row = y[order], np.repeat(np.arange(n, dtype=np.int32), [len(by_row[i]) for i in order])
     used = np.concatenate([by_row[i] for i in order])
-    nth = np.full(len(inputs), -1)
+    del got, lists, by_row
+    nth = np.full(len(inputs), -1, np.int32)
     nth[np.searchsorted(inputs, frequent)] = np.arange(len(frequent))
     pairs = nth[used] >= 0
     chosen_slots = np.union1d(np.searchsorted(inputs, telling), np.searchsorted(inputs, frequent[_joint(row[pairs], nth[used[pairs]], y, len(frequent))]))
