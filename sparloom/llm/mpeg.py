@@ -384,5 +384,10 @@ def _digest(media: DataFrame, media_col: str = "media") -> DataFrame:
 
 
 def op2_mpeg_audio(spark, sf_dir: str) -> DataFrame:
+    """Every text of documents stored as an MPEG stream, read back, with its checksums and features; see to_media().
+
+    Null and empty texts are 64 bytes of padding. Repeated rows: one row each, with
+    equal values; a null doc_id is carried. Empty table: no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return _digest(stage(to_media(docs)))

@@ -148,6 +148,18 @@ def linked_fingerprints(fps: DataFrame, radius: int = 3, bucket: int = BUCKET) -
         groups = max(radius + 1, -(-radius * max(64 - m.bit_count() for m in masks) // max(bits, radius, 1)))
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int = 3, shingle: int = 3, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """Staged rows (id_col, fp) of docs, and (fp, label, component_id) of each fingerprint: label is one for each component."""
+    rows = stage(fingerprints(docs.select(F.col(id_col), F.col(text_col)), text_col, "fp", shingle))
+    least = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
+    labels = connected_components(linked_fingerprints(least.select("fp"), radius, bucket))
+    linked = labels.join(least, labels["node"] == least["fp"]).select("node", "label", "least")
+    of = linked.groupBy("label").agg(F.min("least").alias("smallest"))
+    by_fp = linked.join(of, "label").select(F.col("node").alias("fp"), "label", "smallest")
+    # written once, so that both sides of the last join are plain shuffles, which Spark splits where one fingerprint is hot
+    return rows, stage(least.join(by_fp, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("smallest", "least").alias("component_id")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
     """(id_col, fp long, component_id): component_id is the smallest id reachable over links.
 
@@ -156,29 +168,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     link like any other. One row for each input row; rows without id get their
     component too, but lend it no id (null where no row has one). Empty: no rows.
     """
-    rows = stage(fingerprints(docs.select(F.col(id_col), F.col(text_col)), text_col, "fp", shingle))
-    least = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
-    labels = connected_components(linked_fingerprints(least.select("fp"), radius, bucket))
-    linked = labels.join(least, labels["node"] == least["fp"]).select("node", "label", "least")
-    of = linked.groupBy("label").agg(F.min("least").alias("smallest"))
-    by_fp = linked.join(of, "label").select(F.col("node").alias("fp"), "smallest")
-    # written once, so that both sides of the last join are plain shuffles, which Spark splits where one fingerprint is hot
-    whole = stage(least.join(by_fp, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id")))
+    rows, whole = _classes(docs, id_col, text_col, radius, shingle, bucket)
     return rows.join(whole, "fp").select(id_col, "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
     """One document of each component: the rows that have its smallest id.
 
-    Rows of one id are one document and stay together; so do rows without id that
-    have no component with an id. Which ids go is decided on ids and fingerprints
-    alone; texts move only when the ids that go are too many to broadcast.
+    Rows of one id are one document and stay together. A row without id is a document
+    of its own: it stays only if its component has no id, and of such rows of one component
+    one stays, that of the smallest text (null as empty; which one of equal texts is open).
+    Which ids go is decided on ids and fingerprints alone; texts move only when the ids
+    that go are too many to broadcast, and those of rows without id.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
+    rows, whole = _classes(docs, id_col, text_col, radius, shingle, bucket)
+    found = rows.where(F.col(id_col).isNotNull()).join(whole, "fp")
     # an id that is the smallest of its component for one of its rows stays
-    gone = found.groupBy(id_col).agg(F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("stays")).where("not stays").select(F.col(id_col).alias("_gone"))
+    gone = found.groupBy(id_col).agg(F.max(F.col(id_col) == F.col("component_id")).alias("stays")).where("not stays").select(F.col(id_col).alias("_gone"))
     gone = stage(gone)
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    kept = docs.where(F.col(id_col).isNotNull()).join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    if rows.where(F.col(id_col).isNull()).isEmpty():
+        return kept
+    nameless = docs.where(F.col(id_col).isNull()).select(F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    alone = fingerprints(nameless.select("row", F.col("row")[text_col].alias("of"), "text")).join(whole.where("component_id is null"), "fp")
+    one = alone.groupBy("label").agg(F.min_by("row", F.coalesce("of", F.lit(""))).alias("row"))
+    return kept.unionByName(one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
 
 
 def hex64(fp: str = "fp") -> F.Column:

@@ -3,8 +3,8 @@
 The word-level tokenizer file lower-cases, drops white space and encodes each piece
 (letters, one digit, or other signs) alone. So texts are cut into pieces with
 numpy, and only pieces that a worker hasn't met are encoded, by the tokenizer's own
-model. Texts with characters outside a range for which the cut is certain go
-through the tokenizer whole. A met piece is looked up by a 64-bit hash and compared
+model. Texts with characters outside a range for which the cut is certain, or with
+the string of an added token, go through the tokenizer whole. A met piece is looked up by a 64-bit hash and compared
 with the piece remembered, character by character; a piece that differs from the one
 of its hash is encoded alone.
 """
@@ -40,7 +40,9 @@ class PieceEncoder:
         self.path = path
         # The model for pieces that are cut and normalised already, a space between.
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [x.content for x in self.model.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
+        self.model.encode_special_tokens = True  # no piece is one of these
         self.model.normalizer = normalizers.Sequence([])
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.model.get_vocab()
@@ -55,9 +57,7 @@ class PieceEncoder:
         """The tokenizer as it is in the file; many workers never need it."""
         from tokenizers import Tokenizer
 
-        out = Tokenizer.from_file(self.path)
-        out.encode_special_tokens = True
-        return out
+        return Tokenizer.from_file(self.path)
 
     def _forget(self) -> None:
         self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -149,7 +149,7 @@ class PieceEncoder:
         return np.split(ids, cuts[:-1])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [not _PLAIN.search(t) for t in texts]
+        plain = [not _PLAIN.search(t) and not self.special.search(t) for t in texts]
         out = [np.zeros(0, self.dtype)] * len(texts)
         some = [i for i, p in enumerate(plain) if p]
         if some:

@@ -171,17 +171,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def reduced(batches):
         for batch in batches:
-            lists = [spread.value[np.asarray(x, np.int64)] for x in column(batch, "buckets").to_pylist()]
-            yield out_batch(batch, ["_label"], {"slots": pa.array([np.sort(x[x >= 0]) for x in lists], pa.list_(pa.int32()))})
-
-    got = rows.mapInArrow(reduced, "_label int, slots array<int>").toArrow()
-    lists = got.column("slots").combine_chunks()
-    y = got.column("_label").to_numpy().astype(float)
-    by_row = np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1])
-    order = sorted(range(n), key=lambda i: (y[i], by_row[i].tobytes()))  # doesn't depend on the partitions
-    y, row = y[order], np.repeat(np.arange(n, dtype=np.int32), [len(by_row[i]) for i in order])
-    used = np.concatenate([by_row[i] for i in order])
-    del got, lists, by_row
+            lists = [spread.value[np.asarray(x, np.int64)].astype(np.int16) for x in column(batch, "buckets").to_pylist()]  # TERMS + FREQUENT at most
+            yield out_batch(batch, ["_label"], {"slots": pa.array([np.sort(x[x >= 0]) for x in lists], pa.list_(pa.int16()))})
+
+    # The order doesn't depend on the partitions; the driver gets one buffer of two bytes a number.
+    got = rows.mapInArrow(reduced, "_label int, slots array<smallint>").orderBy("_label", "slots").toArrow().combine_chunks()
+    lists, y = got.column("slots").chunk(0), got.column("_label").to_numpy().astype(float)
+    row, used = np.repeat(np.arange(n, dtype=np.int32), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
     nth = np.full(len(inputs), -1, np.int32)
     nth[np.searchsorted(inputs, frequent)] = np.arange(len(frequent))
     pairs = nth[used] >= 0

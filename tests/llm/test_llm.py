@@ -333,7 +333,6 @@ def test_tokens_and_packing(spark, odd, duck):
         thue += thue.translate({97: "b", 98: "a"})
     twin = thue.translate({97: "b", 98: "a"})
     tk = Tokenizer.from_file(path)
-    tk.encode_special_tokens = True
     docs = duck.sql("select doc_id, text from documents").fetchall()
     texts = ["it's we're i'll they'd don'tx ''s \"'s 's't", "", "²x½ ª º µ ß ÷×", "Σας İı", "日本語", "<|endoftext|> hi", "__init__ _a_ 3.14 --", "don''t '''s 'REr"] + [t for _, t in docs[:200]]
     for texts in (texts, [thue, twin], [f"{twin} it's {thue}", thue, "a b", twin]):

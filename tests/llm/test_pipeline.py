@@ -63,7 +63,6 @@ def test_stages(spark):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(packing.default_tokenizer())
-    tk.encode_special_tokens = True
     ids = {i: tk.encode(t or "", add_special_tokens=False).ids + [1] for i, t in texts[4].items()}
     pieces = rows[5].collect()
     assert {p["doc_id"] for p in pieces} == set(ids) and sum(p["length"] for p in pieces) == sum(map(len, ids.values()))
