@@ -79,7 +79,7 @@ def plain_ids(texts):
 def check(rows, docs, limits=Capacities()):
     """Each id in one piece, gapless sequences within all capacities, pieces as the contract cuts them."""
     want = sorted((repr(d), ids) for d, ids in zip([d for d, _ in docs], plain_ids([t for _, t in docs])))
-    pieces = sorted((repr(d), i, min(limits.longest, len(ids) - i), zlib.crc32(np.array(ids[i : i + limits.longest], "<u4").tobytes())) for d, ids in want for i in range(0, len(ids), limits.longest))
+    pieces = sorted((d, i, min(limits.longest, len(ids) - i), zlib.crc32(np.array(ids[i : i + limits.longest], "<u4").tobytes())) for d, ids in want for i in range(0, len(ids), limits.longest))
     assert sorted((repr(r[0]), r.start, r.length, r.ids_crc32) for r in rows) == pieces
     assert all(r.start == r.piece * limits.longest for r in rows)
     by = {}
