@@ -2,7 +2,8 @@
 
 The alignment itself is relational. Token lists are exploded with their places,
 windowed sums of byte lengths give each token's end, and an outer equi-join on (text,
-end) gives the points at which a token of either side ends. Points at which both end
+end) gives the points at which a token of either side ends (written as a grouping of
+both sides' rows by these keys, which keeps the shuffle by text). Points at which both end
 are cuts; a running count of them numbers the groups. Each point is also one link: two
 tokens overlap exactly if one of them is the next to end after the overlap, so the
 next tokens of both sides at a point, by windows again, are all overlapping pairs, once
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from functools import cached_property
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 from ._common import as_text, column, discard, slices, stage
 
 #: Bytes of text whose words are coded together; one longer document makes a batch of its own.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 32 << 20
 #: Before a space that ends neither the text nor anything but a visible ASCII character, letter or digit. The text has a space before it.
 _CUT = re.compile(r"(?<=[!-~\w])(?= (?s:.))")
 _HARD = re.compile(r"[^!-~\w] |^ | \Z")
@@ -127,12 +129,12 @@ def points(tokens: DataFrame, key: str) -> DataFrame:
     behind: cuts from here to the end, so that equal values are one group.
     """
 
-    def side(name: str) -> DataFrame:
-        rows = tokens.select(key, F.posexplode(F.arrays_zip(f"{name}_ids", f"{name}_sizes")).alias("pos", "t"))
-        end = F.sum(f"t.{name}_sizes").over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-        return rows.select(key, end.alias("end"), F.col(f"t.{name}_ids").alias(name))
-
-    both = side("a").join(side("b"), [key, "end"], "full")
+    listed = lambda name, mark: F.transform(F.arrays_zip(f"{name}_ids", f"{name}_sizes"), lambda x, i: F.struct(F.lit(mark).alias("side"), i.alias("pos"), x[f"{name}_ids"].alias("id"), x[f"{name}_sizes"].alias("size")))
+    # one shuffle by text; all that follows is grouped by it
+    rows = tokens.select(key, "a_ids", "a_sizes", "b_ids", "b_sizes").repartition(key).select(key, F.explode(F.concat(listed("a", 0), listed("b", 1))).alias("t")).select(key, "t.*")
+    end = F.sum("size").over(Window.partitionBy(key, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    of = lambda mark: F.max(F.when(F.col("side") == mark, F.col("id")))
+    both = rows.withColumn("end", end).groupBy(key, "end").agg(of(0).alias("a"), of(1).alias("b"))
     onward = Window.partitionBy(key).orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     cut = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1).otherwise(0)
     return both.select(key, "end", "a", "b", F.sum(cut).over(onward).alias("behind"), F.last("a", True).over(onward).alias("link_a"), F.last("b", True).over(onward).alias("link_b"))
@@ -159,20 +161,28 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     return grouped.join(names, "row").select(id_col, "group", "start", "end", "a_ids", "b_ids"), found.join(names, "row").select(id_col, "end", F.col("link_a").alias("a_id"), F.col("link_b").alias("b_id"))
 
 
+def texts(batch: pa.RecordBatch, name: str):
+    """The texts one after another, null as empty."""
+    return (x.as_py() or "" for x in column(batch, name))
+
+
+def _ints(values: array) -> pa.Array:
+    return pa.array(np.frombuffer(values, np.int32) if len(values) else np.zeros(0, np.int32))
+
+
 def _coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for some megabytes of documents: batch, ids, counts (words of each), codes (of each word), words (distinct)."""
 
     def run(batches):
         at = TaskContext.get().partitionId() << 33
         for batch in slices(batches, text_col, BATCH_BYTES):
-            flat, counts = [], []
-            for text in as_text(batch, text_col):
+            known, codes, counts = {}, array("i"), array("i")
+            for text in texts(batch, text_col):
                 found = words(text)
-                flat += found
+                codes.extend([known.setdefault(w, len(known)) for w in found])
                 counts.append(len(found))
-            coded = pa.array(flat, pa.large_string()).dictionary_encode()
             one = [pa.array([at], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), column(batch, id_col))]
-            one += [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.array(counts, pa.int32()), coded.indices.cast(pa.int32()), coded.dictionary.cast(pa.string()))]
+            one += [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (_ints(counts), _ints(codes), pa.array(list(known), pa.string()))]
             yield pa.RecordBatch.from_arrays(one, ["batch", "ids", "counts", "codes", "words"])
             at += 1
 
