@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from ._common import as_text, column, discard, slices, stage
 
 #: Bytes of text whose words are coded together; one longer document makes a batch of its own.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 48 << 20
 #: Before a space that ends neither the text nor anything but a visible ASCII character, letter or digit. The text has a space before it.
 _CUT = re.compile(r"(?<=[!-~\w])(?= (?s:.))")
 _HARD = re.compile(r"[^!-~\w] |^ | \Z")
@@ -103,35 +103,34 @@ def pair(a_path: str, b_path: str) -> Pair:
     return _pairs.setdefault((a_path, b_path), Pair(a_path, b_path))
 
 
-_LISTS = ("a_ids", "a_sizes", "b_ids", "b_sizes")
-
-
-def encoded(texts: DataFrame, a_path: str, b_path: str, text_col: str = "text") -> DataFrame:
-    """texts with a_ids, a_sizes, b_ids, b_sizes in place of the text: empty lists for null and empty texts and those whose bytes a tokenizer changes."""
-    carry = [c for c in texts.columns if c != text_col]
+def encoded(texts_of: DataFrame, a_path: str, b_path: str, text_col: str = "text") -> DataFrame:
+    """texts_of with `tokens` in place of the text: both sides' tokens in order, each as side << 60 | id << 28 | byte length; empty for null and empty texts and those whose bytes a tokenizer changes."""
+    carry = [c for c in texts_of.columns if c != text_col]
 
     def run(batches):
         coder = pair(a_path, b_path)
         for batch in slices(batches, text_col):
             given = as_text(batch, text_col)
             found = iter(coder.encode([t for t in given if t]))
-            rows = [(next(found) or ((), (), (), ())) if t else ((), (), (), ()) for t in given]
-            yield pa.RecordBatch.from_arrays([column(batch, c) for c in carry] + [pa.array(x, pa.list_(pa.int32())) for x in zip(*rows)], [*carry, *_LISTS])
+            rows = []
+            for t in given:
+                one = next(found) if t else None
+                rows.append([i << 28 | n for i, n in zip(one[0], one[1])] + [1 << 60 | i << 28 | n for i, n in zip(one[2], one[3])] if one else ())
+            yield pa.RecordBatch.from_arrays([column(batch, c) for c in carry] + [pa.array(rows, pa.list_(pa.int64()))], [*carry, "tokens"])
 
-    return texts.mapInArrow(run, T.StructType([texts.schema[c] for c in carry] + [T.StructField(c, T.ArrayType(T.IntegerType())) for c in _LISTS]))
+    return texts_of.mapInArrow(run, T.StructType([texts_of.schema[c] for c in carry] + [T.StructField("tokens", T.ArrayType(T.LongType()))]))
 
 
 def points(tokens: DataFrame, key: str) -> DataFrame:
     """(key, end, a, b, behind, link_a, link_b): one row for each place of a text where a token of either side ends.
 
-    tokens: key (unique) and the lists of encoded(). a, b: the token that ends there, null
-    if none does; link_a, link_b: the tokens that cover the bytes before it;
-    behind: cuts from here to the end, so that equal values are one group.
+    tokens: key (unique) and tokens of encoded(). a, b: the token that ends there, null if
+    none does; link_a, link_b: the tokens that cover the bytes before it; behind: cuts
+    from here to the end, so that equal values are one group.
     """
-
-    listed = lambda name, mark: F.transform(F.arrays_zip(f"{name}_ids", f"{name}_sizes"), lambda x, i: F.struct(F.lit(mark).alias("side"), i.alias("pos"), x[f"{name}_ids"].alias("id"), x[f"{name}_sizes"].alias("size")))
     # one shuffle by text; all that follows is grouped by it
-    rows = tokens.select(key, "a_ids", "a_sizes", "b_ids", "b_sizes").repartition(key).select(key, F.explode(F.concat(listed("a", 0), listed("b", 1))).alias("t")).select(key, "t.*")
+    rows = tokens.select(key, "tokens").repartition(key).select(key, F.posexplode("tokens").alias("pos", "t"))
+    rows = rows.select(key, "pos", F.shiftright("t", 60).alias("side"), F.shiftright("t", 28).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("id"), F.col("t").bitwiseAND(F.lit((1 << 28) - 1)).alias("size"))
     end = F.sum("size").over(Window.partitionBy(key, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     of = lambda mark: F.max(F.when(F.col("side") == mark, F.col("id")))
     both = rows.withColumn("end", end).groupBy(key, "end").agg(of(0).alias("a"), of(1).alias("b"))
@@ -166,12 +165,19 @@ def texts(batch: pa.RecordBatch, name: str):
     return (x.as_py() or "" for x in column(batch, name))
 
 
-def _ints(values: array) -> pa.Array:
-    return pa.array(np.frombuffer(values, np.int32) if len(values) else np.zeros(0, np.int32))
+def _pack(values: np.ndarray) -> bytes:
+    """Small numbers by planes of their bytes, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def _coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for some megabytes of documents: batch, ids, counts (words of each), codes (of each word), words (distinct)."""
+    """One row for some megabytes of documents: batch, ids, counts (words of each), codes (of each word, packed), words (distinct)."""
 
     def run(batches):
         at = TaskContext.get().partitionId() << 33
@@ -182,29 +188,29 @@ def _coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 codes.extend([known.setdefault(w, len(known)) for w in found])
                 counts.append(len(found))
             one = [pa.array([at], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), column(batch, id_col))]
-            one += [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (_ints(counts), _ints(codes), pa.array(list(known), pa.string()))]
+            one += [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.array(counts, pa.int32()), pa.array(list(known), pa.string()))]
+            one.insert(3, pa.array([_pack(np.array(codes, np.int32))], pa.binary()))
             yield pa.RecordBatch.from_arrays(one, ["batch", "ids", "counts", "codes", "words"])
             at += 1
 
     of = T.ArrayType
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, T.StructType([T.StructField("batch", T.LongType()), T.StructField("ids", of(docs.schema[id_col].dataType)), T.StructField("counts", of(T.IntegerType())), T.StructField("codes", of(T.IntegerType())), T.StructField("words", of(T.StringType()))]))
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, T.StructType([T.StructField("batch", T.LongType()), T.StructField("ids", of(docs.schema[id_col].dataType)), T.StructField("counts", of(T.IntegerType())), T.StructField("codes", T.BinaryType()), T.StructField("words", of(T.StringType()))]))
 
 
 def _word_results(coded: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(word, n_a, n_b, groups, link_a, link_b) of each distinct word; groups is null where it has no tokens."""
-    distinct = coded.select(F.explode("words").alias("word")).distinct().withColumn("key", F.monotonically_increasing_id())
-    keyed = stage(distinct)
+    """(word, points) of each distinct word, staged: its points in order, each as link_a << 33 | link_b << 2 | sides that end there (1: a, 2: b, 3: both, a cut); null where it has no tokens."""
+    distinct = coded.select(F.explode("words").alias("word")).distinct()
+    keyed = stage(distinct.withColumn("key", F.monotonically_increasing_id()))
     tokens = stage(encoded(keyed.withColumnRenamed("word", "text"), a_path, b_path))
-    found = points(tokens, "key")
-    join = lambda ids: F.array_join(ids, ",")
-    grouped = found.groupBy("key", "behind").agg(F.max("end").alias("end"), _ordered("a").alias("a"), _ordered("b").alias("b"), F.collect_list("link_a").alias("la"), F.collect_list("link_b").alias("lb"))
-    grouped = grouped.select("key", "end", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.concat(join("a"), F.lit("|"), join("b")).alias("text"), "la", "lb")
-    each = grouped.groupBy("key").agg(F.sum("n_a").cast("int").alias("n_a"), F.sum("n_b").cast("int").alias("n_b"), F.count("*").cast("int").alias("n_groups"), F.array_sort(F.collect_list(F.struct("end", "text"))).alias("t"), F.flatten(F.collect_list("la")).alias("link_a"), F.flatten(F.collect_list("lb")).alias("link_b"))
-    each = each.select("key", "n_a", "n_b", "n_groups", F.array_join(F.transform("t", lambda x: x["text"]), ";").alias("groups"), "link_a", "link_b")
-    return keyed.join(each, "key", "left").drop("key")
+    sides = F.when(F.col("b").isNull(), 1).when(F.col("a").isNull(), 2).otherwise(3)
+    point = F.shiftleft(F.col("link_a").cast("long"), 33).bitwiseOR(F.shiftleft(F.col("link_b").cast("long"), 2)).bitwiseOR(sides)
+    each = points(tokens, "key").select("key", F.struct("end", point.alias("point")).alias("p")).groupBy("key").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    out = stage(keyed.join(each.select("key", F.col("p.point").alias("points")), "key", "left").drop("key"))
+    discard(keyed, tokens)
+    return out
 
 
-_PARTS = "n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, digests array<string>, per_doc array<int>, pairs array<int>, times array<int>, pair_a array<int>, pair_b array<int>, pair_docs array<bigint>"
+_PARTS = "n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, digests array<string>, per_doc array<int>, pairs binary, times binary, pair_a array<int>, pair_b array<int>, pair_docs array<bigint>"
 
 
 def _one(values, kind) -> pa.Array:
@@ -212,23 +218,49 @@ def _one(values, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
 
 
+def _group_texts(a: list[int], b: list[int], sides: list[int], first: list[int]) -> list[str]:
+    """The groups of each word, written as `a1,a2|b1;a3|b2`; word i has the points from first[i] to first[i + 1]."""
+    out = []
+    for lo, hi in zip(first, first[1:]):
+        if hi - lo == 1:
+            out.append(f"{a[lo]}|{b[lo]}")
+            continue
+        groups, left, right = [], [], []
+        for i in range(lo, hi):
+            s = sides[i]
+            if s != 2:
+                left.append(str(a[i]))
+            if s != 1:
+                right.append(str(b[i]))
+            if s == 3:
+                groups.append(f"{','.join(left)}|{','.join(right)}")
+                left, right = [], []
+        out.append(";".join(groups))
+    return out
+
+
 def _compose(coded: pa.Table, found: pa.Table) -> pa.Table:
     """What a batch's documents are made of: sums and digest of each, its distinct id pairs with how often each links, and how many documents hold each pair."""
     found = found.sort_by("code")
-    counts, codes = (coded.column(c).combine_chunks().flatten().to_numpy() for c in ("counts", "codes"))
-    good = found.column("groups").is_valid().to_numpy().astype(bool)
-    value = {c: pc.fill_null(found.column(c), 0).to_numpy().astype(np.int64) for c in ("n_a", "n_b", "n_groups")}
-    texts = found.column("groups").to_pylist()
-    lists = [found.column(c).combine_chunks() for c in ("link_a", "link_b")]
-    n_links = pc.fill_null(pc.list_value_length(lists[0]), 0).to_numpy().astype(np.int64)
-    first = np.cumsum(n_links) - n_links
-    ids, pair_of = np.unique(lists[0].flatten().to_numpy().astype(np.int64) << 32 | lists[1].flatten().to_numpy().astype(np.int64), return_inverse=True)
+    counts = coded.column("counts").combine_chunks().flatten().to_numpy().astype(np.int64)
+    codes = _unpack(coded.column("codes")[0].as_py(), int(counts.sum()))
+    lists = found.column("points").combine_chunks()
+    good = lists.is_valid().to_numpy(zero_copy_only=False).astype(bool)
+    n_links = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    flat = lists.flatten().to_numpy()
+    a, b, sides = flat >> 33, flat >> 2 & (1 << 31) - 1, flat & 3
+    firsts = np.concatenate([[0], np.cumsum(n_links)])
+    texts = _group_texts(a.tolist(), b.tolist(), sides.tolist(), firsts.tolist())
+    within = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[firsts])
+    value = {"n_a": within(sides != 2), "n_b": within(sides != 1), "n_groups": within(sides == 3), "n_links": n_links}
+    ids, pair_of = np.unique(a << 32 | b, return_inverse=True)
+    pair_of = pair_of.astype(np.int32)
 
     ends = np.cumsum(counts)
     lost = np.concatenate([[0], np.cumsum(~good[codes])])
     whole = lost[ends] == lost[ends - counts]  # all words have tokens
     sums = {}
-    for name, v in (*value.items(), ("n_links", n_links)):
+    for name, v in value.items():
         total = np.concatenate([[0], np.cumsum(v[codes])])
         sums[name] = np.where(whole, total[ends] - total[ends - counts], 0)
     digests, per_doc, pairs, times = [], [], [], []
@@ -242,14 +274,14 @@ def _compose(coded: pa.Table, found: pa.Table) -> pa.Table:
         digests.append(hashlib.sha256(";".join(map(texts.__getitem__, own.tolist())).encode()).hexdigest())
         n = n_links[own]
         stop = np.cumsum(n)
-        place = np.arange(stop[-1]) + np.repeat(first[own] - (stop - n), n)
+        place = np.arange(stop[-1]) + np.repeat(firsts[own] - (stop - n), n)
         seen, often = np.unique(pair_of[place], return_counts=True)
         pair_docs[seen] += 1
         per_doc.append(len(seen))
         pairs.append(seen)
         times.append(often)
-    flat = [np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32) for x in (pairs, times)]
-    arrays = [coded.column("batch").combine_chunks(), coded.column("ids").combine_chunks(), *[_one(sums[c], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")], _one(digests, pa.string()), _one(np.array(per_doc, np.int32), pa.int32()), *[_one(x, pa.int32()) for x in flat], _one((ids >> 32).astype(np.int32), pa.int32()), _one((ids & 0xFFFFFFFF).astype(np.int32), pa.int32()), _one(pair_docs, pa.int64())]
+    packed = [pa.array([_pack(np.concatenate(x) if x else np.zeros(0, np.int32))], pa.binary()) for x in (pairs, times)]
+    arrays = [coded.column("batch").combine_chunks(), coded.column("ids").combine_chunks(), *[_one(sums[c], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")], _one(digests, pa.string()), _one(np.array(per_doc, np.int32), pa.int32()), *packed, _one((ids >> 32).astype(np.int32), pa.int32()), _one((ids & 0xFFFFFFFF).astype(np.int32), pa.int32()), _one(pair_docs, pa.int64())]
     return pa.Table.from_arrays(arrays, ["batch", "ids", *[c.split()[0] for c in _PARTS.split(", ")]])
 
 
@@ -262,7 +294,7 @@ def summaries(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
     their own; a null id is carried; an empty table gives no rows.
     """
     coded = stage(_coded(docs, id_col, text_col))
-    results = stage(_word_results(coded, a_path, b_path))
+    results = _word_results(coded, a_path, b_path)
     asked = coded.select(F.col("batch").alias("of"), F.posexplode("words").alias("code", "word")).join(results, "word").drop("word")
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), *T.StructType.fromDDL(_PARTS).fields])
@@ -279,9 +311,10 @@ def summaries(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
     def finish(part: pa.Table, told: pa.Table) -> pa.Table:
         told = told.sort_by("code")
         count, best = told.column("count").to_numpy(), told.column("best").to_numpy().astype(np.int64)
-        flat = {c: part.column(c).combine_chunks().flatten() for c in ("ids", "n_a", "n_b", "n_groups", "n_links", "digests", "per_doc", "pairs", "times")}
-        pairs, times, per_doc = (flat[c].to_numpy() for c in ("pairs", "times", "per_doc"))
-        ends = np.cumsum(per_doc)
+        flat = {c: part.column(c).combine_chunks().flatten() for c in ("ids", "n_a", "n_b", "n_groups", "n_links", "digests", "per_doc")}
+        per_doc = flat["per_doc"].to_numpy()
+        ends = np.cumsum(per_doc, dtype=np.int64)
+        pairs, times = (_unpack(part.column(c)[0].as_py(), int(ends[-1]) if len(ends) else 0) for c in ("pairs", "times"))
         sums = []
         for value in (best, count):
             total = np.concatenate([[0], np.cumsum(value[pairs] * times)])
