@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import extractors
+from .arrays import let
 
 
 def xml_field(c: Column, name: str) -> Column:
@@ -53,6 +54,48 @@ def close_truncated_json(c: Column) -> Column:
     return F.when(F.try_parse_json(out).isNotNull(), out)
 
 
+def _walk(c: Column, inline: bool) -> Column:
+    """struct(text, changed, suffix) of one pass over the lexed pieces of JSON: the text with inline quotes escaped (if `inline`), whether any was, and what closes what is open at the end.
+
+    A quote opens a string; within one it closes it, or, with `inline`, only before
+    `,`, `}`, `]`, `:` or the end. Pieces are escapes, a quote with the blanks after it,
+    single brackets, and stretches of all else.
+    """
+    pieces = F.regexp_extract_all(c, F.lit(r'(?s)\\.|"[ \t\r\n]*|[\[\]{}]|[^"\\\[\]{}]+|\\$'), 0)
+    begin = F.struct(F.lit("").alias("text"), F.lit(False).alias("inside"), F.lit(False).alias("changed"), F.lit("").alias("open"))
+
+    def step(s: Column, p: Column) -> Column:
+        quote, closer = F.startswith(p["piece"], F.lit('"')), F.translate(p["piece"], "{[", "}]")
+        ends = quote & s["inside"] & (p["next"].rlike(r"^[,}\]:]") | p["next"].isNull() if inline else F.lit(True))
+        escaped = quote & s["inside"] & ~ends
+        opens = ~s["inside"] & p["piece"].isin("{", "[")
+        closes = ~s["inside"] & p["piece"].isin("}", "]") & (F.substring(s["open"], 1, 1) == p["piece"])
+        return F.struct(
+            F.concat(s["text"], F.when(escaped, F.lit("\\")).otherwise(F.lit("")), p["piece"]).alias("text"), F.when(quote, ~s["inside"] | escaped).otherwise(s["inside"]).alias("inside"), (s["changed"] | escaped).alias("changed"),
+            F.when(opens, F.concat(closer, s["open"])).when(closes, F.substring(s["open"], F.lit(2), F.length(s["open"]))).otherwise(s["open"]).alias("open"),
+        )
+
+    ahead = let(pieces, lambda a: F.transform(a, lambda x, i: F.struct(x.alias("piece"), F.get(a, i + 1).alias("next"))))
+    return F.aggregate(ahead, begin, step, lambda s: F.struct(s["text"], s["changed"], F.concat(F.when(s["inside"], F.lit('"')).otherwise(F.lit("")), s["open"]).alias("suffix")))
+
+
+def extract_json(c: Column) -> Column:
+    """The JSON object in a model's answer, as text; null where none can be read.
+
+    In this order: what a code fence holds, the whole answer, from its first `{` to its
+    last `}`, the same with quotes inside strings escaped, and from the first `{` on
+    with all that is open closed.
+    """
+    good = lambda x: F.when(F.startswith(x, F.lit("{")) & F.try_parse_json(x).isNotNull(), x)
+    blank = r"^[ \t\r\n]+|[ \t\r\n]+$"
+    fence = F.regexp_replace(F.regexp_extract(c, r"(?s)```(?:json)?\s*\n?(.*?)\n?```", 1), blank, "")
+    whole = F.regexp_replace(c, blank, "")
+    inner, tail = F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit("")), F.nullif(F.regexp_extract(c, r"(?s)\{.*", 0), F.lit(""))
+    mended = let(_walk(inner, True), lambda s: F.when(s["changed"], good(s["text"])))
+    closed = let(_walk(F.regexp_replace(tail, r"[ \t\r\n]+$", ""), False), lambda s: F.when(s["suffix"] != "", good(F.concat(s["text"], s["suffix"]))))
+    return F.coalesce(good(fence), good(whole), good(inner), mended, closed)
+
+
 _SUFFIXES = "|".join(sorted({f.lower().replace(".", r"\.?") for f in (*extractors.FORMS, *extractors.MARKED_FORMS)}, key=len, reverse=True))
 
 

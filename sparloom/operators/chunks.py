@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from sparloom.functions.arrays import let, starts
+from sparloom.operators.sentences import Model, boundaries
 
 
 def hard_split(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -47,22 +48,21 @@ def tagged_text(docs: DataFrame, key: str = "doc_id", text: str = "text", uri: s
     return joined.select(key, F.concat(F.array_join(pieces, ""), rest).alias("tagged"), spans_of.alias("tags"))
 
 
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _PARAGRAPH = re.compile(r"\n\n+")
 
 
-def segments(text: str) -> list[int]:
+def segments(text: str, model: Model = Model()) -> list[int]:
     """Where sentences end; where the text has no two sentences, where paragraphs do."""
-    ends = [m.end() for m in _SENTENCE.finditer(text)] or [m.end() for m in _PARAGRAPH.finditer(text)]
+    ends = boundaries(text, model) or [m.end() for m in _PARAGRAPH.finditer(text)]
     return ends if ends and ends[-1] == len(text) else [*ends, len(text)]
 
 
-def pack_text(text: str, most: int, least: int) -> list[tuple[int, int]]:
+def pack_text(text: str, most: int, least: int, model: Model = Model()) -> list[tuple[int, int]]:
     """Segments packed greedily into chunks of at most `most` characters; a longer segment is cut; a tail under `least` joins its predecessor."""
     if len(text) <= most:
         return [(0, len(text))] if text else []
     out, start, last = [], 0, 0
-    for e in segments(text):
+    for e in segments(text, model):
         if e - start > most and last > start:
             out.append((start, last))
             start = last
@@ -78,15 +78,15 @@ def pack_text(text: str, most: int, least: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack_sentences(docs: DataFrame, most: int = 2000, least: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, start, end, chunk) by pack_text(); null and empty texts have no chunks."""
+def pack_sentences(docs: DataFrame, most: int = 2000, least: int = 200, key: str = "doc_id", text: str = "text", model: Model = Model()) -> DataFrame:
+    """(key, pos, start, end, chunk) by pack_text() with sentences of the model; null and empty texts have no chunks."""
     kind = docs.schema[key].dataType
 
     def run(batches):
         for batch in batches:
             for row in range(0, batch.num_rows, 256):
                 part = batch.slice(row, 256)
-                cuts = [pack_text(t or "", most, least) for t in part.column(1).to_pylist()]
+                cuts = [pack_text(t or "", most, least, model) for t in part.column(1).to_pylist()]
                 of = pa.array([i for i, c in enumerate(cuts) for _ in c], pa.int32())
                 texts = part.column(1).take(of).to_pylist()
                 flat = [(n, a, b) for c in cuts for n, (a, b) in enumerate(c)]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparloom.functions import codecs, extractors, grounding, metrics
-from sparloom.operators import cells, chunks, rubric, runs, trials, vectors, votes
+from sparloom.operators import cells, chunks, rubric, runs, sentences, trials, vectors, votes
 from sparloom.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -645,7 +645,8 @@ def paragraph_offsets(spark, d):
 
 @query()
 def chunk_pack(spark, d):
-    return chunks.pack_sentences(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
+    return chunks.pack_sentences(docs, model=sentences.model_of(sentences.train(docs)))
 
 
 @query("""with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda z: z <> '') as w from documents), s as (select doc_id, len(w) as n, w from w), a as (select count(*) as total, avg(n) as mean from s),
