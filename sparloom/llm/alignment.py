@@ -189,7 +189,8 @@ def _coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 counts.append(len(found))
             one = [pa.array([at], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), column(batch, id_col))]
             one += [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.array(counts, pa.int32()), pa.array(list(known), pa.string()))]
-            one.insert(3, pa.array([_pack(np.array(codes, np.int32))], pa.binary()))
+            one.insert(3, pa.array([_pack(np.frombuffer(codes, np.int32))], pa.binary()))
+            del known, codes
             yield pa.RecordBatch.from_arrays(one, ["batch", "ids", "counts", "codes", "words"])
             at += 1
 
@@ -250,7 +251,11 @@ def _compose(coded: pa.Table, found: pa.Table) -> pa.Table:
     flat = lists.flatten().to_numpy()
     a, b, sides = flat >> 33, flat >> 2 & (1 << 31) - 1, flat & 3
     firsts = np.concatenate([[0], np.cumsum(n_links)])
-    texts = _group_texts(a.tolist(), b.tolist(), sides.tolist(), firsts.tolist())
+    texts: list[str] = []
+    for lo in range(0, len(n_links), 20_000):  # some words at a time: lists of numbers take far more memory than arrays
+        own = firsts[lo : lo + 20_001]
+        some = slice(own[0], own[-1])
+        texts += _group_texts(a[some].tolist(), b[some].tolist(), sides[some].tolist(), (own - own[0]).tolist())
     within = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[firsts])
     value = {"n_a": within(sides != 2), "n_b": within(sides != 1), "n_groups": within(sides == 3), "n_links": n_links}
     ids, pair_of = np.unique(a << 32 | b, return_inverse=True)
