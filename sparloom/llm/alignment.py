@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from ._common import as_text, column, discard, slices, stage
 
 #: Bytes of text whose words are coded together; one longer document makes a batch of its own.
-BATCH_BYTES = 48 << 20
+BATCH_BYTES = 24 << 20
 #: Before a space that ends neither the text nor anything but a visible ASCII character, letter or digit. The text has a space before it.
 _CUT = re.compile(r"(?<=[!-~\w])(?= (?s:.))")
 _HARD = re.compile(r"[^!-~\w] |^ | \Z")
@@ -173,7 +173,7 @@ def _pack(values: np.ndarray) -> bytes:
 
 def _unpack(data: bytes, n: int) -> np.ndarray:
     planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def _coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -242,32 +242,38 @@ def _group_texts(a: list[int], b: list[int], sides: list[int], first: list[int])
 
 def _compose(coded: pa.Table, found: pa.Table) -> pa.Table:
     """What a batch's documents are made of: sums and digest of each, its distinct id pairs with how often each links, and how many documents hold each pair."""
-    found = found.sort_by("code")
     counts = coded.column("counts").combine_chunks().flatten().to_numpy().astype(np.int64)
     codes = _unpack(coded.column("codes")[0].as_py(), int(counts.sum()))
-    lists = found.column("points").combine_chunks()
+    lists = found.column("points").take(pc.sort_indices(found.column("code"))).combine_chunks()
     good = lists.is_valid().to_numpy(zero_copy_only=False).astype(bool)
-    n_links = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    n_links = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
     flat = lists.flatten().to_numpy()
-    a, b, sides = flat >> 33, flat >> 2 & (1 << 31) - 1, flat & 3
-    firsts = np.concatenate([[0], np.cumsum(n_links)])
+    del lists, found
+    firsts = np.concatenate([[0], np.cumsum(n_links, dtype=np.int64)])
     texts: list[str] = []
     for lo in range(0, len(n_links), 20_000):  # some words at a time: lists of numbers take far more memory than arrays
         own = firsts[lo : lo + 20_001]
-        some = slice(own[0], own[-1])
-        texts += _group_texts(a[some].tolist(), b[some].tolist(), sides[some].tolist(), (own - own[0]).tolist())
-    within = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[firsts])
+        some = flat[own[0] : own[-1]]
+        texts += _group_texts((some >> 33).tolist(), (some >> 2 & (1 << 31) - 1).tolist(), (some & 3).tolist(), (own - own[0]).tolist())
+    sides = (flat & 3).astype(np.int8)
+    within = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])[firsts]).astype(np.int32)
     value = {"n_a": within(sides != 2), "n_b": within(sides != 1), "n_groups": within(sides == 3), "n_links": n_links}
-    ids, pair_of = np.unique(a << 32 | b, return_inverse=True)
-    pair_of = pair_of.astype(np.int32)
+    coded_pairs = pa.array(flat >> 2).dictionary_encode()
+    keys, pair_of = coded_pairs.dictionary.to_numpy(), coded_pairs.indices.to_numpy()
+    ids = keys >> 31 << 32 | keys & (1 << 31) - 1
+    del flat, sides, coded_pairs
 
     ends = np.cumsum(counts)
-    lost = np.concatenate([[0], np.cumsum(~good[codes])])
-    whole = lost[ends] == lost[ends - counts]  # all words have tokens
+    filled = np.flatnonzero(counts)
+    starts = (ends - counts)[filled]
+    per = lambda v: np.add.reduceat(v[codes], starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+    whole = np.ones(len(counts), bool)  # all words have tokens
+    whole[filled] = per((~good).astype(np.int8)) == 0
     sums = {}
     for name, v in value.items():
-        total = np.concatenate([[0], np.cumsum(v[codes])])
-        sums[name] = np.where(whole, total[ends] - total[ends - counts], 0)
+        sums[name] = np.zeros(len(counts), np.int64)
+        sums[name][filled] = per(v)
+        sums[name][~whole] = 0
     digests, per_doc, pairs, times = [], [], [], []
     pair_docs = np.zeros(len(ids), np.int64)
     for lo, hi, fine in zip((ends - counts).tolist(), ends.tolist(), whole.tolist()):
