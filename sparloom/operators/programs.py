@@ -8,21 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sparloom.functions.arrays import let
+
 
 def best_of_n(rows: DataFrame, key: str, n: int, produce: Callable[[Column], Column], score: Callable[[Column], Column]) -> DataFrame:
-    """(key, index, output, score, failed): of n outputs the one of the best score, the earliest on ties; a failed score (null) loses to any other. produce(index) may read all columns of rows."""
-    index = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    tried = rows.withColumn("_i", index).withColumn("_out", produce(F.col("_i"))).withColumn("_score", score(F.col("_out")).cast("double"))
-    rank = F.struct(F.coalesce("_score", F.lit(float("-inf"))), -F.col("_i"))
-    best = tried.groupBy(key).agg(F.max_by(F.struct(F.col("_i").alias("index"), F.col("_out").alias("output"), F.col("_score").alias("score")), rank).alias("b"), F.count_if(F.col("_score").isNull()).alias("failed"))
-    return best.select(key, "b.index", "b.output", "b.score", "failed")
+    """(key, index, output, score, failed): of n outputs the one of the best score, the earliest on ties; a failed score (null) loses to any other. produce(index) may read all columns of rows, of which each is a task of its own; nothing is shuffled."""
+    tried = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: let(produce(i), lambda out: F.struct(i.alias("index"), out.alias("output"), score(out).cast("double").alias("score"))))
+    ahead = lambda s: F.coalesce(s["score"], F.lit(float("-inf")))
+    best = lambda a: F.aggregate(F.slice(a, 2, n), a[0], lambda x, y: F.when(ahead(y) > ahead(x), y).otherwise(x))
+    made = rows.select(key, let(tried, lambda a: F.struct(best(a).alias("b"), F.size(F.filter(a, lambda s: s["score"].isNull())).cast("long").alias("failed"))).alias("_t"))
+    return made.select(key, "_t.b.index", "_t.b.output", "_t.b.score", "_t.failed")
 
 
 def compare_chains(rows: DataFrame, key: str, n: int, produce: Callable[[Column], Column], decide: Callable[[Column], Column]) -> DataFrame:
     """(key, output): decide(array of the n outputs in order)."""
-    tried = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_out", produce(F.col("_i")))
-    listed = tried.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_out"))), lambda s: s["_out"]).alias("_outs"))
-    return listed.select(key, decide(F.col("_outs")).alias("output"))
+    return rows.select(key, let(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), produce), decide).alias("output"))
 
 
 def refine(start: Column, improve: Callable[[Column, Column], Column], score: Callable[[Column], Column], least: float, most: int) -> Column:
@@ -50,7 +50,7 @@ def descend(scores: DataFrame, labels: DataFrame, depth: int, least: float = 0.0
 
     scores: (doc, label, score), what a classifier says of each label; labels that it says nothing of aren't chosen. Ties go to the smaller label.
     """
-    placed = scores.join(F.broadcast(labels), F.col("label") == F.col("name")).select("doc", "label", "score", "parent")  # a label set is small
+    placed = scores.join(labels, F.col("label") == F.col("name")).select("doc", "label", "score", "parent")
     at = None
     for level in range(depth):
         if at is None:

@@ -75,5 +75,7 @@ def cascade(models: list[tuple[str, Column, Column]]) -> tuple[Column, Column]:
     return name, answer
 
 
-def size_route(text: Column, limit: int = 12_000) -> Column:
-    return F.when(F.length(text) <= limit, "single").otherwise("chunked")
+def size_route(text: Column, limit: int = 12_000, long: str = "chunked", requested: Column | None = None) -> Column:
+    """`single` for texts of up to `limit` characters, else `long` (a summariser's is `tree`, a classifier's `chunk`); what is asked for by name, other than `auto`, is taken as it is."""
+    auto = F.when(F.length(text) <= limit, "single").otherwise(long)
+    return auto if requested is None else F.when(requested != "auto", requested).otherwise(auto)

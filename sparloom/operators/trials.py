@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sparloom.functions.lcs import unified_diff
+
 
 def strategy_contributions(log: DataFrame) -> DataFrame:
     gain = F.col("after") - F.col("before")
@@ -25,6 +27,8 @@ def dominant_error(log: DataFrame, chars: int = 120) -> DataFrame:
     return counts.withColumn("_r", F.row_number().over(W.partitionBy("run").orderBy(F.desc("n"), "error"))).where("_r = 1").drop("_r")
 
 
+#: Configurations that are evaluated in one job at most.
+CONFIGS = 10_000
 #: Trials of a run that are walked through together; a longer run's running values are joined from such stretches.
 STRETCH = 10_000
 
@@ -89,9 +93,17 @@ def stop_reasons(log: DataFrame, trials: int | None = None, cost: float | None =
 
 
 def mutation_chain(log: DataFrame) -> DataFrame:
-    """(run, trial, card, parent): the trial's place in its run and the trial before it, -1 for the first."""
-    w = W.partitionBy("run").orderBy("trial")
-    return log.select("run", "trial", (F.row_number().over(w) - 1).alias("card"), F.coalesce(F.lag("trial").over(w), F.lit(-1)).alias("parent"))
+    """(run, trial, card, parent): the trial's place in its run and the trial before it, -1 for the first. In stretches, as all running values."""
+    counted = _running(log.select("run", "trial"), F.lit(1), "count", "card", False)
+    return _running(counted, F.col("trial"), "max", "_last", False).select("run", "trial", "card", F.coalesce("_last", F.lit(-1)).alias("parent"))
+
+
+def trial_cards(log: DataFrame, settings: str) -> DataFrame:
+    """(run, trial, card, parent, gain, improves, diff): each trial's card with the diff of its settings (JSON text) to those of the trial before it in the run."""
+    chain = mutation_chain(log).join(best_so_far(log).select("run", "trial", "improves"), ["run", "trial"])
+    old = log.select("run", F.col("trial").alias("parent"), F.col(settings).alias("_old"))
+    joined = log.join(chain, ["run", "trial"]).join(old, ["run", "parent"], "left")
+    return joined.select("run", "trial", "card", "parent", F.round(F.col("after") - F.col("before"), 4).alias("gain"), "improves", unified_diff(F.col("_old"), F.col(settings)).alias("diff"))
 
 
 def pareto_frontier(rows: DataFrame, metric: str, cost: str) -> DataFrame:
@@ -123,14 +135,33 @@ def promote_best_mean(log: DataFrame, done: DataFrame) -> DataFrame:
     return rest.withColumn("_r", F.row_number().over(W.partitionBy("run").orderBy(F.desc("mean"), "strategy"))).where("_r = 1").drop("_r")
 
 
+def best_share(log: DataFrame, gamma: float) -> DataFrame:
+    """log with `good`: whether the trial is among the best gamma of its run (rounded up, all but one at most) by `after`, the earlier trial on ties.
+
+    The value at which the share ends is found from counts of distinct values, by 1,024 ranges
+    of a run first; only trials of that very value are numbered, in stretches.
+    """
+    run = log.groupBy("run").agg(F.count("*").alias("_n"), F.min("after").alias("_lo"), F.max("after").alias("_hi"))
+    run = run.withColumn("_want", F.least(F.ceil(F.col("_n") * gamma), F.col("_n") - 1))
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("after") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 1024), F.lit(1023))).otherwise(0).cast("int")
+    values = log.groupBy("run", "after").agg(F.count("*").alias("_c")).join(run, "run").withColumn("_part", part)
+    above = lambda rows, keys, order: rows.withColumn("_above", F.coalesce(F.sum("_c").over(W.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    parts = above(values.groupBy("run", "_part", "_want").agg(F.sum("_c").alias("_c")), ["run"], "_part")
+    edge = parts.where((F.col("_above") < F.col("_want")) & (F.col("_above") + F.col("_c") >= F.col("_want"))).select("run", "_part", F.col("_above").alias("_higher"))
+    within = above(values.join(edge, ["run", "_part"]), ["run"], "after").withColumn("_above", F.col("_above") + F.col("_higher"))
+    last = within.where((F.col("_above") < F.col("_want")) & (F.col("_above") + F.col("_c") >= F.col("_want"))).select("run", F.col("after").alias("_edge"), (F.col("_want") - F.col("_above")).alias("_rest"))
+    told = log.join(last, "run", "left")
+    numbered = _running(told, F.when(F.col("after") == F.col("_edge"), F.lit(1)), "count", "_k", True)
+    good = (F.col("after") > F.col("_edge")) | ((F.col("after") == F.col("_edge")) & (F.col("_k") <= F.col("_rest")))
+    return numbered.withColumn("good", F.coalesce(good, F.lit(False))).drop("_edge", "_rest", "_k")
+
+
 def tpe_density(log: DataFrame, gamma: float = 0.25, prior: float = 1.0) -> DataFrame:
     """(strategy, good, bad): Laplace-smoothed shares of each strategy among the best gamma of the trials and the rest, by run."""
-    n = F.count("*").over(W.partitionBy("run"))
-    rank = F.row_number().over(W.partitionBy("run").orderBy(F.desc("after"), "trial"))
-    split = log.withColumn("_good", rank <= F.least(F.ceil(n * gamma), n - 1))
+    split = best_share(log, gamma)
     kinds = log.select("strategy").distinct().count()
-    sizes = split.groupBy("run").agg(F.count_if("_good").alias("_g"), F.count_if(~F.col("_good")).alias("_b"))
-    counts = split.groupBy("run", "strategy").agg(F.count_if("_good").alias("_cg"), F.count_if(~F.col("_good")).alias("_cb"))
+    sizes = split.groupBy("run").agg(F.count_if("good").alias("_g"), F.count_if(~F.col("good")).alias("_b"))
+    counts = split.groupBy("run", "strategy").agg(F.count_if("good").alias("_cg"), F.count_if(~F.col("good")).alias("_cb"))
     share = lambda c, n: F.round((F.col(c) + prior) / (F.col(n) + kinds * prior), 6)
     return counts.join(sizes, "run").select("run", "strategy", share("_cg", "_g").alias("good"), share("_cb", "_b").alias("bad"))
 
@@ -182,7 +213,9 @@ def trial_count(variables: int, candidates: int) -> int:
 
 
 def evaluate_configs(examples: DataFrame, configs: DataFrame, score: Column) -> DataFrame:
-    """(config, n, mean): every configuration over every example in one job; configs (config, ...) are few and broadcast, score may read columns of both."""
+    """(config, n, mean): every configuration over every example in one job; configs (config, ...), whose number is checked, are broadcast; score may read columns of both."""
+    if configs.limit(CONFIGS + 1).count() > CONFIGS:
+        raise ValueError(f"over {CONFIGS} configurations; evaluate them in parts")
     return examples.join(F.broadcast(configs), how="cross").groupBy("config").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(score, F.lit(0.0))), 6).alias("mean"))
 
 

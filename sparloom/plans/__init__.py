@@ -1,3 +1,3 @@
 """Named queries over the test tables, each with its SQL."""
 
-from sparloom.plans import custom, more, programs, queries, search, texts  # noqa: F401
+from sparloom.plans import custom, flows, more, programs, queries, search, texts  # noqa: F401

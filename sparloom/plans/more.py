@@ -15,32 +15,36 @@ from sparloom.streaming import runs as streams
 
 
 def _lines(spark, d):
-    """Every third line is structured, the others flat, with an empty line after each."""
+    """A file for each type of event; every third line is structured, the others flat, with an empty line after each."""
     e = table(spark, d, "events").select("event_id", "event_type", "value")
     flat = F.to_json(F.struct("event_type", "value"))
     text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"inputs": '), flat, F.lit(', "custom_id": "e'), F.col("event_id").cast("string"), F.lit('", "metadata": {"source_line": "own"}}'))).otherwise(flat)
     path = shared_folder(spark, "lines")
-    e.orderBy("event_id").coalesce(1).select(F.concat(text, F.lit("\n")).alias("value")).write.text(path)
+    lines = e.select("event_type", "event_id", F.concat(text, F.lit("\n")).alias("value")).repartition("event_type").sortWithinPartitions("event_type", "event_id")
+    lines.select("event_type", "value").write.partitionBy("event_type").text(path)
     return readers.text_lines(spark, path)
 
 
-@query("select event_type, value, case when event_id % 3 = 0 then 'e' || event_id end as custom_id, case when event_id % 3 = 0 then 'own' else (2 * row_number() over (order by event_id) - 1)::varchar end as source_line from events")
+@query("select event_type, value, case when event_id % 3 = 0 then 'e' || event_id end as custom_id, case when event_id % 3 = 0 then 'own' else (2 * row_number() over (partition by event_type order by event_id) - 1)::varchar end as source_line from events")
 def jsonl_source(spark, d):
     items = readers.jsonl_items(_lines(spark, d), "event_type string, value double")
     return items.select("inputs.event_type", "inputs.value", "custom_id", F.col("metadata")["source_line"].alias("source_line"))
 
 
-@query("select * from (values ('a', 1, 'given', 'x'), ('b', 2, substr(sha256('n=2' || chr(31) || 't=b' || chr(31) || 'p'), 1, 16), null)) v(t, n, custom_id, tag)")
+@query("select n_name as t, n_nationkey::int as n, case when n_nationkey % 2 = 0 then 'given-' || n_nationkey else substr(sha256('n=' || n_nationkey || chr(31) || 't=' || n_name || chr(31) || 'p'), 1, 16) end as custom_id, case when n_nationkey % 2 = 0 then r_name end as tag from nation join region on r_regionkey = n_regionkey")
 def list_source(spark, d):
-    rows = readers.open_source(spark, {"type": "list", "rows": [{"t": "a", "n": 1, "__custom_id__": "given", "__metadata__": {"tag": "x"}}, {"t": "b", "n": 2}], "schema": "t string, n int", "program_hash": "p"})
+    """Nations as a driver's list of rows, every other with an id and metadata of its own."""
+    known = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name").collect()
+    items = [{"t": r.n_name, "n": r.n_nationkey} | ({"__custom_id__": f"given-{r.n_nationkey}", "__metadata__": {"tag": r.r_name}} if r.n_nationkey % 2 == 0 else {}) for r in known]
+    rows = readers.open_source(spark, {"type": "list", "rows": items, "schema": "t string, n int", "program_hash": "p"})
     return rows.select("t", "n", "custom_id", F.col("metadata")["tag"].alias("tag"))
 
 
-@query("select 'q' || event_id as id, event_id % 2 = 0 as answerable, event_type as question, (event_id % 7)::int as span_start from events where event_id < 500")
+@query("select 'q' || event_id as id, event_id % 2 = 0 as answerable, event_type as question, (event_id % 7)::int as span_start from events")
 def questions_source(spark, d):
     path = shared_folder(spark, "questions")
     i = F.col("event_id")
-    table(spark, d, "events").where("event_id < 500").select(F.concat(F.lit("q"), i.cast("string")).alias("id"), (i % 2 == 0).alias("answerable"), F.col("event_type").alias("question"), F.array((i % 7).cast("int"), (i % 7 + 5).cast("int")).alias("diagnostic_char_span")).write.json(path)
+    table(spark, d, "events").select(F.concat(F.lit("q"), i.cast("string")).alias("id"), (i % 2 == 0).alias("answerable"), F.col("event_type").alias("question"), F.array((i % 7).cast("int"), (i % 7 + 5).cast("int")).alias("diagnostic_char_span")).write.json(path)
     return readers.questions_source(spark, path).select("id", "answerable", "question", F.get("diagnostic_char_span", F.lit(0)).alias("span_start"))
 
 
@@ -89,9 +93,9 @@ def output_fields(spark, d):
     return table(spark, d, "events").select("event_id", cells.declared_fields(text, {"kind": "string", "k": "long"}, ["kind", "k"]).alias("v")).select("event_id", "v.*")
 
 
-@query("select user_id, coalesce(string_agg(distinct event_type, ',' order by event_type) filter (where event_type in ('click', 'view')), '') as labels from events where value > 98 group by user_id")
+@query("select user_id, coalesce(string_agg(distinct event_type, ',' order by event_type) filter (where event_type in ('click', 'view')), '') as labels from events group by user_id")
 def label_picks(spark, d):
-    picks = table(spark, d, "events").where("value > 98").groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("p"))
+    picks = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("p"))
     return picks.select("user_id", F.array_join(votes.demand_known(votes.known_picks(F.col("p"), ["view", "click"]), ["view", "click"]), ",").alias("labels"))
 
 
@@ -149,23 +153,30 @@ def _articles(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(texts.alias("text"))
 
 
-_ARTICLES = "with a as (select *, length(trim(text)) >= 20 as long from conversations where not contains(text, chr(10) || chr(10))), ok as (select conv_id from conversations group by conv_id having bool_and(not contains(text, chr(10) || chr(10)))), n as (select *, sum(long::int) over (partition by conv_id order by turn) - 1 as p from a join ok using (conv_id)) "
+_ARTICLES = """with t as (select conv_id, string_agg(text, chr(10) || chr(10) order by turn) as text from conversations group by conv_id),
+x as (select conv_id, text, regexp_split_to_array(text, '\n{2,}') as parts, regexp_extract_all(text, '\n{2,}') as gaps from t), i as (select *, unnest(range(1, len(parts) + 1)) as k from x),
+s as (select conv_id, text, k, parts[k] as part, coalesce(gaps[k], '') as gap, length(regexp_replace(parts[k], '^\s+|\s+$', '', 'g')) >= 20 as long, coalesce(list_sum(list_transform(parts[1:k - 1], lambda z: length(z))), 0)::int + coalesce(list_sum(list_transform(gaps[1:k - 1], lambda z: length(z))), 0)::int as start from i),
+n as (select *, sum(long::int) over (partition by conv_id order by k) - 1 as p from s) """
 
 
-@query(_ARTICLES + "select conv_id, string_agg(case when long then '[SRC:doc:' || conv_id || '#p' || p || '] ' else '' end || text, chr(10) || chr(10) order by turn) as tagged from n group by conv_id")
+@query(_ARTICLES + "select conv_id, string_agg(case when long then '[SRC:doc:' || conv_id || '#p' || p || '] ' else '' end || part || gap, '' order by k) as tagged from n group by conv_id")
 def tag_paragraphs(spark, d):
-    plain = table(spark, d, "conversations").groupBy("conv_id").agg(F.bool_and(~F.contains("text", F.lit("\n\n"))).alias("ok")).where("ok")
-    return chunks.tagged_text(_articles(spark, d).join(plain, "conv_id", "left_semi"), "conv_id").select("conv_id", "tagged")
+    return chunks.tagged_text(_articles(spark, d), "conv_id").select("conv_id", "tagged")
 
 
-@query("""with t as (select conv_id, string_agg(text, chr(10) || chr(10) order by turn) as text from conversations group by conv_id) select conv_id, case when conv_id % 4 = 0 then 'source_missing' when conv_id % 4 = 3 then 'quote_mismatch' when length(text) >= 15 and position(chr(10) || chr(10) in text) - 1 >= 20 then 'strict' else 'other' end as verdict from t where position(chr(10) || chr(10) in text) - 1 >= 20""")
+@query(_ARTICLES + """, q as (select conv_id, any_value(text) as text, max(part) filter (where long and p = 0) as first from n group by conv_id)
+select conv_id, case when conv_id % 4 = 0 then 'source_missing' when conv_id % 4 = 1 and first is null then 'source_missing' when conv_id % 4 = 3 then 'quote_mismatch' when conv_id % 4 = 1 then 'strict' when length(text) >= 15 then 'strict' else 'out_of_range' end as verdict from q""")
 def cited_output(spark, d):
-    docs = _articles(spark, d).where(F.locate("\n\n", "text") - 1 >= 20)
+    """Quotes of all conversations: of a paragraph that isn't there, of the first, of the text, and made-up ones."""
+    docs = _articles(spark, d)
     name = lambda c: F.concat(F.lit("doc:"), c.cast("string"))
-    tags = chunks.paragraphs(docs, "conv_id").select(F.concat(name(F.col("conv_id")), F.lit("#p"), F.col("pos").cast("string")).alias("uri"), name(F.col("conv_id")).alias("source_uri"), "start", "end")
+    found = chunks.paragraphs(docs, "conv_id")
+    tags = found.select(F.concat(name(F.col("conv_id")), F.lit("#p"), F.col("pos").cast("string")).alias("uri"), name(F.col("conv_id")).alias("source_uri"), "start", "end")
+    first = found.where("pos = 0").select("conv_id", F.substring("chunk", 4, 12).alias("of_first"))
     i = F.col("conv_id")
     uri = F.concat(name(i), F.when(i % 4 == 0, "#p99").when(i % 4 == 1, "#p0").otherwise(""))
-    spans = docs.select(i, uri.alias("source_uri"), F.lit(3).alias("start"), F.lit(15).alias("end"), F.when(i % 4 == 3, "no such words").otherwise(F.substring("text", 4, 12)).alias("quote"))
+    quote = F.when(i % 4 == 3, "no such words").when(i % 4 == 1, F.coalesce("of_first", F.lit("none"))).otherwise(F.substring("text", 4, 12))
+    spans = docs.join(first, "conv_id", "left").select(i, uri.alias("source_uri"), F.lit(3).alias("start"), F.lit(15).alias("end"), quote.alias("quote"))
     return grounding.verify_cited(spans, tags, docs.select(name(i).alias("source_uri"), "text"), strategies=("strict",)).select("conv_id", "verdict")
 
 
@@ -288,25 +299,39 @@ def fallback_cost(spark, d):
     return table(spark, d, "events").select("event_id", F.round(runs.split_cost(F.col("event_id") % 1000, *prices), 9).alias("cost"), runs.config_fingerprint(F.lit("do it"), F.lit(None).cast("string"), settings).alias("fingerprint"))
 
 
-@query("select count(*) as n, count(distinct temperature) as temperatures, min(k) as least, max(k) as most from (select temperature, count(*) over (partition by temperature) as k from (select unnest([0.0, 0.3, 0.7, 1.0]) as temperature), range(5))")
+@query("select temperature, count(*) as n, round(avg((value > temperature * 100)::int), 6) as mean from events, (select unnest([0.0, 0.3, 0.7, 1.0]) as temperature) group by temperature")
 def latin_draws(spark, d):
-    drawn = spark.createDataFrame(trials.latin_draws({"temperature": [0.0, 0.3, 0.7, 1.0], "codec": ["json", "xml"]}, 20, seed=3), "temperature double, codec string")
-    return drawn.groupBy("temperature").agg(F.count("*").alias("k")).agg(F.sum("k").alias("n"), F.count("*").alias("temperatures"), F.min("k").alias("least"), F.max("k").alias("most"))
+    """Drawn thresholds, each as often as any other, over all events."""
+    drawn = trials.latin_draws({"temperature": [0.0, 0.3, 0.7, 1.0], "codec": ["json", "xml"]}, 20, seed=3)
+    configs = spark.createDataFrame([(c["temperature"], i) for i, c in enumerate(drawn)], "temperature double, draw int")
+    even = configs.groupBy("temperature").agg(F.min(F.struct("draw", "temperature")).alias("config"), F.count("*").alias("times")).where("times = 5").select("config", "temperature")
+    found = trials.evaluate_configs(table(spark, d, "events"), even, (F.col("value") > F.col("temperature") * 100).cast("int"))
+    return found.select("config.temperature", "n", "mean")
 
 
-@query("select least(count(*) filter (where event_type = 'error'), count(*)) > 0 as stopped, count(*) as written from events")
+@query("""with e as (select event_id % 8 as f, count(*) as n, count(*) filter (where event_type = 'error') as bad from events group by 1), r as (select f, n, sum(bad) over (order by f) as seen, coalesce(sum(bad) over (order by f rows between unbounded preceding and 1 preceding), 0) as before from e),
+p as (select unnest(['continue', 'stop', 'stop_after_n']) as policy, unnest([1000000000, 1, (select sum(bad)::bigint // 2 from e)]) as most) select policy, max(seen) >= any_value(most) as stopped, sum(n) filter (where before < most)::bigint as written from r, p group by policy""")
 def stream_error_policy(spark, d):
+    """Eight files, one a micro-batch: all are written, or those up to the first error, or to half of all errors."""
     out = shared_folder(spark, "policy")
-    items = streams.stream_items(spark, f"{d}/events.parquet*", table(spark, d, "events").schema)
-    run = streams.run_with_policy(items, lambda b: b.select("event_id", F.when(F.col("event_type") == "error", "error").otherwise("succeeded").alias("status")), f"{out}/rows", f"{out}/checkpoint", "stop_after_n", 5)
-    try:
-        run.awaitTermination()
-        stopped = False
-    except Exception as e:
-        if "TooManyErrors" not in str(e):
-            raise
-        stopped = True
-    return spark.read.parquet(f"{out}/rows").agg(F.lit(stopped).alias("stopped"), F.count("*").alias("written"))
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "error", "error").otherwise("succeeded").alias("status")).withColumn("f", F.col("event_id") % 8)
+    for f in range(8):  # in this order, as a stream takes older files first
+        e.where(F.col("f") == f).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    half = e.where("status = 'error'").count() // 2
+    rows = None
+    for policy in ("continue", "stop", "stop_after_n"):
+        items = streams.stream_items(spark, f"{out}/in", e.schema)
+        run = streams.run_with_policy(items, lambda b: b, f"{out}/{policy}/rows", f"{out}/{policy}/checkpoint", policy, half)
+        try:
+            run.awaitTermination()
+            stopped = False
+        except Exception as x:
+            if "TooManyErrors" not in str(x):
+                raise
+            stopped = True
+        part = spark.read.parquet(f"{out}/{policy}/rows").agg(F.lit(policy).alias("policy"), F.lit(stopped).alias("stopped"), F.count("*").alias("written"))
+        rows = part if rows is None else rows.union(part)
+    return rows
 
 
 @query("select o_orderkey, case when o_totalprice > 150000 then 1.0 else 0.5 end as score from orders")

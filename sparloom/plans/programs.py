@@ -40,9 +40,18 @@ def bootstrap_demos(spark, d):
     return trials.first_demos(_log(spark, d), 50, 4)
 
 
-@query("select codec, shots, temperature from (select unnest(['json', 'chat', 'xml']) as codec), (select unnest([0, 2, 4]) as shots), (select unnest([0.0::double, 0.5::double]) as temperature)")
+@query("select event_type, codec, shots, count(*) as n, round(avg((event_id % 4 >= shots and length(codec) > 3)::int), 6) as mean from events, (select unnest(['json', 'chat', 'xml']) as codec), (select unnest([0, 2, 4]) as shots) group by event_type, codec, shots")
 def grid_configs(spark, d):
-    return trials.grid(spark, {"codec": ["json", "chat", "xml"], "shots": [0, 2, 4], "temperature": [0.0, 0.5]})
+    """Every combination of codec and shots over the events of each type."""
+    configs = trials.grid(spark, {"codec": ["json", "chat", "xml"], "shots": [0, 2, 4]}).withColumn("config", F.struct("codec", "shots"))
+    e = table(spark, d, "events")
+    kinds = [r["event_type"] for r in e.select("event_type").distinct().collect()]
+    score = ((F.col("event_id") % 4 >= F.col("shots")) & (F.length("codec") > 3)).cast("int")
+    parts = [trials.evaluate_configs(e.where(F.col("event_type") == k), configs, score).select(F.lit(k).alias("event_type"), "config.codec", "config.shots", "n", "mean") for k in kinds]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
 
 
 # Cells and claims

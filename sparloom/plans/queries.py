@@ -168,9 +168,9 @@ def agg_majority(spark, d):
 _LABELS = ["view", "signup", "purchase", "click"]  # error is no label
 
 
-@query("select user_id as doc, concat_ws(',', case when bool_or(event_type = 'view') then 'view' end, case when bool_or(event_type = 'signup') then 'signup' end, case when bool_or(event_type = 'purchase') then 'purchase' end, case when bool_or(event_type = 'click') then 'click' end) as labels from events where value > 97 group by user_id")
+@query("select user_id as doc, concat_ws(',', case when bool_or(event_type = 'view') then 'view' end, case when bool_or(event_type = 'signup') then 'signup' end, case when bool_or(event_type = 'purchase') then 'purchase' end, case when bool_or(event_type = 'click') then 'click' end) as labels from events group by user_id")
 def agg_union(spark, d):
-    return votes.aggregate(_picks(spark, d).where("score > 97"), exclusive=False, labels=_LABELS)
+    return votes.aggregate(_picks(spark, d), exclusive=False, labels=_LABELS)
 
 
 @query("""with v as (select user_id, event_type as label, count(*) as n, min(event_id) as f from events group by user_id, event_type), c as (select * from v qualify row_number() over (partition by user_id order by n desc, f) = 1)

@@ -85,11 +85,6 @@ def jsonl_items(lines: DataFrame, schema: str) -> DataFrame:
     return lines.select(inputs.alias("inputs"), F.when(structured, outer["custom_id"]).alias("custom_id"), metadata.alias("metadata"))
 
 
-def corrupt_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    rows = spark.read.schema(schema + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.where("_corrupt is not null").select("_corrupt")
-
-
 def tabular_source(spark: SparkSession, path: str, sql: str | None = None, order_by: list[str] | None = None, max_rows: int | None = 10_000, format: str = "parquet", **options) -> DataFrame:
     """A file or folder as rows, through an optional SQL query over $TABLE, at most max_rows in the given order."""
     table = spark.read.format(format).options(**options).load(path)
@@ -130,6 +125,19 @@ def append_log(records: DataFrame, path: str, kind: str = "item") -> None:
     records.withColumn("kind", F.lit(kind)).write.mode("append").json(path)
 
 
+def load_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(records, bad): the sound lines of log files as rows of schema, and the others (path, line, text, final).
+
+    A bad last line of a file (final) was cut off in writing, as happens when a run dies; one
+    before it means that the log is damaged, and counts made of it miss a record.
+    """
+    lines = text_lines(spark, path)
+    sound = F.json_object_keys("text").isNotNull()
+    ends = lines.groupBy("path").agg(F.max("line").alias("_last"))
+    bad = lines.where(~sound).join(ends, "path").select("path", "line", "text", (F.col("line") == F.col("_last")).alias("final"))
+    return lines.where(sound).select(F.from_json("text", schema).alias("r")).select("r.*"), bad
+
+
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All sound records of a log folder, cut-off lines left out."""
     return jsonl_source(spark, path, schema, strict=False)
