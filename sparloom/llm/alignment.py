@@ -104,7 +104,7 @@ def pair(a_path: str, b_path: str) -> Pair:
 
 
 def encoded(texts_of: DataFrame, a_path: str, b_path: str, text_col: str = "text") -> DataFrame:
-    """texts_of with `tokens` in place of the text: both sides' tokens in order, each as side << 60 | id << 28 | byte length; empty for null and empty texts and those whose bytes a tokenizer changes."""
+    """texts_of with `tokens` and `sizes` in place of the text: a's token ids, then b's as -1 - id, and their byte lengths; empty for null and empty texts and those whose bytes a tokenizer changes."""
     carry = [c for c in texts_of.columns if c != text_col]
 
     def run(batches):
@@ -112,25 +112,27 @@ def encoded(texts_of: DataFrame, a_path: str, b_path: str, text_col: str = "text
         for batch in slices(batches, text_col):
             given = as_text(batch, text_col)
             found = iter(coder.encode([t for t in given if t]))
-            rows = []
+            ids, sizes = [], []
             for t in given:
                 one = next(found) if t else None
-                rows.append([i << 28 | n for i, n in zip(one[0], one[1])] + [1 << 60 | i << 28 | n for i, n in zip(one[2], one[3])] if one else ())
-            yield pa.RecordBatch.from_arrays([column(batch, c) for c in carry] + [pa.array(rows, pa.list_(pa.int64()))], [*carry, "tokens"])
+                ids.append(one[0] + [-1 - i for i in one[2]] if one else ())
+                sizes.append(one[1] + one[3] if one else ())
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in carry), pa.array(ids, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))], [*carry, "tokens", "sizes"])
 
-    return texts_of.mapInArrow(run, T.StructType([texts_of.schema[c] for c in carry] + [T.StructField("tokens", T.ArrayType(T.LongType()))]))
+    return texts_of.mapInArrow(run, T.StructType([texts_of.schema[c] for c in carry] + [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("tokens", "sizes")]))
 
 
 def points(tokens: DataFrame, key: str) -> DataFrame:
     """(key, end, a, b, behind, link_a, link_b): one row for each place of a text where a token of either side ends.
 
-    tokens: key (unique) and tokens of encoded(). a, b: the token that ends there, null if
+    tokens: key (unique), tokens and sizes of encoded(). a, b: the token that ends there, null if
     none does; link_a, link_b: the tokens that cover the bytes before it; behind: cuts
     from here to the end, so that equal values are one group.
     """
     # one shuffle by text; all that follows is grouped by it
-    rows = tokens.select(key, "tokens").repartition(key).select(key, F.posexplode("tokens").alias("pos", "t"))
-    rows = rows.select(key, "pos", F.shiftright("t", 60).alias("side"), F.shiftright("t", 28).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("id"), F.col("t").bitwiseAND(F.lit((1 << 28) - 1)).alias("size"))
+    rows = tokens.select(key, "tokens", "sizes").repartition(key).select(key, F.posexplode(F.arrays_zip("tokens", "sizes")).alias("pos", "t"))
+    token = F.col("t.tokens")
+    rows = rows.select(key, "pos", (token < 0).cast("int").alias("side"), F.when(token < 0, -1 - token).otherwise(token).alias("id"), F.col("t.sizes").alias("size"))
     end = F.sum("size").over(Window.partitionBy(key, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     of = lambda mark: F.max(F.when(F.col("side") == mark, F.col("id")))
     both = rows.withColumn("end", end).groupBy(key, "end").agg(of(0).alias("a"), of(1).alias("b"))
@@ -198,15 +200,40 @@ def _coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, T.StructType([T.StructField("batch", T.LongType()), T.StructField("ids", of(docs.schema[id_col].dataType)), T.StructField("counts", of(T.IntegerType())), T.StructField("codes", T.BinaryType()), T.StructField("words", of(T.StringType()))]))
 
 
-def _word_results(coded: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(word, points) of each distinct word, staged: its points in order, each as link_a << 33 | link_b << 2 | sides that end there (1: a, 2: b, 3: both, a cut); null where it has no tokens."""
+def _record(spark: SparkSession, a_path: str, b_path: str) -> np.dtype:
+    """How a point is stored: the ids that link there, in as many bytes as the vocabularies need, and the sides that end there (1: a, 2: b, 3: both, a cut)."""
+
+    def run(batches):
+        for batch in batches:
+            coder = pair(a_path, b_path)
+            n = max(coder.a.get_vocab_size(), coder.b.vocab_size())
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], ["n"])
+
+    wide = spark.range(1).mapInArrow(run, "n long").first()["n"] > 1 << 16
+    return np.dtype([("a", "<u4" if wide else "<u2"), ("b", "<u4" if wide else "<u2"), ("sides", "u1")])
+
+
+def _word_results(coded: DataFrame, a_path: str, b_path: str, record: np.dtype) -> DataFrame:
+    """(word, points) of each distinct word, staged: its points in order as records; null where it has no tokens."""
     distinct = coded.select(F.explode("words").alias("word")).distinct()
     keyed = stage(distinct.withColumn("key", F.monotonically_increasing_id()))
     tokens = stage(encoded(keyed.withColumnRenamed("word", "text"), a_path, b_path))
     sides = F.when(F.col("b").isNull(), 1).when(F.col("a").isNull(), 2).otherwise(3)
     point = F.shiftleft(F.col("link_a").cast("long"), 33).bitwiseOR(F.shiftleft(F.col("link_b").cast("long"), 2)).bitwiseOR(sides)
     each = points(tokens, "key").select("key", F.struct("end", point.alias("point")).alias("p")).groupBy("key").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    out = stage(keyed.join(each.select("key", F.col("p.point").alias("points")), "key", "left").drop("key"))
+
+    def run(batches):
+        for batch in batches:
+            lists = column(batch, "points")
+            flat = lists.flatten().to_numpy()
+            records = np.empty(len(flat), record)
+            records["a"], records["b"], records["sides"] = flat >> 33, flat >> 2 & (1 << 31) - 1, flat & 3
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64) * record.itemsize
+            offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes())
+            packed = pa.Array.from_buffers(pa.binary(), len(lists), [None, offsets, pa.py_buffer(records.tobytes())])
+            yield pa.RecordBatch.from_arrays([column(batch, "word"), pc.if_else(lists.is_valid(), packed, pa.scalar(None, pa.binary()))], ["word", "points"])
+
+    out = stage(keyed.join(each.select("key", F.col("p.point").alias("points")), "key", "left").select("word", "points").mapInArrow(run, "word string, points binary"))
     discard(keyed, tokens)
     return out
 
@@ -240,28 +267,28 @@ def _group_texts(a: list[int], b: list[int], sides: list[int], first: list[int])
     return out
 
 
-def _compose(coded: pa.Table, found: pa.Table) -> pa.Table:
+def _compose(coded: pa.Table, found: pa.Table, record: np.dtype) -> pa.Table:
     """What a batch's documents are made of: sums and digest of each, its distinct id pairs with how often each links, and how many documents hold each pair."""
     counts = coded.column("counts").combine_chunks().flatten().to_numpy().astype(np.int64)
     codes = _unpack(coded.column("codes")[0].as_py(), int(counts.sum()))
     lists = found.column("points").take(pc.sort_indices(found.column("code"))).combine_chunks()
     good = lists.is_valid().to_numpy(zero_copy_only=False).astype(bool)
-    n_links = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-    flat = lists.flatten().to_numpy()
+    n_links = (pc.fill_null(pc.binary_length(lists), 0).to_numpy() // record.itemsize).astype(np.int32)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lists)], pa.int32()), pc.fill_null(lists, b"")), b"")[0].as_buffer()
+    flat = np.frombuffer(joined, record)
     del lists, found
     firsts = np.concatenate([[0], np.cumsum(n_links, dtype=np.int64)])
     texts: list[str] = []
     for lo in range(0, len(n_links), 20_000):  # some words at a time: lists of numbers take far more memory than arrays
         own = firsts[lo : lo + 20_001]
         some = flat[own[0] : own[-1]]
-        texts += _group_texts((some >> 33).tolist(), (some >> 2 & (1 << 31) - 1).tolist(), (some & 3).tolist(), (own - own[0]).tolist())
-    sides = (flat & 3).astype(np.int8)
+        texts += _group_texts(some["a"].tolist(), some["b"].tolist(), some["sides"].tolist(), (own - own[0]).tolist())
+    sides = flat["sides"]
     within = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])[firsts]).astype(np.int32)
     value = {"n_a": within(sides != 2), "n_b": within(sides != 1), "n_groups": within(sides == 3), "n_links": n_links}
-    coded_pairs = pa.array(flat >> 2).dictionary_encode()
-    keys, pair_of = coded_pairs.dictionary.to_numpy(), coded_pairs.indices.to_numpy()
-    ids = keys >> 31 << 32 | keys & (1 << 31) - 1
-    del flat, sides, coded_pairs
+    coded_pairs = pa.array(flat["a"].astype(np.int64) << 32 | flat["b"]).dictionary_encode()
+    ids, pair_of = coded_pairs.dictionary.to_numpy(), coded_pairs.indices.to_numpy()
+    del flat, sides, coded_pairs, joined
 
     ends = np.cumsum(counts)
     filled = np.flatnonzero(counts)
@@ -305,11 +332,12 @@ def summaries(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
     their own; a null id is carried; an empty table gives no rows.
     """
     coded = stage(_coded(docs, id_col, text_col))
-    results = _word_results(coded, a_path, b_path)
+    record = _record(docs.sparkSession, a_path, b_path)
+    results = _word_results(coded, a_path, b_path, record)
     asked = coded.select(F.col("batch").alias("of"), F.posexplode("words").alias("code", "word")).join(results, "word").drop("word")
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), *T.StructType.fromDDL(_PARTS).fields])
-    parts = stage(coded.drop("words").groupBy("batch").cogroup(asked.groupBy("of")).applyInArrow(_compose, schema))
+    parts = stage(coded.drop("words").groupBy("batch").cogroup(asked.groupBy("of")).applyInArrow(lambda left, right: _compose(left, right, record), schema))
     discard(coded, results)
 
     held = parts.select("batch", F.posexplode(F.arrays_zip("pair_a", "pair_b", "pair_docs")).alias("code", "p")).select("batch", "code", F.col("p.pair_a").alias("a"), F.col("p.pair_b").alias("b"), F.col("p.pair_docs").alias("n"))
