@@ -2,7 +2,7 @@
 
 Hidden are elements that browsers don't draw, `hidden` ones, and what `display` and
 `visibility` say in style attributes and in style elements' rules of one compound
-selector (names, classes, ids) outside at-rules; a child may be visible again within
+selector (names, classes, ids) outside at-rules or for all screens; a child may be visible again within
 one whose visibility is hidden. Closed `details` and all options are drawn, as a click
 shows them.
 """
@@ -23,7 +23,7 @@ from ._common import as_text, out_batch, slices
 # Element names by what the HTML standard says of them.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-_HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object canvas audio video datalist".split())
+_HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object canvas audio video datalist progress meter rp".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
 _SPACED = frozenset("blockquote dl h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
 _CLOSES_P = _BLOCK - {"html", "body", "dd", "dt", "li", "legend", "option", "optgroup"} | {"dd", "dt", "li"}
@@ -33,11 +33,17 @@ _IMPLIED = {
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
 }
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: The next attribute of a tag (name, value), or the tag's end; every part is read once, forwards.
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>]*+)))?)""")
 #: Settings of display and visibility in a style, with a mark of importance.
 _SETTING = re.compile(r"(?:^|[;{])\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+#: Strings and bracketed values of a style, which hold no settings.
+_STRING = re.compile(r""""(?:[^"\\\n]|\\.)*+"?|'(?:[^'\\\n]|\\.)*+'?""", re.S)
+#: Media whose rules hold on a screen, whatever its size.
+_SCREEN = re.compile(r"@media\s+(?:(?:only\s+)?(?:screen|all)\s*(?:,|$)|.*,\s*(?:only\s+)?(?:screen|all)\s*(?:,|$))", re.I | re.S)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_BRACKET = re.compile("[{}]")
 _COMPOUND = re.compile(r"(?:[a-zA-Z][\w-]*|\*)?(?:[.#][\w-]+)*")
 #: Inputs whose value is drawn.
 _DRAWN = frozenset("button email number reset search submit tel text url".split())
@@ -51,6 +57,23 @@ _STAY = frozenset("script style template".split())
 _UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker annotation annotation-xml".split())
 
 
+def _tag(page: str, at: int) -> tuple[dict[str, str], int, bool] | None:
+    """Attributes, end, and whether a slash ends it, of the tag whose name ends at `at`; None where the page ends within it."""
+    out: dict[str, str] = {}
+    while m := _ATTRIBUTE.match(page, at):
+        at = m.end()
+        if m[1]:
+            return out, at, page[at - 2] == "/"
+        out.setdefault(m[2].lower(), html.unescape(m[3] or m[4] or m[5] or ""))
+    return None
+
+
+def _past(page: str, mark: str, at: int) -> int:
+    """The place behind the next `mark`, or the end of the page."""
+    found = page.find(mark, at)
+    return len(page) if found < 0 else found + len(mark)
+
+
 @dataclass
 class Node:
     name: str
@@ -119,12 +142,34 @@ def tree(page: str) -> Node:
                     cut(i + 1)
                     return
 
-    lower = None
-    while m := _TOKEN.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        if m[1]:
-            name = m[1].lower()
+    lower, shown = None, 0  # text from `shown` on isn't in the tree yet
+    while (begin := page.find("<", at)) >= 0:
+        at = begin + 1
+        closing = page.startswith("/", at)
+        found = _NAME.match(page, at + closing)
+        if not found and not page.startswith(("!", "?", "/"), at):
+            continue  # a sign of its own
+        if not found and page.startswith("/", at) and at + 1 == len(page):
+            continue
+        text(page[shown:begin])
+        if not found:
+            if page.startswith("!--", at):
+                at = begin + 5 if page.startswith(">", begin + 4) else begin + 6 if page.startswith("->", begin + 4) else _past(page, "-->", begin + 4)
+            elif page.startswith("![CDATA[", at) and (opened["svg"] or opened["math"]):
+                end = page.find("]]>", begin)
+                add(page[begin + 9 : len(page) if end < 0 else end])
+                at = _past(page, "]]>", begin)
+            else:
+                at = _past(page, ">", at)
+            shown = at
+            continue
+        tag = _tag(page, found.end())
+        if tag is None:
+            return root  # a page that ends within a tag doesn't show it
+        attributes, at, slash = tag
+        shown = at
+        if closing:
+            name = found[0].lower()
             for i in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if stack[i].name == name:
                     cut(i)
@@ -134,8 +179,8 @@ def tree(page: str) -> Node:
                 if stack[i].name in ("table", "td", "th") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                     break  # what opened outside a cell doesn't close in it
             begun = begun or name == "head"
-        elif m[2]:
-            name = m[2].lower()
+        else:
+            name = found[0].lower()
             if name == "head":
                 if begun or opened["head"]:
                     continue
@@ -150,7 +195,7 @@ def tree(page: str) -> Node:
             if name in ("td", "th") and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
                 stack[-1].children.append(row := Node("tr"))
                 push(row)
-            node = Node(name, {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3].strip(" /\n\t") else {})
+            node = Node(name, attributes)
             if name in _UNDRAWN and (opened["svg"] or opened["math"]):
                 node.attributes["hidden"] = ""
             between = stack[-1].name in _BETWEEN
@@ -163,33 +208,33 @@ def tree(page: str) -> Node:
                 if name == "textarea":
                     raw = raw.removeprefix("\n")
                 node.children.append(html.unescape(raw) if name in ("title", "textarea") else raw)
-                stop = page.find(">", end)
-                at = len(page) if stop < 0 else stop + 1
-            elif name not in _VOID and name != "col" and not (name == "form" and between) and not (m[3].endswith("/") and (opened["svg"] or opened["math"])):
+                at = shown = _past(page, ">", end)
+            elif name not in _VOID and name != "col" and not (name == "form" and between) and not (slash and (opened["svg"] or opened["math"])):
                 push(node)
                 if name in ("pre", "listing") and page.startswith("\n", at):
-                    at += 1  # a line end right after the tag isn't part of the text
-        elif m[0] == "<":
-            text("<")
-    text(page[at:])
+                    at = shown = at + 1  # a line end right after the tag isn't part of the text
+    text(page[shown:])
     return root
 
 
 def _rules(css: str):
-    """(selector, settings) of the rules outside at-rules."""
-    css, at = _COMMENT.sub(" ", css), 0
+    """(selector, settings) of the rules outside at-rules, or within those for every screen."""
+    css, at = _STRING.sub('""', _COMMENT.sub(" ", css)), 0
     while (brace := css.find("{", at)) >= 0:
-        head = css[at:brace].rpartition(";")[2].strip()  # an at-rule without a block ends with a semicolon
-        depth, end = 1, brace + 1
-        while depth and end < len(css):
-            if head.startswith("@"):
-                depth += {"{": 1, "}": -1}.get(css[end], 0)
-                end += 1
-            else:
-                stop = css.find("}", end)
-                end = len(css) if stop < 0 else stop + 1
-                depth = 0
-        if not head.startswith("@"):
+        head = css[at:brace].rpartition(";")[2].lstrip("} \t\r\n\f").strip()  # an at-rule without a block ends with a semicolon
+        end = brace + 1
+        if _SCREEN.match(head):
+            at = end  # its rules are as those outside; the bracket that ends it stands before a selector
+            continue
+        if head.startswith("@"):
+            depth = 1
+            for m in _BRACKET.finditer(css, end):
+                depth += 1 if m[0] == "{" else -1
+                if not depth:
+                    break
+            end = m.end() if not depth else len(css)
+        else:
+            end = _past(css, "}", end)
             yield head, css[brace:end]
         at = end
 
@@ -227,7 +272,7 @@ class Styles:
                     if name in ("*", n.name) and cs <= classes and i <= ids:
                         for k, v, important in settings:
                             best[k] = max(best.get(k, ((),)), ((important, 0, *rank), v))
-        for k, v, important in _SETTING.findall(own or ""):
+        for k, v, important in _SETTING.findall(_STRING.sub('""', own) if own else ""):
             best[k.lower()] = max(best.get(k.lower(), ((),)), ((bool(important), 1), v.lower()))
         return {k: v for k, (_, v) in best.items()}
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from sparloom.llm import html
@@ -106,3 +107,26 @@ def test_repeated_and_clashing_rows(spark):
     rows = spark.createDataFrame([(1, "<p>a", "t", "u"), (1, "<p>a", "t", "u"), (None, None, None, None)], "page_id long, html string, title string, text string")
     assert sorted((r["page_id"] or 0, r["title"], r["text"]) for r in html.extract_text(rows).collect()) == [(0, None, None), (1, "", "a"), (1, "", "a")]
     assert html.extract_text(rows.limit(0)).count() == 0
+
+
+def test_tokens_are_read_forwards_by_states():
+    cases = [
+        ("<p title=Bob's>visible one</p> and two <p>it's three</p> four", "visible one\n\nand two\n\nit's three\n\nfour"),
+        ("a < b <3 </ <> c", "a < b <3 c"),  # `</ ` begins a comment up to the next `>`
+        ("x<!-->y<!--->z<!-- a > b -->w<!-- open", "xyzw"), ("one<!bogus>two<?php three>four</5>five", "onetwofourfive"),
+        ('<a href="x>y" title=a/b>link</a>', "link"), ("<b title='never ends>lost", ""), ("shown <b title=x", "shown"), ("<p =a b=>kept</p>", "kept"),
+        ("<svg><text><![CDATA[a < b]]></text></svg> <![CDATA[x]]>y", "a < b y"), ("<meter>low</meter><progress>half</progress><ruby>x<rp>(</rp><rt>y</rt><rp>)</rp></ruby>", "xy"),
+        ("<div style=\"content:';display:none;'\">seen</div><div style='content:\"a\";display:none'>not</div>", "seen"),
+        ("<style>@media screen { .a { display: none } .b {visibility:hidden} } .c{display:none} @media print { p {display:none} } @media (max-width: 9px), all {.d{display:none}}</style><p class=a>1</p><p class=b>2</p><p class=c>3</p><p class=d>4</p><p>5", "5"),
+        ("<style>@supports (x:y) { p {display:none} } .q::before { content: '} p {display:none'; }</style><p>in", "in"), ("<p hidden hidden=x>no</p><p id=a ID=b>yes", "yes"),
+    ]
+    for page, want in cases:
+        assert html.extract(page)[1].strip() == want, (page, html.extract(page)[1])
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a '", '<a b="', "<!", "<!--", "</", "<a b=c ", "<", "<a/", "&lt", "<style>@media screen{", "<style>@media x{", "<p a='b' ", "<![CDATA["])
+def test_a_megabyte_of_any_start_takes_little_time(part):
+    page = "seen " + part * (1_000_000 // len(part))
+    begin = time.process_time()
+    html.extract(page)
+    assert time.process_time() - begin < 5  # some tenths of a second; quadratic time would be hours
