@@ -44,5 +44,10 @@ def spans(text: Column, regex: str) -> Column:
         sizes = F.transform(m, lambda x, i: F.length(gaps[i]) + F.when(i > 0, F.length(F.get(m, i - 1))).otherwise(F.lit(0)))
         return let(scan(sizes, lambda a, b: a + b), lambda at: F.transform(m, lambda x, i: F.struct(at[i].alias("start"), (at[i] + F.length(x)).alias("end"), x.alias("match"))))
 
-    found = let(F.regexp_extract_all(text, F.lit(regex), 0), lambda m: let(F.split(text, regex, -1), lambda gaps: placed(m, gaps)))
+    def alone(m: Column) -> Column:
+        """The one match of a text: what stands before it is its start."""
+        return let(F.length(F.get(F.split(text, regex, 2), F.lit(0))), lambda at: F.transform(m, lambda x: F.struct(at.alias("start"), (at + F.length(x)).alias("end"), x.alias("match"))))
+
+    many = lambda m: let(F.split(text, regex, -1), lambda gaps: placed(m, gaps))
+    found = let(F.regexp_extract_all(text, F.lit(regex), 0), lambda m: F.when(F.size(m) == 0, F.array().cast(SPAN)).when(F.size(m) == 1, alone(m).cast(SPAN)).otherwise(many(m).cast(SPAN)))
     return F.when(text.isNotNull(), found).otherwise(F.array()).cast(SPAN)

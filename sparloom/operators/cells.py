@@ -37,12 +37,11 @@ def dedup_cells(cells: DataFrame, canonical: Column) -> tuple[DataFrame, DataFra
 
     cells: (doc, col, status, value, pos), pos being their order, which the result keeps as a column.
     """
-    takes_part = (F.col("status") == "extracted") & F.col("value").isNotNull()
-    digest = F.substring(F.sha2(canonical, 256), 1, 16)
-    marked = cells.withColumn("_hash", F.when(takes_part, digest))
-    first = cells.where(takes_part).withColumn("_hash", digest).groupBy("col", "_hash").agg(F.min("pos").alias("_pos"), F.min_by("doc", "pos").alias("first_doc"), F.count("*").alias("n"))
-    kept = marked.join(first.select("col", "_hash", "_pos"), ["col", "_hash"], "left").where(F.col("_hash").isNull() | (F.col("pos") == F.col("_pos")))
-    return kept.select(*cells.columns), first.select("col", F.col("_hash").alias("hash"), "first_doc", "n")
+    takes_part = F.coalesce((F.col("status") == "extracted") & F.col("value").isNotNull(), F.lit(False))
+    own = cells.where(takes_part).select(F.struct(*[F.col(f"`{c}`") for c in cells.columns]).alias("_cell"), "col", "doc", "pos", F.substring(F.sha2(canonical, 256), 1, 16).alias("_hash"))
+    first = own.groupBy("col", "_hash").agg(F.min_by("_cell", "pos").alias("_cell"), F.min_by("doc", "pos").alias("first_doc"), F.count("*").alias("n"))
+    kept = first.select("_cell.*").unionByName(cells.where(~takes_part))
+    return kept, first.select("col", F.col("_hash").alias("hash"), "first_doc", "n")
 
 
 def lineage_documents(cells: DataFrame, canonical: Column) -> DataFrame:
