@@ -57,10 +57,20 @@ def fuzzy_char(source: Column, quote: Column) -> Column:
     return F.coalesce(F.when(F.length(quote) > 0, common_length(source, quote) / F.length(quote)), F.lit(0.0))
 
 
+def fuzzy_char_reaches(source: Column, quote: Column, threshold: float) -> Column:
+    """Whether fuzzy_char() is `threshold` or more: whether a stretch of the quote of the least length for that occurs in the source. Only stretches of that one length are looked for."""
+    n = F.length(quote)
+    if threshold <= 0:
+        return F.lit(True)
+    k = F.greatest(F.ceil(n * threshold - 1e-9).cast("int"), F.lit(1))
+    some = F.exists(F.sequence(F.lit(1), n - k + 1), lambda i: F.contains(source, F.substring(quote, i, k)))
+    return F.when((n == 0) | n.isNull() | source.isNull() | (k > n), F.lit(False)).otherwise(some)
+
+
 def _holds(strategy: str, source: Column, start: Column, end: Column, quote: Column, threshold: float) -> Column:
     return {
         "strict": lambda: strict(source, start, end, quote), "substring": lambda: F.contains(source, quote), "case_insensitive": lambda: F.contains(F.lower(source), F.lower(quote)),
-        "normalized_token": lambda: normalized_token(source, quote), "fuzzy_char": lambda: fuzzy_char(source, quote) >= threshold, "fuzzy_token": lambda: token_jaccard(source, quote) >= threshold,
+        "normalized_token": lambda: normalized_token(source, quote), "fuzzy_char": lambda: fuzzy_char_reaches(source, quote, threshold), "fuzzy_token": lambda: token_jaccard(source, quote) >= threshold,
     }[strategy]()
 
 

@@ -123,6 +123,11 @@ def semantic_similarity(a: Column, b: Column) -> Column:
     return F.least(F.greatest(cosine(a, b), F.lit(0.0)), F.lit(1.0))
 
 
+def semantic_match(a: Column, b: Column, threshold: float = 0.8) -> Column:
+    """1 where two embeddings' similarity within 0 and 1 is `threshold` or more, else 0; 0 where one is missing."""
+    return F.when(F.coalesce(semantic_similarity(a, b), F.lit(0.0)) >= threshold, 1.0).otherwise(0.0)
+
+
 def answer_relevancy(answer: Column, question: Column) -> Column:
     """Similarity of two embeddings within 0 and 1; 0 where one is missing."""
     return F.coalesce(semantic_similarity(answer, question), F.lit(0.0))

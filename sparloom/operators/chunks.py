@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from sparloom.functions.arrays import let, starts
 from sparloom.operators.sentences import Model, boundaries
+from sparloom.sources.scratch import shared_folder
 
 
 def hard_split(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,8 +152,9 @@ def expand_dedup(queries: DataFrame, most: int) -> DataFrame:
 def tree_levels(leaves: DataFrame, fan: int, merge: Callable[[str], Column], most: int = 8) -> DataFrame:
     """(doc, value, depth): leaves (doc, pos, value) merged in groups of `fan`, a lone last one into the group before, up to one a document; then flat.
 
-    merge: Column of a grouped array of values in order.
+    merge: Column of a grouped array of values in order. Each level is written, so that no later one computes it again.
     """
+    folder = shared_folder(leaves.sparkSession, "tree")
     level = leaves.select("doc", "pos", "value", F.lit(0).alias("depth"))
     for depth in range(1, most + 1):
         n = F.count("*").over(W.partitionBy("doc"))
@@ -161,6 +163,8 @@ def tree_levels(leaves: DataFrame, fan: int, merge: Callable[[str], Column], mos
         grouped = level.withColumn("_n", n).withColumn("_g", group.cast("long"))
         values = F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"])
         level = grouped.groupBy("doc", F.col("_g").alias("pos")).agg(merge(values).alias("value"), F.max(F.when(F.col("_n") > 1, F.lit(depth)).otherwise(F.col("depth"))).alias("depth"))
+        level.write.parquet(f"{folder}/{depth}")
+        level = leaves.sparkSession.read.parquet(f"{folder}/{depth}")
         if level.groupBy("doc").count().where("count > 1").isEmpty():
             break
     return level.select("doc", "value", "depth")
@@ -180,6 +184,29 @@ def refine_fold(leaves: DataFrame, start: Column, step: Callable[[Column, Column
     return leaves.groupBy("doc").agg(values.alias("v")).select("doc", F.aggregate("v", start, lambda a, s: step(a, s["value"])).alias("value"))
 
 
+#: Reducers by name: functions of leaves (doc, pos, value; cluster for `cluster`) that give (doc, value, ...).
+REDUCERS: dict[str, Callable] = {
+    "map_reduce": lambda leaves, merge, **_: leaves.groupBy("doc").agg(merge(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"])).alias("value")),
+    "refine": lambda leaves, start, step, **_: refine_fold(leaves, start, step),
+    "tree": lambda leaves, merge, fan=4, **_: tree_levels(leaves, fan, merge),
+    "cluster": lambda leaves, merge, last=None, **_: cluster_reduce(leaves, merge, last),
+}
+
+
+def register_reducer(name: str, reducer: Callable) -> None:
+    """Makes a reducer known by its name; a known name is refused."""
+    if name in REDUCERS:
+        raise ValueError(f"there is a reducer {name} already")
+    REDUCERS[name] = reducer
+
+
+def reduce_by(name: str, leaves: DataFrame, **options) -> DataFrame:
+    """The leaves reduced by a reducer's name."""
+    if name not in REDUCERS:
+        raise ValueError(f"no reducer {name!r}; there are {', '.join(sorted(REDUCERS))}")
+    return REDUCERS[name](leaves, **options)
+
+
 def tag_passages(passages: DataFrame) -> DataFrame:
     """(doc, context): the passages (doc, pos, uri, text) in order, each under a header with its uri."""
     parts = F.array_sort(F.collect_list(F.struct("pos", "uri", "text")))

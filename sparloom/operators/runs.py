@@ -100,10 +100,10 @@ def list_batches(batches: DataFrame, most: int = 50) -> DataFrame:
 
 
 def with_prices(calls: DataFrame, prices: DataFrame, model: str = "model") -> DataFrame:
-    """calls with cost: prices (model, aliases array, price_in, price_out) by model or alias, `provider/model` too; unknown models cost nothing. A price table is small."""
+    """calls with cost: prices (model, aliases array, price_in, price_out) by model or alias, `provider/model` too; unknown models cost nothing."""
     names = prices.select(F.explode(F.array_union(F.array("model"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_name"), "price_in", "price_out")
     bare = F.regexp_replace(model, "^[^/]*/", "")
-    joined = calls.withColumn("_name", F.coalesce(bare, F.lit(""))).join(F.broadcast(names), "_name", "left")
+    joined = calls.withColumn("_name", F.coalesce(bare, F.lit(""))).join(names, "_name", "left")
     return joined.withColumn("cost", cost(F.col("tokens_in"), F.col("tokens_out"), F.col("price_in"), F.col("price_out"))).drop("_name", "price_in", "price_out")
 
 
@@ -157,3 +157,9 @@ def question_outcomes(answers: DataFrame) -> DataFrame:
     """answers with outcome: error where there is one, insufficient_evidence for a refusal or an empty answer, else answer."""
     empty = F.trim(F.coalesce("answer", F.lit(""))) == ""
     return answers.withColumn("outcome", F.when(F.col("error").isNotNull(), "error").when(F.coalesce("refused", F.lit(False)) | empty, "insufficient_evidence").otherwise("answer"))
+
+
+def dry_run(questions: DataFrame, model: str) -> DataFrame:
+    """What calibration() takes, of a run without calls in which every answerable question (id, answerable) is answered, verified and every other refused."""
+    can = F.coalesce("answerable", F.lit(False))
+    return questions.select("id", F.lit(model).alias("model"), can.alias("answerable"), F.when(can, "answer").otherwise("insufficient_evidence").alias("outcome"), can.alias("verified"), F.when(can, 0.9).otherwise(0.0).alias("confidence"), F.lit(0.0).alias("latency"))

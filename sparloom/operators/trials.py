@@ -71,13 +71,15 @@ def stop_after_errors(log: DataFrame, n: int) -> DataFrame:
     return _running(log, F.col("error"), "count", "_n", True).where(F.col("_n") >= n).groupBy("run").agg(F.min("trial").alias("stopped_at"))
 
 
-def stop_reasons(log: DataFrame, trials: int | None = None, cost: float | None = None, tokens: int | None = None, patience: int | None = None, errors: int | None = None) -> DataFrame:
-    """(run, stopped_at, reason): the first trial at which a limit is reached, and which: trials before cost, tokens, patience and errors at one trial; `completed` with the last trial where none is."""
-    if trials is cost is tokens is patience is errors is None:
+def stop_reasons(log: DataFrame, trials: int | None = None, cost: float | None = None, tokens: int | None = None, patience: int | None = None, errors: int | None = None, seconds: float | None = None) -> DataFrame:
+    """(run, stopped_at, reason): the first trial at which a limit is reached, and which: trials before time (the sum of the column seconds), cost, tokens, patience and errors at one trial; `completed` with the last trial where none is."""
+    if trials is cost is tokens is patience is errors is seconds is None:
         raise ValueError("a budget limits something")
     of = []
     if trials is not None:
         of.append((_running(log, F.lit(1), "count", "_k", True).where(F.col("_k") >= trials).groupBy("run").agg(F.min("trial").alias("stopped_at")), "trials"))
+    if seconds is not None:
+        of.append((budget_stop(log.withColumn("cost", F.col("seconds")), seconds), "time"))
     if cost is not None:
         of.append((budget_stop(log, cost), "cost"))
     if tokens is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sparloom.functions import grounding
+from sparloom.functions import grounding, metrics
 from sparloom.operators import chunks, flows, rubric, runs, trials
 from sparloom.plans.queries import query, table
 from sparloom.sources import readers
@@ -151,3 +151,36 @@ def _program(batches):
         columns = [[r[i] for r in rows] for i in range(6)]
         kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["custom_id", "status", "output", "error_type", "tokens", "cost"])
+
+
+_NEXT = "with v as (select vec_id, embedding::double[] as e, lead(embedding::double[]) over (order by vec_id) as f from embeddings) "
+
+
+@query(_NEXT + "select vec_id, case when f is not null and least(greatest(list_cosine_similarity(e, f), 0), 1) >= 0.1 then 1.0 else 0.0 end::double as score from v")
+def semantic_match(spark, d):
+    v = table(spark, d, "embeddings")
+    after = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return v.join(after, "vec_id", "left").select("vec_id", metrics.semantic_match(F.col("embedding"), F.col("next"), 0.1).alias("score"))
+
+
+@query("select event_type as model, count(*) as n, 1.0::double as precision_answerable, 1.0::double as refusal_recall, 0.9::double as mean_confidence, 0.0::double as mean_latency, 0::bigint as errors from events group by event_type")
+def dry_run_report(spark, d):
+    """Reports of runs without calls: one model for each type of event, whose events are its questions."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 3 > 0).alias("answerable"), "event_type")
+    return runs.calibration(runs.dry_run(e, "m").join(e.select("id", "event_type"), "id").withColumn("model", F.col("event_type")))
+
+
+@query("select run, arg_min(trial, trial) as stopped_at, 'time' as reason from (select user_id as run, event_id as trial, sum(value) over (partition by user_id order by event_id) as s from events) where s >= 500 group by run union all select user_id, max(event_id), 'completed' from events group by user_id having sum(value) < 500")
+def stop_by_time(spark, d):
+    log = table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("trial"), F.col("value").alias("seconds"))
+    return trials.stop_reasons(log, seconds=500.0)
+
+
+@query("select conv_id as doc, 'tree' as reducer, string_agg(turn::varchar, '' order by turn) as turns from conversations group by conv_id union all select conv_id, 'map_reduce', string_agg(turn::varchar, '' order by turn) from conversations group by conv_id union all select conv_id, 'refine', string_agg(turn::varchar, '' order by turn) from conversations group by conv_id")
+def reduce_by_name(spark, d):
+    """Three reducers by their names: their merges differ, the turns that went in don't."""
+    leaves = table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), F.col("turn").cast("string").alias("value"))
+    joined = lambda values: F.concat(F.lit("("), F.array_join(values, ","), F.lit(")"))
+    options = {"tree": {"merge": joined, "fan": 2}, "map_reduce": {"merge": joined}, "refine": {"start": F.lit(""), "step": lambda a, x: F.concat(a, F.lit("/"), x)}}
+    parts = [chunks.reduce_by(name, leaves, **o).select("doc", F.lit(name).alias("reducer"), F.regexp_replace("value", "[^0-9]", "").alias("turns")) for name, o in options.items()]
+    return parts[0].union(parts[1]).union(parts[2])

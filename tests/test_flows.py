@@ -106,3 +106,25 @@ def test_configurations_are_counted_before_they_are_broadcast(spark, monkeypatch
     with pytest.raises(ValueError, match="over 3"):
         trials.evaluate_configs(spark.range(5), configs, F.lit(1))
     assert trials.evaluate_configs(spark.range(5), configs.limit(3), F.lit(1)).count() == 3
+
+
+def test_reducers_by_name(spark):
+    leaves = spark.createDataFrame([(1, i, chr(97 + i)) for i in range(5)], "doc int, pos int, value string")
+    joined = lambda v: F.array_join(v, "")
+    assert chunks.reduce_by("tree", leaves, merge=joined, fan=2).first().value == "abcde"
+    chunks.register_reducer("last", lambda rows, **_: rows.groupBy("doc").agg(F.max_by("value", "pos").alias("value")))
+    assert chunks.reduce_by("last", leaves).first().value == "e"
+    with pytest.raises(ValueError, match="already"):
+        chunks.register_reducer("last", None)
+    with pytest.raises(ValueError, match="no reducer"):
+        chunks.reduce_by("first", leaves)
+
+
+def test_fuzzy_stretches_reach_the_threshold_as_their_share_says(spark):
+    from sparloom.functions import grounding
+
+    dice = random.Random(8)
+    rows = [("".join(dice.choice("ab ") for _ in range(dice.randrange(12))), "".join(dice.choice("ab ") for _ in range(dice.randrange(12)))) for _ in range(400)] + [(None, "a"), ("a", None), ("", ""), ("a", "")]
+    df = spark.createDataFrame(rows, "s string, q string")
+    for t in (0.1, 0.5, 0.7, 0.8, 1.0):
+        assert df.where(F.coalesce(grounding.fuzzy_char_reaches(F.col("s"), F.col("q"), t), F.lit(False)) != (grounding.fuzzy_char(F.col("s"), F.col("q")) >= t)).count() == 0
