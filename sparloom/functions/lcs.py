@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Hashable, Sequence
+from collections import Counter
+from collections.abc import Callable, Hashable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparloom.functions.stems import stem
+
 #: Bits of kept vectors beyond which a trace-back halves its input first.
 KEPT_BITS = 1 << 28
 
@@ -95,23 +98,37 @@ def _middle(a: Sequence[Hashable], b: Sequence[Hashable]) -> list[tuple[int, int
 _WORD = re.compile("[a-z0-9]+")
 
 
-def words(text: str | None) -> list[str]:
-    """Lower-cased runs of a-z and 0-9."""
-    return _WORD.findall((text or "").lower())
+def words(text: str | None, stemmed: bool = False) -> list[str]:
+    """Lower-cased runs of a-z and 0-9; stemmed: those of more than three letters as their stems."""
+    found = _WORD.findall((text or "").lower())
+    return [stem(w) if len(w) > 3 else w for w in found] if stemmed else found
+
+
+def common_grams(a: list[str], b: list[str], n: int) -> tuple[int, int, int]:
+    """(n-grams in common, each as often as in both, n-grams of a, of b)."""
+    x, y = (Counter(zip(*(w[i:] for i in range(n)))) for w in (a, b))
+    return sum((x & y).values()), sum(x.values()), sum(y.values())
+
+
+def _scored(p: Column, g: Column, count: Callable[[list[str], list[str]], tuple[int, int, int]], stemmed: bool) -> Column:
+    def run(p: pd.Series, g: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(p, g):
+            k, n, m = count(words(x, stemmed), words(y, stemmed))
+            rows.append((k / n if n else 0.0, k / m if m else 0.0, 2 * k / (n + m) if n and m else 0.0))
+        return pd.DataFrame(rows, columns=["precision", "recall", "f1"])
+
+    return F.pandas_udf(run, "struct<precision:double,recall:double,f1:double>")(p, g)
 
 
-def _rouge_l(p: pd.Series, g: pd.Series) -> pd.DataFrame:
-    rows = []
-    for x, y in zip(p, g):
-        a, b = words(x), words(y)
-        n = length(a, b)
-        rows.append((n / len(a) if a else 0.0, n / len(b) if b else 0.0, 2 * n / (len(a) + len(b)) if a and b else 0.0))
-    return pd.DataFrame(rows, columns=["precision", "recall", "f1"])
+def rouge_l(p: Column, g: Column, stemmed: bool = False) -> Column:
+    """struct(precision, recall, f1) of the longest common subsequence of two texts' words; 0 for null and wordless texts."""
+    return _scored(p, g, lambda a, b: (length(a, b), len(a), len(b)), stemmed)
 
 
-def rouge_l(p: Column, g: Column) -> Column:
-    """struct(precision, recall, f1) of the longest common subsequence of two texts' words, not stemmed; 0 for null and wordless texts."""
-    return F.pandas_udf(_rouge_l, "struct<precision:double,recall:double,f1:double>")(p, g)
+def rouge_n(p: Column, g: Column, n: int = 1, stemmed: bool = True) -> Column:
+    """struct(precision, recall, f1) of the word n-grams that two texts have in common, counted in time that grows with the texts; 0 for null texts and those without n words."""
+    return _scored(p, g, lambda a, b: common_grams(a, b, n), stemmed)
 
 
 def lines_of(value: str | None) -> list[str]:

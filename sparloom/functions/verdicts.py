@@ -25,9 +25,17 @@ def judged(label: Column, confidence: Column) -> Column:
     return F.when(own.isNotNull(), F.struct(own.alias("label"), *[F.when(own == x, confidence).otherwise(rest).alias(x) for x in LABELS]))
 
 
-def escalates(verdict: Column, neutral: Column, floor: float, confident: float) -> Column:
-    """Whether a verdict goes to a judge: much neutral mass, or another label with little confidence."""
-    return (neutral >= floor) | ((verdict["label"] != "neutral") & (verdict["confidence"] < confident))
+def escalates(verdict: Column, neutral: Column, floor: float, confident: float, similarity: Column | None = None, gate: float = 0.5) -> Column:
+    """Whether a verdict goes to a judge: much neutral mass, or another label with little confidence; where the similarity of claim and evidence is given, only from `gate` on (none without one)."""
+    asked = (neutral >= floor) | ((verdict["label"] != "neutral") & (verdict["confidence"] < confident))
+    return asked if similarity is None else asked & F.coalesce(similarity >= gate, F.lit(False))
+
+
+def settled(verdict: Column, escalated: Column, judge: Column) -> Column:
+    """struct(label, confidence, method): the judge's verdict (judged()) where one was asked for and is known, else the first one; the judge alone changes a label, never the gate."""
+    use = F.coalesce(escalated, F.lit(False)) & judge.isNotNull()
+    sure = F.greatest(judge["entailment"], judge["neutral"], judge["contradiction"])
+    return F.struct(F.when(use, judge["label"]).otherwise(verdict["label"]).alias("label"), F.when(use, sure).otherwise(verdict["confidence"]).alias("confidence"), F.when(use, "llm_judge").otherwise("nli").alias("method"))
 
 
 def refused(verified: Column, claims: Column, floor: float) -> Column:

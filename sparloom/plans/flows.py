@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sparloom.functions import grounding, metrics
+from sparloom.functions import grounding, metrics, verdicts
 from sparloom.operators import chunks, flows, rubric, runs, trials
 from sparloom.plans.queries import query, table
 from sparloom.sources import readers
@@ -184,3 +184,21 @@ def reduce_by_name(spark, d):
     options = {"tree": {"merge": joined, "fan": 2}, "map_reduce": {"merge": joined}, "refine": {"start": F.lit(""), "step": lambda a, x: F.concat(a, F.lit("/"), x)}}
     parts = [chunks.reduce_by(name, leaves, **o).select("doc", F.lit(name).alias("reducer"), F.regexp_replace("value", "[^0-9]", "").alias("turns")) for name, o in options.items()]
     return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(
+    """with v as (select vec_id as i, embedding::double[] as x, lead(embedding::double[]) over (order by vec_id) as y from embeddings), n as (select i, i % 5 / 8.0::double as e, i % 3 / 8.0::double as n, i % 7 / 8.0::double as c, case when y is not null then list_cosine_similarity(x, y) end as sim from v),
+l as (select *, greatest(e, n, c) as confidence, case when e = greatest(e, n, c) then 'entailment' when n = greatest(e, n, c) then 'neutral' else 'contradiction' end as label from n),
+g as (select *, (n >= 0.25 or (label <> 'neutral' and confidence < 0.5)) and coalesce(sim >= 0.05, false) and i % 4 <> 3 as judged from l)
+select i as vec_id, case when judged then case i % 4 when 0 then 'entailment' when 1 then 'contradiction' else 'neutral' end else label end as label, case when judged then 0.75 else confidence end::double as confidence, case when judged then 'llm_judge' else 'nli' end as method from g"""
+)
+def claims_judged(spark, d):
+    """Claims whose verdict is unsure and whose evidence is near enough go to a judge; one that doesn't answer changes nothing."""
+    v = table(spark, d, "embeddings")
+    after = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    i = F.col("vec_id")
+    rows = v.join(after, "vec_id", "left").select(i, *[(i % m / 8.0).alias(c) for c, m in (("e", 5), ("n", 3), ("c", 7))], F.when(F.col("next").isNotNull(), metrics.cosine(F.col("embedding"), F.col("next"))).alias("near"))
+    rows = rows.withColumn("v", verdicts.verdict(F.col("e"), F.col("n"), F.col("c")))
+    asked = verdicts.escalates(F.col("v"), F.col("n"), 0.25, 0.5, F.col("near"), 0.05)
+    word = F.when(i % 4 == 0, "supported").when(i % 4 == 1, "refuted").when(i % 4 == 2, "neutral").otherwise("unsure")
+    return rows.select(i, verdicts.settled(F.col("v"), asked, verdicts.judged(word, F.lit(0.75))).alias("s")).select("vec_id", "s.*")

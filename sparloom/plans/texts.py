@@ -77,6 +77,14 @@ def rouge_l(spark, d):
     return rows.select("conv_id", "turn", *[F.round(f"s.{x}", 4).alias(x) for x in ("precision", "recall", "f1")])
 
 
+@query()
+def rouge_stemmed(spark, d):
+    """Stemmed words and pairs of words of each turn of a conversation against the one before it."""
+    before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", lcs.rouge_n("text", before).alias("one"), lcs.rouge_n("text", before, 2).alias("two"), lcs.rouge_l("text", before, True).alias("long"))
+    return rows.select("conv_id", "turn", *[F.round(f"{s}.f1", 4).alias(s) for s in ("one", "two", "long")])
+
+
 @query(
     r"""with e as (select event_id, user_id, (props::json ->> '$.k')::bigint as k, lag((props::json ->> '$.k')::bigint) over (partition by user_id order by event_id) as b from events)
 select event_id, case when b is null then '--- before' || chr(10) || '+++ after' || chr(10) || '@@ -0,0 +1,4 @@' || chr(10) || '+{' || chr(10) || '+  "k": ' || k || ',' || chr(10) || '+  "user": ' || user_id || chr(10) || '+}'

@@ -169,3 +169,22 @@ def test_company_names_of_all_texts(spark):
         found = [(m.end() - 1, len(s)) for s in spellings for m in re.finditer(f"(?={re.escape(s)})", text) for m in [re.compile(re.escape(s)).match(text, m.start())]]
         want += [(r.doc_id, *e) for e in entities.entities_of(text, found)]
     assert sorted(tuple(r) for r in QUERIES["company_names"](spark, SF).collect()) == sorted(want) and len(want) >= 3 * len(docs)
+
+
+STEMS = (
+    "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky "
+    "relational relat conditional condit rational ration digitizer digit vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous triplicate triplic formative form formalize formal electrical electr "
+    "hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt communism commun activate activ "
+    "homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controlling control roll roll is is"
+).split()
+
+
+def test_stems_are_the_published_ones(spark):
+    from sparloom.functions.stems import stem
+
+    assert {w: stem(w) for w in STEMS[::2]} == dict(zip(STEMS[::2], STEMS[1::2]))
+    rows = [("The cats were hopping", "a cat hopped, the cats hop"), (None, "x"), ("one", "one"), ("", "")]
+    got = spark.createDataFrame(rows, "p string, g string").select(lcs.rouge_n("p", "g").alias("a"), lcs.rouge_n("p", "g", 2).alias("b"), lcs.rouge_l("p", "g", True).alias("c")).collect()
+    # the cat were hop | a cat hop the cat hop: the, cat, hop; "the cat"; the cat hop
+    assert tuple(got[0].a) == (3 / 4, 3 / 6, 6 / 10) and tuple(got[0].b) == (1 / 3, 1 / 5, 2 / 8) and tuple(got[0].c) == (3 / 4, 3 / 6, 6 / 10)
+    assert [tuple(r.a) for r in got[1:]] == [(0, 0, 0), (1, 1, 1), (0, 0, 0)] and tuple(got[2].b) == (0, 0, 0)
