@@ -153,7 +153,7 @@ def _articles(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(texts.alias("text"))
 
 
-_ARTICLES = """with t as (select conv_id, string_agg(text, chr(10) || chr(10) order by turn) as text from conversations group by conv_id),
+_ARTICLES = r"""with t as (select conv_id, string_agg(text, chr(10) || chr(10) order by turn) as text from conversations group by conv_id),
 x as (select conv_id, text, regexp_split_to_array(text, '\n{2,}') as parts, regexp_extract_all(text, '\n{2,}') as gaps from t), i as (select *, unnest(range(1, len(parts) + 1)) as k from x),
 s as (select conv_id, text, k, parts[k] as part, coalesce(gaps[k], '') as gap, length(regexp_replace(parts[k], '^\s+|\s+$', '', 'g')) >= 20 as long, coalesce(list_sum(list_transform(parts[1:k - 1], lambda z: length(z))), 0)::int + coalesce(list_sum(list_transform(gaps[1:k - 1], lambda z: length(z))), 0)::int as start from i),
 n as (select *, sum(long::int) over (partition by conv_id order by k) - 1 as p from s) """
