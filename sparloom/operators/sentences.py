@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparloom.sources.scratch import shared_folder
+
 #: Thresholds of the scores, as published, and entries that a model may have to be broadcast.
 ABBREVIATION, STARTER, COLLOCATION, MOST = 0.3, 30.0, 7.88, 1_000_000
 _EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.?!]+$"
@@ -39,13 +41,15 @@ def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, dot, ends, after): each word in lower case without its final full stop, `#` for numbers; whether it has one; whether it ends in a question or exclamation mark; and the next word."""
     cores = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda t: F.regexp_replace(t, _EDGES, "")), lambda t: t != "")
     word = lambda t: F.when(t.rlike(r"^\p{N}[\p{N}.,]*$"), F.lit("#")).otherwise(F.lower(F.regexp_replace(t, r"[.?!]+$", "")))
-    of = F.transform(F.col("c"), lambda t, i: F.struct(word(t).alias("word"), F.endswith(t, F.lit(".")).alias("dot"), t.rlike("[?!]$").alias("ends"), word(F.get(F.col("c"), i + 1)).alias("after")))
-    return docs.select(cores.alias("c")).select(F.explode(of).alias("t")).select("t.*").where("word <> ''")
+    of = F.transform(F.col("c"), lambda t, i: F.struct(F.get("w", i).alias("word"), F.endswith(t, F.lit(".")).alias("dot"), (F.endswith(t, F.lit("?")) | F.endswith(t, F.lit("!"))).alias("ends"), F.get("w", i + 1).alias("after")))
+    return docs.select(cores.alias("c")).select("c", F.transform("c", word).alias("w")).select(F.explode(of).alias("t")).select("t.*").where("word <> ''")
 
 
 def train(docs: DataFrame, text: str = "text") -> DataFrame:
     """(kind, word, after, score) of the texts: kinds abbreviation, starter and collocation; null and empty texts have no words, no words give no rows."""
-    kinds = tokens(docs, text).groupBy("word", "dot", "ends", "after").agg(F.count("*").alias("n"))
+    path = shared_folder(docs.sparkSession, "sentences")
+    tokens(docs, text).groupBy("word", "dot", "ends", "after").agg(F.count("*").alias("n")).write.parquet(path)
+    kinds = docs.sparkSession.read.parquet(path)  # all counts below are made of these, so texts are read once
     words = kinds.groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("dot"), F.col("n")).otherwise(0)).alias("dots"))
     total = kinds.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("dot"), F.col("n")).otherwise(0)).alias("all_dots"))
     rows = words.crossJoin(F.broadcast(total)).where("dots > 0 and word <> '#'")  # one row
